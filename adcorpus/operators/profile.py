@@ -15,28 +15,26 @@ def counted(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
 
 
 def corpus_profile(
-    df: DataFrame, text: str, location: str, category: str, period: str
+    df: DataFrame, text: str, location: str, category: str, period: str | None = None
 ) -> DataFrame:
     """Postings, words, words per posting, distinct locations and categories, and the period.
 
-    One pass in two steps: partial sums per ``(location, category)``, which need no distinct
-    set and shrink each task's output to the pairs it saw, then the totals over those pairs.
+    One pass in two steps: partial sums per ``(location, category)``, which shrink each task's
+    output to the pairs it saw, then the totals over those pairs.
     """
-    pairs = df.groupBy(F.col(location).alias("loc"), F.col(category).alias("cat")).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(token_count(F.col(text))).alias("w"),
-        F.min(period).alias("first"),
-        F.max(period).alias("last"),
-    )
-    return pairs.agg(
+    sums = [F.count(F.lit(1)).alias("n"), F.sum(token_count(F.col(text))).alias("w")]
+    totals = [
         F.sum("n").alias("n_postings"),
         F.sum("w").alias("n_words"),
         F.try_divide(F.sum("w").cast("double"), F.sum("n").cast("double")).alias("avg_words"),
         F.count_distinct("loc").alias("n_locations"),
         F.count_distinct("cat").alias("n_categories"),
-        F.min("first").alias("first_period"),
-        F.max("last").alias("last_period"),
-    )
+    ]
+    if period is not None:
+        sums += [F.min(period).alias("first"), F.max(period).alias("last")]
+        totals += [F.min("first").alias("first_period"), F.max("last").alias("last_period")]
+    pairs = df.groupBy(F.col(location).alias("loc"), F.col(category).alias("cat")).agg(*sums)
+    return pairs.agg(*totals)
 
 
 def label_distribution(df: DataFrame, label: str) -> DataFrame:
