@@ -12,36 +12,38 @@ from adcorpus.functions.text import strip
 
 # --- fixed values: tag patterns, replaced in this order ------------------------------------
 INVISIBLE = (
-    r"(?is)<!--.*?(?:-->|\z)"
-    r"|<script\b.*?(?:</script\s*>|\z)"
-    r"|<style\b.*?(?:</style\s*>|\z)"
-    r"|<noscript\b.*?(?:</noscript\s*>|\z)"
-    r"|<template\b.*?(?:</template\s*>|\z)"
+    r"(?is)<(?:!--.*?(?:-->|\z)"
+    r"|script\b.*?(?:</script\s*>|\z)"
+    r"|style\b.*?(?:</style\s*>|\z)"
+    r"|noscript\b.*?(?:</noscript\s*>|\z)"
+    r"|template\b.*?(?:</template\s*>|\z)"
+    r"|title\b[^>]*>.*?</title\s*>)"
 )
-HEAD = r"(?is)<head\b[^>]*>.*?</head\s*>|<!doctype[^>]*>"
-SPACES = r"[ \t\r\n\f]+"
-HEADING = r"(?i)<h([1-6])\b[^>]*> ?"
-HEADING_MARK = "\x02"
+SPACES = r"[\t\r\n\f][ \t\r\n\f]*| [ \t\r\n\f]+"
 LINK = r"""(?i)<a\b[^>]* href ?= ?["']?([^"'> ]*)["']?[^>]*>(.*?)</a ?>"""
 BOLD = r"(?i)<(?:b|strong)\b[^>]*> ?([^<]*[^< ]) ?</(?:b|strong) ?>"
 ITALIC = r"(?i)<(?:i|em)\b[^>]*> ?([^<]*[^< ]) ?</(?:i|em) ?>"
-LIST_ITEM = r"(?i) ?<li\b[^>]*> ?"
-LINE_BREAK = r"(?i) ?<br\b[^>]*> ?"
-RULE = r"(?i)<hr\b[^>]*>"
+HEADING = r"<[hH]([1-6])\b[^>]*> ?"
+HEADING_MARK = "\x02"
+LIST_ITEM = r"(?i)<li\b[^>]*> ?"
+LINE_BREAK = r"(?i)<br\b[^>]*>"
 BLOCK = (
-    r"(?i) ?</?(?:p|div|article|section|main|aside|nav|header|footer|ul|ol|dl|dt|dd|table|tr"
-    r"|blockquote|pre|form|figure|h[1-6])\b[^>]*> ?"
+    r"(?i)</?(?:p|div|article|section|main|aside|nav|header|footer|ul|ol|dl|dt|dd|table|tr"
+    r"|blockquote|pre|form|figure|hr|h[1-6])\b[^>]*>"
 )
 ANY_TAG = r"<[/!?a-zA-Z][^>]*>"
-LINE_ENDS = r" *\n *"
+LINE_ENDS = r" +\n *|\n +"
 BLANK_LINES = r"\n{3,}"
 
 # --- fixed values: named entities; the ampersand comes last --------------------------------
-ENTITIES = {
-    "&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&copy;": "©",
-    "&reg;": "®", "&trade;": "™", "&middot;": "·", "&bull;": "•", "&hellip;": "…",
-    "&ndash;": "–", "&mdash;": "—", "&lsquo;": "‘", "&rsquo;": "’", "&ldquo;": "“",
-    "&rdquo;": "”", "&laquo;": "«", "&raquo;": "»", "&euro;": "€", "&amp;": "&",
+RARE_ENTITIES = {
+    "&apos;": "'", "&reg;": "®", "&trade;": "™", "&bull;": "•", "&hellip;": "…", "&ndash;": "–",
+    "&mdash;": "—", "&lsquo;": "‘", "&rsquo;": "’", "&ldquo;": "“", "&rdquo;": "”",
+    "&laquo;": "«", "&raquo;": "»", "&euro;": "€",
+}
+COMMON_ENTITIES = {
+    "&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&copy;": "©", "&middot;": "·",
+    "&amp;": "&",
 }
 
 
@@ -72,7 +74,6 @@ def _numeric_entities(c: Column) -> Column:
 def _structure(html: Column) -> Column:
     """Tags to markdown marks and line breaks; entities are still encoded."""
     c = F.regexp_replace(html, INVISIBLE, "")
-    c = F.regexp_replace(c, HEAD, "")
     c = F.regexp_replace(c, SPACES, " ")
     c = F.regexp_replace(c, LINK, "[$2]($1)")
     c = F.regexp_replace(c, BOLD, "**$1**")
@@ -82,28 +83,28 @@ def _structure(html: Column) -> Column:
         c = F.replace(c, F.lit(f"{HEADING_MARK}{level}"), F.lit("#" * level))
     c = F.regexp_replace(c, LIST_ITEM, "\n* ")
     c = F.regexp_replace(c, LINE_BREAK, "\n")
-    c = F.regexp_replace(c, RULE, "\n\n---\n\n")
     c = F.regexp_replace(c, BLOCK, "\n\n")
     return F.regexp_replace(c, ANY_TAG, "")
 
 
-def _finish(c: Column) -> Column:
-    for entity, text in ENTITIES.items():
+def _replace_all(c: Column, entities: dict[str, str]) -> Column:
+    for entity, text in entities.items():
         c = F.replace(c, F.lit(entity), F.lit(text))
-    c = F.regexp_replace(c, LINE_ENDS, "\n")
-    c = F.regexp_replace(c, BLANK_LINES, "\n\n")
-    return strip(c)
+    return c
 
 
 def with_markdown(df: DataFrame, html: str = "html", name: str = "markdown") -> DataFrame:
     """Add the markdown text of a page: headings, links, list items, emphasis, paragraphs.
 
     A null page gives null. Bold and italic are kept where the tag pair holds plain text. The
-    steps are separate projections because the middle one uses its input twice, and only pages
-    that contain a numeric entity take the slower path through an array.
+    steps are separate projections because the middle one uses its input twice; only pages
+    with a numeric or rare entity take the slower path.
     """
+    rare = "|".join(entity[1:] for entity in RARE_ENTITIES)
     staged = df.withColumn("_md", _structure(F.col(html)))
-    decoded = F.when(F.contains("_md", F.lit("&#")), _numeric_entities(F.col("_md"))).otherwise(
-        F.col("_md")
-    )
-    return staged.withColumn(name, _finish(decoded)).drop("_md")
+    slow = _replace_all(_numeric_entities(F.col("_md")), RARE_ENTITIES)
+    decoded = F.when(F.rlike("_md", F.lit(f"&(?:#|{rare})")), slow).otherwise(F.col("_md"))
+    c = _replace_all(decoded, COMMON_ENTITIES)
+    c = F.regexp_replace(c, LINE_ENDS, "\n")
+    c = F.regexp_replace(c, BLANK_LINES, "\n\n")
+    return staged.withColumn(name, strip(c)).drop("_md")

@@ -39,6 +39,7 @@ TITLE_TAG = r"(?is)<title\b[^>]*>(.*?)</title"
 FIRST_HEADING = r"(?:^|\n)# ([^\n]+)"
 LIST_SEPARATOR = r"\s*[,;]\s*"
 NUMBER = r"([0-9]+(?:\.[0-9]+)?)"
+NUMBER_TEXT = r"^\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\s*$"
 WEB_URL = r"^(?i)https?://[^\s/?#]+[^\s]*$"
 
 
@@ -46,11 +47,26 @@ def _blank_to_null(c: Column) -> Column:
     return F.nullif(strip(c), F.lit(""))
 
 
-def labelled_line(markdown: Column, labels: Sequence[str]) -> Column:
-    """Value of the first line that reads ``label: value``, or null; labels ignore case."""
+def _line_pattern(labels: Sequence[str], value: str) -> str:
     names = "|".join(labels)
-    pattern = rf"(?i)(?:^|\n)[*_ ]*(?:{names})[*_ ]*:[*_ ]*([^\n]*[^\n*_ ])"
-    return F.nullif(F.regexp_extract(markdown, pattern, 1), F.lit(""))
+    return rf"(?iu)(?:^|\n)([*_ ]*(?:{names})[*_ ]*:[*_ ]*){value}"
+
+
+def labelled_lines(markdown: Column, labels: Mapping[str, Sequence[str]]) -> Column:
+    """All lines that read ``label: value`` for any of the labels, joined by newlines.
+
+    One pass over the page; the fields are then looked up in these few lines.
+    """
+    names = [label for group in labels.values() for label in group]
+    pattern = _line_pattern(names, r"[^\n]*")
+    return F.array_join(F.regexp_extract_all(markdown, F.lit(pattern), F.lit(0)), "")
+
+
+def labelled_line(lines: Column, labels: Sequence[str]) -> Column:
+    """Value of the first line that reads ``label: value``, or null; labels ignore case."""
+    return F.nullif(
+        F.regexp_extract(lines, _line_pattern(labels, r"([^\n]*[^\n*_ ])"), 2), F.lit("")
+    )
 
 
 def page_fields(
@@ -64,7 +80,9 @@ def page_fields(
     name a field. All else is null. List fields are split at commas and semicolons. ``pages``
     needs ``url`` and ``html``.
     """
-    staged = with_markdown(pages.where(F.col("html").isNotNull()))
+    staged = with_markdown(pages.where(F.col("html").isNotNull())).withColumn(
+        "_lines", labelled_lines(F.col("markdown"), labels)
+    )
     heading = _blank_to_null(F.regexp_extract("markdown", FIRST_HEADING, 1))
     title = _blank_to_null(F.regexp_extract("html", TITLE_TAG, 1))
 
@@ -77,7 +95,7 @@ def page_fields(
             return _blank_to_null(F.col("markdown"))
         if name not in labels:
             return F.lit(None)
-        stated = labelled_line(F.col("markdown"), labels[name])
+        stated = labelled_line(F.col("_lines"), labels[name])
         if name in LIST_FIELDS:
             return F.split(stated, LIST_SEPARATOR)
         if name == "experience_required":
@@ -140,11 +158,18 @@ def _as_text_first(schema: T.StructType) -> T.StructType:
     return T.StructType(fields)
 
 
+def _number(c: Column) -> Column:
+    """Text to double; the shape is tested first because a failing cast is very slow."""
+    return F.when(F.rlike(c, F.lit(NUMBER_TEXT)), c.try_cast("double"))
+
+
 def _typed(parsed: Column, schema: T.StructType, **override: Column) -> Column:
     def value(f: T.StructField) -> Column:
         if f.name in override:
             return override[f.name]
-        return parsed[f.name].try_cast(f.dataType)
+        if isinstance(f.dataType, T.DoubleType):
+            return _number(parsed[f.name])
+        return parsed[f.name]
 
     return F.struct(*[value(f).alias(f.name) for f in schema.fields])
 
@@ -202,7 +227,7 @@ def typed_parse(
     if "url" in schema.names:
         checks.append(F.when(~F.rlike(strip(rec["url"]), F.lit(WEB_URL)), F.lit("url")))
     for name in numbers:
-        bad = rec[name].isNotNull() & rec[name].try_cast("double").isNull()
+        bad = rec[name].isNotNull() & _number(rec[name]).isNull()
         checks.append(F.when(bad, F.lit(f"number:{name}")))
     return staged.select(
         *keep,

@@ -22,7 +22,7 @@ from adcorpus.operators.inference import batch_generate, token_budget_with
 from adcorpus.plans import bindings as b
 from adcorpus.plans.formatting import FANOUT_COLUMNS, format_splits
 from adcorpus.plans.ingest import ingest_step
-from adcorpus.sources.readers import labelled_texts, salary_exemplars
+from adcorpus.sources.readers import labelled_texts, salary_exemplars, spread
 from adcorpus.sources.schemas import JOB_AD, LIST_FIELDS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -224,7 +224,7 @@ def chat_render_genprompt(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def token_budget(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
     return docs.select("doc_id", chat.budget(F.col("text")).alias("b")).select("doc_id", "b.*")
 
 
@@ -233,7 +233,7 @@ def conversation_budget(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def token_budget_hook(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
 
     def build():
         def characters(texts: list[str], max_tokens: int) -> list[tuple[str, int]]:
@@ -274,7 +274,7 @@ def parse_category_large(spark: SparkSession, sf: str) -> DataFrame:
 
 def parse_salary(spark: SparkSession, sf: str) -> DataFrame:
     answers = table(spark, sf, "part").selectExpr("p_partkey", f"{b.ANSWERED_SALARY} AS answer")
-    return answers.withColumn("predicted", text.parse_integer(F.lower("answer")))
+    return answers.withColumn("predicted", text.parse_integer(F.col("answer")))
 
 
 def _counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -326,8 +326,8 @@ def _salary_answers(spark: SparkSession, sf: str) -> DataFrame:
     )
     return stated.select(
         *RUN_COLUMNS,
-        text.parse_integer(F.lower("truth_text")).alias("truth"),
-        text.parse_integer(F.lower("answer")).alias("pred"),
+        text.parse_integer(F.col("truth_text")).alias("truth"),
+        text.parse_integer(F.col("answer")).alias("pred"),
     )
 
 
@@ -405,7 +405,7 @@ def quota_take(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def resume_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    pages = table(spark, sf, "pages")
+    pages = spread(table(spark, sf, "pages"))
     listed = _frontier(spark, sf, b.PAGE_LISTED)
     results = _results(spark, sf, b.PAGE_DONE)
     kept, fresh = ingest_step(listed, results, pages, percent=80)
@@ -420,11 +420,11 @@ def resume_ingest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def html_to_markdown(spark: SparkSession, sf: str) -> DataFrame:
-    return with_markdown(table(spark, sf, "pages").select("page_id", "html")).drop("html")
+    return with_markdown(spread(table(spark, sf, "pages").select("page_id", "html"))).drop("html")
 
 
 def page_fields(spark: SparkSession, sf: str) -> DataFrame:
-    fields = pg.page_fields(table(spark, sf, "pages"), keep=["page_id"])
+    fields = pg.page_fields(spread(table(spark, sf, "pages")), keep=["page_id"])
     columns = [
         F.array_join(f"record.{n}", "|").alias(n) if n in LIST_FIELDS else F.col(f"record.{n}")
         for n in JOB_AD.names
@@ -433,7 +433,7 @@ def page_fields(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def extraction_prompt(spark: SparkSession, sf: str) -> DataFrame:
-    pages = with_markdown(table(spark, sf, "pages").select("page_id", "html"))
+    pages = with_markdown(spread(table(spark, sf, "pages").select("page_id", "html")))
     return pages.select("page_id", pg.extraction_prompt(F.col("markdown")).alias("prompt"))
 
 
@@ -526,7 +526,7 @@ def salary_value_range(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def generate_batches(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("prompt"))
+    docs = spread(table(spark, sf, "documents").select("doc_id", F.col("text").alias("prompt")))
 
     def build():
         return lambda prompts: [f"{len(p)} characters" for p in prompts]

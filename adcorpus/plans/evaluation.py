@@ -51,8 +51,8 @@ def evaluate_salaries(
 ) -> dict[str, DataFrame]:
     """Tables ``predictions`` (parsable rows only) and ``scores`` (with coverage)."""
     parsed = generations.withColumn(
-        "predicted_salary", parse_integer(F.lower("generated_text"))
-    ).withColumn("ground_truth_salary", parse_integer(F.lower("ground_truth")))
+        "predicted_salary", parse_integer(F.col("generated_text"))
+    ).withColumn("ground_truth_salary", parse_integer(F.col("ground_truth")))
     scores = regression_scores(parsed, "ground_truth_salary", "predicted_salary", by)
     return {
         "predictions": keep_parsable(parsed, "predicted_salary"),

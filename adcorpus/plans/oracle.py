@@ -245,10 +245,10 @@ PENDING = f"""SELECT source, url, pos FROM (SELECT source, url, min(pos) AS pos
   GROUP BY source, url) ANTI JOIN ({DONE}) USING (source, url)"""
 
 MARKDOWN_STEPS = [
-    (h.INVISIBLE, ""), (h.HEAD, ""), (h.SPACES, " "), (h.LINK, r"[\2](\1)"), (h.BOLD, r"**\1**"),
+    (h.INVISIBLE, ""), (h.SPACES, " "), (h.LINK, r"[\2](\1)"), (h.BOLD, r"**\1**"),
     (h.ITALIC, r"_\1_"),
     *[(rf"(?i)<h{n}\b[^>]*> ?", f"\n\n{'#' * n} ") for n in range(1, 7)],
-    (h.LIST_ITEM, "\n* "), (h.LINE_BREAK, "\n"), (h.RULE, "\n\n---\n\n"), (h.BLOCK, "\n\n"),
+    (h.LIST_ITEM, "\n* "), (h.LINE_BREAK, "\n"), (h.BLOCK, "\n\n"),
     (h.ANY_TAG, ""),
 ]
 
@@ -257,7 +257,7 @@ def markdown(x: str) -> str:
     for pattern, text in MARKDOWN_STEPS:
         x = f"regexp_replace({x}, {q(pattern)}, {q(text)}, 'g')"
     # The pages hold no numeric entities; unit tests cover those.
-    for entity, text in h.ENTITIES.items():
+    for entity, text in {**h.RARE_ENTITIES, **h.COMMON_ENTITIES}.items():
         x = f"replace({x}, {q(entity)}, {q(text)})"
     x = f"regexp_replace({x}, {q(h.LINE_ENDS)}, {q(chr(10))}, 'g')"
     x = f"regexp_replace({x}, {q(h.BLANK_LINES)}, {q(chr(10) * 2)}, 'g')"

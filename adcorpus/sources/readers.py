@@ -19,6 +19,16 @@ ROW_BITS = 33
 BLOCK_UNIT = 1 << 20
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for heavy per-row work on an input with fewer splits than cores.
+
+    For a file scan (the count is taken from its planned splits). A large input has more splits
+    than the cluster has cores and comes back unchanged, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _csv(spark: SparkSession):
     return (
         spark.read.option("header", True)
