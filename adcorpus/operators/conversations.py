@@ -109,7 +109,7 @@ def render_conversations(
         segments = segments.unionByName(
             endings.select(conv, turn, F.lit(generation).alias("segment"))
         )
-    part = F.floor(F.col(turn) / part_turns).cast("bigint").alias("part")
+    part = F.expr(f"`{turn}` div {part_turns}").alias("part")
     ordered = F.sort_array(F.collect_list(F.struct(F.col(turn).alias("t"), F.col("segment"))))
     return segments.groupBy(conv, part).agg(
         F.array_join(F.transform(ordered, lambda s: s["segment"]), "").alias("text")

@@ -54,6 +54,42 @@ def pending_urls(frontier: DataFrame, done: DataFrame) -> DataFrame:
     return distinct_urls(frontier).join(done, ["source", "url"], "left_anti")
 
 
+def url_state(frontier: DataFrame, results: DataFrame) -> DataFrame:
+    """``(source, url, pos, listed, done)``: frontier and results in one aggregate.
+
+    Listed and not done is pending, done and not listed is stale. One shuffle on
+    ``(source, url)`` replaces the separate joins, and whatever is derived from it reuses it.
+    """
+    listed = frontier.select(
+        "source", "url", "pos", F.lit(True).alias("listed"), F.lit(False).alias("done")
+    )
+    finished = results.select(
+        "source",
+        result_url(results).alias("url"),
+        F.lit(None).cast("bigint").alias("pos"),
+        F.lit(False).alias("listed"),
+        F.lit(True).alias("done"),
+    )
+    return (
+        listed.unionByName(finished)
+        .where(F.col("url").isNotNull())
+        .groupBy("source", "url")
+        .agg(
+            F.min("pos").alias("pos"),
+            F.max("listed").alias("listed"),
+            F.max("done").alias("done"),
+        )
+    )
+
+
+def state_progress(state: DataFrame, percent: float = 100) -> DataFrame:
+    """As :func:`frontier_progress`, from :func:`url_state`; sources without a list are absent."""
+    counts = state.where("listed").groupBy("source").agg(
+        F.count(F.lit(1)).alias("n_listed"), F.count_if("done").alias("n_done")
+    )
+    return _with_quota(counts, percent)
+
+
 def frontier_progress(
     frontier: DataFrame, done: DataFrame, percent: float = 100
 ) -> DataFrame:
@@ -64,11 +100,15 @@ def frontier_progress(
     """
     listed = distinct_urls(frontier).groupBy("source").agg(F.count(F.lit(1)).alias("n_listed"))
     finished = done.groupBy("source").agg(F.count(F.lit(1)).alias("_n_done"))
-    quota = F.col("n_listed") * F.lit(percent) / F.lit(100)
     n_done = F.coalesce("_n_done", F.lit(0)).cast("bigint")
     counted = listed.join(finished, "source", "left").withColumn("n_done", n_done)
+    return _with_quota(counted, percent)
+
+
+def _with_quota(counts: DataFrame, percent: float) -> DataFrame:
+    quota = F.col("n_listed") * F.lit(percent) / F.lit(100)
     required = F.floor(quota).cast("bigint")
-    return counted.select(
+    return counts.select(
         "source",
         "n_listed",
         "n_done",
@@ -92,7 +132,7 @@ def quota_take(
     bucket are ranked.
     """
     usable = pending if success is None else pending.where(success)
-    bucketed = usable.withColumn("_bucket", F.floor(F.col("pos") / bucket).cast("bigint"))
+    bucketed = usable.withColumn("_bucket", F.col("pos") - F.pmod("pos", F.lit(bucket)))
     before = W.partitionBy("source").orderBy("_bucket").rowsBetween(
         W.unboundedPreceding, W.currentRow
     )

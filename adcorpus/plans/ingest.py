@@ -7,14 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adcorpus.operators.frontier import (
-    distinct_urls,
-    done_urls,
-    frontier_progress,
-    keep_listed,
-    pending_urls,
-    quota_take,
-)
+from adcorpus.operators.frontier import keep_listed, quota_take, state_progress, url_state
 from adcorpus.operators.pages import page_fields
 from adcorpus.sources.readers import read_results
 from adcorpus.sources.schemas import EXTRACTION
@@ -31,12 +24,11 @@ def select_urls(
     A page that was never stored or is null counts as failed and uses no quota. Only URLs and
     counts move here; page bodies stay where they are.
     """
-    listed = distinct_urls(frontier)
-    done = done_urls(keep_listed(results, frontier))
-    remaining = frontier_progress(listed, done, percent)
-    fetched = pages.where(F.col("html").isNotNull()).select("url").distinct()
-    candidates = pending_urls(listed, done).join(fetched, "url", "left_semi")
-    return quota_take(candidates, remaining).select("source", "pos", "url")
+    state = url_state(frontier, results)
+    fetched = pages.where(F.col("html").isNotNull()).select("url")
+    pending = state.where("listed AND NOT done").select("source", "url", "pos")
+    candidates = pending.join(fetched, "url", "left_semi")
+    return quota_take(candidates, state_progress(state, percent))
 
 
 def extract_pages(taken: DataFrame, pages: DataFrame, keep: Sequence[str] = ("source",)) -> DataFrame:

@@ -16,7 +16,8 @@ from adcorpus.sources.schemas import ADS, CHAT, EXTRACTION, FRONTIER
 BOM = "\ufeff"
 # Bits of monotonically_increasing_id that number the rows within one task.
 ROW_BITS = 33
-BLOCK_UNIT = 1 << 20
+# Splits of a file are at least a mebibyte apart.
+BLOCK_BITS = 20
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -127,7 +128,7 @@ def number_lines(lines: DataFrame) -> DataFrame:
     split, so a retried task gives the same value; it orders lines and is not dense.
     """
     row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << ROW_BITS) - 1))
-    block = F.shiftleft(F.floor(F.col("block") / BLOCK_UNIT).cast("bigint"), ROW_BITS)
+    block = F.shiftleft(F.shiftright("block", BLOCK_BITS), ROW_BITS)
     numbered = lines.select("source", (block + row).alias("pos"), strip(F.col("value")).alias("url"))
     return numbered.where(F.col("url") != "")
 
