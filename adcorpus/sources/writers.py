@@ -26,8 +26,15 @@ def write_chat(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode:
 
 
 def write_exemplars(df: DataFrame, path: str, mode: str = "error") -> None:
-    """Exemplars as CSV with a header; embedded quotes are doubled."""
-    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    """Exemplars as CSV with a header; quotes are doubled and outer spaces are kept."""
+    (
+        df.write.mode(mode)
+        .option("header", True)
+        .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .csv(path)
+    )
 
 
 def write_evaluation(tables: dict[str, DataFrame], path: str, mode: str = "append") -> None:
