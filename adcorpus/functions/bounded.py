@@ -3,8 +3,8 @@
 A label vocabulary, an exemplar list or a run configuration is one value. It is computed as a
 one-row frame and attached as a scalar subquery, so the big side is neither shuffled nor
 joined. The size check is part of the plan: at most ``max_items + 1`` rows ever reach the one
-task that builds the array, and a longer list raises instead of being cut. Callers that need
-more set ``max_items`` themselves.
+task that builds the array, and a longer or larger list raises instead of being cut. Callers
+that need more set ``max_items`` or ``max_bytes`` themselves.
 """
 
 from __future__ import annotations
@@ -12,19 +12,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+MAX_BYTES = 64 << 20
+
 
 def bounded_array(
-    df: DataFrame, value: Column, max_items: int, what: str, name: str = "items"
+    df: DataFrame,
+    value: Column,
+    max_items: int,
+    what: str,
+    name: str = "items",
+    bytes_of: Column | None = None,
+    max_bytes: int = MAX_BYTES,
 ) -> DataFrame:
-    """One row holding the ascending array of ``value``; raises beyond ``max_items``."""
+    """One row holding the ascending array of ``value``.
+
+    Raises beyond ``max_items`` entries, or when ``bytes_of`` (by default the bytes of ``value``
+    as text) adds up to more than ``max_bytes``.
+    """
+    size = F.octet_length(value.cast("string")) if bytes_of is None else bytes_of
     collected = (
-        df.select(value.alias("v"))
+        df.select(value.alias("v"), F.coalesce(size, F.lit(0)).alias("b"))
         .limit(max_items + 1)
-        .agg(F.sort_array(F.collect_list("v")).alias("a"))
+        .agg(F.sort_array(F.collect_list("v")).alias("a"), F.sum("b").alias("b"))
     )
     too_long = F.lit(f"{what}: more than {max_items} entries; raise max_items if this is meant")
+    too_big = F.lit(f"{what}: more than {max_bytes} bytes; raise max_bytes if this is meant")
     return collected.select(
-        F.when(F.size("a") > max_items, F.raise_error(too_long)).otherwise(F.col("a")).alias(name)
+        F.when(F.size("a") > max_items, F.raise_error(too_long))
+        .when(F.col("b") > max_bytes, F.raise_error(too_big))
+        .otherwise(F.col("a"))
+        .alias(name)
     )
 
 

@@ -48,6 +48,7 @@ def prompt_truth_split(
     row with ``part='truth'`` holding the stripped, lowered last content. A conversation of one
     assistant message has an empty prompt and only gives its truth row.
     """
+    df = df.where(F.col(conv).isNotNull() & F.col(turn).isNotNull())
     ends = df.groupBy(conv).agg(
         F.max(turn).alias(turn),
         F.max_by(F.struct("role", F.col(content).alias("content")), F.col(turn)).alias("m"),
@@ -81,9 +82,9 @@ def valid_conversations(
 def _segments(
     df: DataFrame, conv: str, turn: str, content: str, template: tuple[str, str, str]
 ) -> DataFrame:
-    return df.select(
-        conv, turn, render_message(F.col("role"), F.col(content), template).alias("segment")
-    )
+    """Each message as rendered text; a missing role or content counts as empty."""
+    role, text = F.coalesce("role", F.lit("")), F.coalesce(content, F.lit(""))
+    return df.select(conv, turn, render_message(role, text, template).alias("segment"))
 
 
 def render_conversations(
@@ -126,19 +127,17 @@ def conversation_budget(
 ) -> DataFrame:
     """First ``max_tokens`` whitespace tokens of each rendered conversation, with totals.
 
-    Every segment that counts holds at least one token, so the head lies within the first
-    ``max_tokens`` such segments; the rank filter is applied before the shuffle too, and no
-    group exceeds ``max_tokens`` rows. ``n_tokens`` is the total over the whole conversation.
-    The template must end its messages with whitespace, so that no token spans two of them.
+    The template gives every message at least one token, so the head lies within the first
+    ``max_tokens`` messages; that rank filter is applied before the shuffle too, and no group
+    exceeds ``max_tokens`` rows. ``n_tokens`` is the total over the whole conversation. The
+    template must end its messages with whitespace, so that no token spans two of them.
     """
-    if not template[2] or not template[2][-1].isspace():
-        raise ValueError("the template must end a message with whitespace")
-    segments = (
-        _segments(df, conv, turn, content, template)
-        .withColumn("n", token_count(F.col("segment")))
-        .where(F.col("n") > 0)
+    if not "".join(template).strip() or not template[2][-1:].isspace():
+        raise ValueError("the template must hold some text and end a message with whitespace")
+    segments = _segments(df, conv, turn, content, template)
+    totals = segments.groupBy(conv).agg(
+        F.sum(token_count(F.col("segment"))).alias("n_tokens")
     )
-    totals = segments.groupBy(conv).agg(F.sum("n").alias("n_tokens"))
     rank = F.row_number().over(W.partitionBy(conv).orderBy(turn))
     heads = (
         segments.withColumn("rank", rank)

@@ -40,7 +40,12 @@ def keep_listed(results: DataFrame, frontier: DataFrame) -> DataFrame:
 
 def stale_results(results: DataFrame, frontier: DataFrame) -> DataFrame:
     """Results whose URL is missing or no longer listed in their source."""
-    return _keyed(results).join(_keys(frontier), ["source", "_url"], "left_anti").drop("_url")
+    # Results without a URL need no lookup, and as a join key they would all meet in one task.
+    keyed = _keyed(results)
+    gone = keyed.where(F.col("_url").isNotNull()).join(
+        _keys(frontier), ["source", "_url"], "left_anti"
+    )
+    return gone.unionByName(keyed.where(F.col("_url").isNull())).drop("_url")
 
 
 def done_urls(results: DataFrame) -> DataFrame:

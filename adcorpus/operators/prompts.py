@@ -21,7 +21,7 @@ from adcorpus.constants import (
     SALARY_LINES,
     SALARY_SYSTEM,
 )
-from adcorpus.functions.bounded import bounded_array
+from adcorpus.functions.bounded import MAX_BYTES, bounded_array
 from adcorpus.functions.chat import message, messages
 from adcorpus.functions.text import category_label, clean, is_not_negotiable, salary_label
 from adcorpus.operators.labels import quoted_labels
@@ -36,14 +36,24 @@ def require_columns(df: DataFrame, names: Sequence[str]) -> None:
 
 
 def exemplar_turns(
-    exemplars: DataFrame, order: str, text: str, label: str, max_exemplars: int = MAX_EXEMPLARS
+    exemplars: DataFrame,
+    order: str,
+    text: str,
+    label: str,
+    max_exemplars: int = MAX_EXEMPLARS,
+    max_bytes: int = MAX_BYTES,
 ) -> DataFrame:
-    """One row, one column ``turns``: user and assistant messages of the exemplars, in order."""
+    """One row, one column ``turns``: user and assistant messages of the exemplars, in order.
+
+    Every record repeats these turns, so their number and size are checked.
+    """
     ordered = bounded_array(
         exemplars,
         F.struct(F.col(order).alias("o"), F.col(text).alias("t"), F.col(label).alias("l")),
         max_exemplars,
         "exemplars",
+        bytes_of=F.octet_length(text) + F.octet_length(label),
+        max_bytes=max_bytes,
     )
     pairs = F.transform(
         "items", lambda e: messages(("user", e["t"]), ("assistant", e["l"]))

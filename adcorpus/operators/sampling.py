@@ -12,9 +12,13 @@ from pyspark.sql import functions as F
 
 
 def sample_key(id_column: str, seed: int) -> Column:
-    """60 bits of ``md5(seed:id)`` as a bigint, a fixed-width key that hash aggregates handle."""
+    """60 bits of ``md5(seed:id)`` as a bigint, a fixed-width key that hash aggregates handle.
+
+    Never null: a row without an id sorts after all others.
+    """
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_column).cast("string")))
-    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
+    key = F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
+    return F.coalesce(key, F.lit(2**63 - 1))
 
 
 def one_per_label(

@@ -20,8 +20,10 @@ from adcorpus.operators import sampling as smp
 from adcorpus.operators.grid import RUN_COLUMNS, run_grid, scores_on_grid
 from adcorpus.operators.inference import batch_generate, token_budget_with
 from adcorpus.plans import bindings as b
+from adcorpus.plans.evaluation import scorable_prompts
 from adcorpus.plans.formatting import FANOUT_COLUMNS, format_splits
 from adcorpus.plans.ingest import ingest_step
+from adcorpus.plans.training import training_texts
 from adcorpus.sources.readers import labelled_texts, salary_exemplars, spread
 from adcorpus.sources.schemas import JOB_AD, LIST_FIELDS
 
@@ -200,13 +202,12 @@ def prompt_truth_split(spark: SparkSession, sf: str) -> DataFrame:
 
 def record_prompt_truth(spark: SparkSession, sf: str) -> DataFrame:
     records = pr.salary_messages(_salary_ads(spark, sf), keep=["p_partkey"])
-    msgs = F.col("messages")
-    scored = records.select(
-        "p_partkey",
-        chat.render(chat.prompt_messages(msgs), generation_prompt=True).alias("prompt"),
-        chat.ground_truth(msgs).alias("truth"),
-    )
-    return scored.where((F.col("prompt") != "") & (F.col("truth") != ""))
+    return scorable_prompts(records, ["p_partkey"]).withColumnRenamed("ground_truth", "truth")
+
+
+def training_text_rows(spark: SparkSession, sf: str) -> DataFrame:
+    records = pr.salary_messages(_salary_ads(spark, sf), keep=["p_partkey"])
+    return training_texts(records, ["p_partkey"], max_tokens=40)
 
 
 def valid_conversations(spark: SparkSession, sf: str) -> DataFrame:
@@ -541,6 +542,7 @@ QUERIES: dict[str, Query] = {
         alt_schema_prompts, alt_schema_prompts_fewshot, merged_corpus, split_fanout,
         chat_records, label_vocabulary, sample_one_per_label, sample_one_per_every_label,
         sample_k, last_user_assistant, prompt_truth_split, record_prompt_truth,
+        training_text_rows,
         valid_conversations, chat_render, chat_render_genprompt, token_budget,
         conversation_budget, token_budget_hook, parse_category, parse_category_large,
         parse_salary, class_scores, class_scores_overall, class_report, confusion_matrix,

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from adcorpus.functions.chat import ground_truth, prompt_messages, render
 from adcorpus.functions.text import parse_integer
 from adcorpus.operators.grid import RUN_COLUMNS, scores_on_grid
 from adcorpus.operators.labels import parse_category
@@ -19,6 +20,22 @@ from adcorpus.operators.metrics import (
     keep_parsable,
     regression_scores,
 )
+from adcorpus.sources.writers import write_evaluation
+
+
+def scorable_prompts(
+    records: DataFrame, keep: Sequence[str] = (), messages: str = "messages"
+) -> DataFrame:
+    """``keep``, ``prompt`` and ``ground_truth`` of the records that can be scored.
+
+    The last message must be the assistant's; the prompt renders the others and opens a new
+    assistant turn. Rows with an empty prompt or truth are dropped.
+    """
+    msgs = F.col(messages)
+    prompt = render(prompt_messages(msgs), generation_prompt=True)
+    truth = ground_truth(msgs)
+    rows = records.select(*keep, prompt.alias("prompt"), truth.alias("ground_truth"))
+    return rows.where((F.col("prompt") != "") & (F.col("ground_truth") != ""))
 
 
 def evaluate_categories(
@@ -35,15 +52,45 @@ def evaluate_categories(
     parsed = parse_category(generations, "generated_text", vocabulary, "predicted_category")
     predictions = flag_correct(parsed, "ground_truth", "predicted_category")
     counts = confusion_counts(predictions, "ground_truth", "predicted_category", by)
+    return {"predictions": predictions, **_from_counts(counts, by, grid)}
+
+
+def _from_counts(
+    counts: DataFrame, by: Sequence[str], grid: DataFrame | None
+) -> dict[str, DataFrame]:
     scores = class_scores(counts, by)
     return {
-        "predictions": predictions,
         "scores": scores if grid is None else scores_on_grid(grid, scores, by),
         "report": class_report(counts, by),
         "matrix": confusion_matrix(counts, by),
     }
 
 
+def save_categories(
+    generations: DataFrame, vocabulary: DataFrame, path: str, grid: DataFrame | None = None
+) -> None:
+    """Write the tables of :func:`evaluate_categories` under ``path``, partitioned by run.
+
+    The generations are read twice, for the predictions and for the counts; the three score
+    tables share the cached counts, which hold a row per run and pair of labels.
+    """
+    parsed = parse_category(generations, "generated_text", vocabulary, "predicted_category")
+    predictions = flag_correct(parsed, "ground_truth", "predicted_category")
+    counts = confusion_counts(
+        predictions, "ground_truth", "predicted_category", RUN_COLUMNS
+    ).persist()
+    try:
+        tables = _from_counts(counts, RUN_COLUMNS, grid)
+        write_evaluation({"predictions": predictions, **tables}, path)
+    finally:
+        counts.unpersist()
+
+
+def save_salaries(generations: DataFrame, path: str, grid: DataFrame | None = None) -> None:
+    """Write the tables of :func:`evaluate_salaries` under ``path``, partitioned by run."""
+    write_evaluation(evaluate_salaries(generations, RUN_COLUMNS, grid), path)
+
+
 def evaluate_salaries(
     generations: DataFrame,
     by: Sequence[str] = RUN_COLUMNS,

@@ -369,6 +369,12 @@ ORACLE: dict[str, str] = {
          + k.CHATML_MESSAGE[0] + 'user' + k.CHATML_MESSAGE[1])} || {USER}
       || {q(k.CHATML_MESSAGE[2] + k.CHATML_GENERATION)} AS prompt, {strip('label')} AS truth
       FROM main WHERE {strip('label')} <> ''""",
+    "training_text_rows": f"""WITH {MAIN_ROWS}, texts AS (SELECT p_partkey,
+      {q(k.CHATML_MESSAGE[0] + 'system' + k.CHATML_MESSAGE[1] + k.SALARY_SYSTEM + k.CHATML_MESSAGE[2]
+         + k.CHATML_MESSAGE[0] + 'user' + k.CHATML_MESSAGE[1])} || {USER}
+      || {q(k.CHATML_MESSAGE[2] + k.CHATML_MESSAGE[0] + 'assistant' + k.CHATML_MESSAGE[1])} || label
+      || {q(k.CHATML_MESSAGE[2])} AS text FROM main)
+      SELECT * FROM texts JOIN ({_budget('p_partkey', 'texts', 40)}) USING (p_partkey)""",
     "valid_conversations": """SELECT conv_id, turn, role, text FROM conversations WHERE conv_id NOT IN
       (SELECT conv_id FROM conversations WHERE role = 'system' OR role IS NULL OR text IS NULL)""",
     "chat_render": _rendered(f"SELECT conv_id, turn, {SEGMENT} AS segment FROM conversations"),

@@ -17,12 +17,21 @@ def balanced(df: DataFrame, *columns: str) -> DataFrame:
     return df.hint("rebalance", *columns)
 
 
-def write_chat(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "error") -> None:
-    """Chat records as JSON lines, UTF-8, null fields left out."""
-    writer = df.write.mode(mode)
-    if partition_by:
-        writer = balanced(df, *partition_by).write.mode(mode).partitionBy(*partition_by)
-    writer.json(path)
+def write_chat(
+    df: DataFrame,
+    path: str,
+    partition_by: Sequence[str] = (),
+    mode: str = "error",
+    rebalance: bool = False,
+) -> None:
+    """Chat records as JSON lines, UTF-8, null fields left out.
+
+    By default tasks write what they formatted, without a shuffle: a few partitions per task are
+    cheaper than moving every text. ``rebalance`` trades that shuffle for fewer files.
+    """
+    if rebalance:
+        df = balanced(df, *partition_by)
+    df.write.mode(mode).partitionBy(*partition_by).json(path)
 
 
 def write_exemplars(df: DataFrame, path: str, mode: str = "error") -> None:
@@ -40,9 +49,7 @@ def write_exemplars(df: DataFrame, path: str, mode: str = "error") -> None:
 def write_evaluation(tables: dict[str, DataFrame], path: str, mode: str = "append") -> None:
     """One Parquet table per name under ``path``, partitioned by run."""
     for name, df in tables.items():
-        balanced(df, *RUN_COLUMNS).write.mode(mode).partitionBy(*RUN_COLUMNS).parquet(
-            f"{path}/{name}"
-        )
+        df.write.mode(mode).partitionBy(*RUN_COLUMNS).parquet(f"{path}/{name}")
 
 
 def append_results(df: DataFrame, path: str) -> None:

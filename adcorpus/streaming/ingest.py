@@ -9,28 +9,40 @@ from adcorpus.plans.ingest import ingest
 from adcorpus.sources.readers import list_lines, number_lines
 
 
+def checkpoint_folder(spark: SparkSession, name: str) -> str:
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        raise ValueError("name a checkpoint folder, or set spark.checkpoint.dir to a shared one")
+    return f"{shared.rstrip('/')}/{name}"
+
+
 def stream_ingest(
     spark: SparkSession,
     lists_path: str,
     pages: DataFrame,
     results_path: str,
-    checkpoint: str,
+    checkpoint: str | None = None,
     percent: float = 100,
 ) -> StreamingQuery:
     """Process the list files not seen before, then stop.
 
+    ``checkpoint`` defaults to a folder under the shared one the session names in
+    ``spark.checkpoint.dir``.
+
     Each list file arrives whole within one micro-batch, so its order and quota hold. The
     checkpoint only skips files already read; a batch that is repeated after a failure finds
     its rows in the results table and adds nothing.
     """
 
+    location = checkpoint or checkpoint_folder(spark, "stream_ingest")
+
     def process(lines: DataFrame, _: int) -> None:
         ingest(lines.sparkSession, number_lines(lines), pages, results_path, percent)
 
     return (
         list_lines(spark.readStream.text(lists_path))
         .writeStream.foreachBatch(process)
-        .option("checkpointLocation", checkpoint)
+        .option("checkpointLocation", location)
         .trigger(availableNow=True)
         .start()
     )
