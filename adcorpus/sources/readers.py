@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from adcorpus.functions.text import strip
-from adcorpus.sources.schemas import ADS, CHAT, EXTRACTION, FRONTIER
+from adcorpus.sources.schemas import ADS, CHAT, EXTRACTION, FRONTIER, JOB_AD
 
 BOM = "\ufeff"
 # Bits of monotonically_increasing_id that number the rows within one task.
@@ -138,6 +138,33 @@ def read_frontier(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(FRONTIER).parquet(path)
 
 
+def read_result_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Results kept as one JSON array per list: the readable records and the unreadable rest.
+
+    The first frame has the layout of the results table, with the file name as source; the
+    second holds ``source``, the ``url`` if it could be read, and the broken ``text``. One broken file does not affect the others.
+    """
+    broken = "_broken"
+    fields = [T.StructField(f.name, f.dataType) for f in JOB_AD.fields]
+    schema = T.StructType(
+        [*fields, T.StructField("raw_response", T.StringType()), T.StructField(broken, T.StringType())]
+    )
+    rows = (
+        spark.read.schema(schema)
+        .option("multiLine", True)
+        .option("columnNameOfCorruptRecord", broken)
+        .json(path)
+        .withColumn("source", F.regexp_replace("_metadata.file_name", r"\.[^.]*$", ""))
+    )
+    is_raw = F.col("raw_response").isNotNull()
+    record = F.struct(*[F.col(f.name) for f in fields])
+    good = rows.where(F.col(broken).isNull()).select(
+        "source", "url", F.when(~is_raw, record).alias("record"), "raw_response"
+    )
+    bad = rows.where(F.col(broken).isNotNull())
+    return good, bad.select("source", "url", F.col(broken).alias("text"))
+
+
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """Extraction results, or an empty frame when nothing has been written yet."""
     try:

@@ -1,13 +1,15 @@
 from __future__ import annotations
 
 import random
+from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import functions as F
 
 from adcorpus.operators import frontier as fr
 from adcorpus.plans.ingest import ingest, ingest_step, prune
 from adcorpus.sources.readers import read_results
-from adcorpus.streaming.ingest import stream_ingest
+from adcorpus.streaming.ingest import checkpoint_folder, stream_ingest
 
 LISTED = "source string, pos bigint, url string"
 RESULTS = "source string, url string, raw_response string"
@@ -114,6 +116,15 @@ def test_running_ingest_twice_adds_nothing(spark, tmp_path):
     assert urls(read_results(spark, str(tmp_path / "pruned"))) == ["b", "d"]
 
 
+def test_checkpoints_go_to_the_shared_folder():
+    def session(settings):
+        return SimpleNamespace(conf=settings)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_folder(session({}), "x")
+    assert checkpoint_folder(session({"spark.checkpoint.dir": "/shared/"}), "x") == "/shared/x"
+
+
 def test_stream_ingest_resumes(spark, tmp_path):
     lists, path = tmp_path / "lists", str(tmp_path / "results")
     lists.mkdir()

@@ -108,6 +108,19 @@ def test_missing_results_are_empty(spark, tmp_path):
     assert readers.read_results(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_result_files_keep_good_records_beside_a_broken_file(spark, tmp_path):
+    (tmp_path / "links_a.json").write_text(
+        json.dumps([{"job_title": "t", "url": "u1", "benefits": ["x"], "other": 1},
+                    {"raw_response": "text", "url": "u2"}], indent=2), encoding="utf-8")
+    (tmp_path / "links_b.json").write_text('[{"job_title": "t", ', encoding="utf-8")
+    good, broken = readers.read_result_files(spark, str(tmp_path / "*.json"))
+    rows = {r.url: r for r in good.collect()}
+    assert rows["u1"].record.benefits == ["x"] and rows["u1"].raw_response is None
+    assert rows["u2"].record is None and rows["u2"].raw_response == "text"
+    assert {r.source for r in rows.values()} == {"links_a"}
+    assert [r.source for r in broken.collect()] == ["links_b"]
+
+
 def test_counted_needs_no_extra_pass(spark, tmp_path):
     df, seen = counted(spark.range(7), "rows")
     df.write.parquet(str(tmp_path / "n"))

@@ -9,7 +9,14 @@ from pyspark.sql import functions as F
 
 from adcorpus.operators import metrics as met
 from adcorpus.operators.grid import RUN_COLUMNS, adapter_label, run_grid, scores_on_grid
-from adcorpus.plans.evaluation import evaluate_categories, evaluate_salaries
+from adcorpus.plans.evaluation import (
+    evaluate_categories,
+    evaluate_salaries,
+    save_categories,
+    save_salaries,
+    scorable_prompts,
+)
+from adcorpus.plans.training import training_texts
 
 
 def predictions(spark, seed=5):
@@ -152,6 +159,42 @@ def test_grid_keeps_runs_without_rows(spark):
     assert len(joined) == 4 and sum(r.mae is not None for r in joined) == 1
 
 
+def test_evaluations_are_saved_by_run(spark, tmp_path):
+    columns = ", ".join(f"{c} string" for c in (*RUN_COLUMNS, "ground_truth", "generated_text"))
+    rows = [("m", a, "t", "it", g) for a in ("x", "y") for g in ("it", "law")]
+    generations = spark.createDataFrame(rows, columns)
+    vocabulary = spark.createDataFrame([(["it", "law"],)], "labels array<string>")
+    save_categories(generations, vocabulary, str(tmp_path / "c"))
+    tables = {n: spark.read.parquet(str(tmp_path / "c" / n)) for n in ("predictions", "scores", "report", "matrix")}
+    assert {n: df.count() for n, df in tables.items()} == {
+        "predictions": 4, "scores": 2, "report": 10, "matrix": 8,
+    }
+    assert {r.accuracy for r in tables["scores"].collect()} == {0.5}
+    rows = [("m", "x", "t", "10 triệu", "12")]
+    save_salaries(spark.createDataFrame(rows, columns), str(tmp_path / "s"))
+    assert spark.read.parquet(str(tmp_path / "s" / "scores")).first().mae == 2.0
+
+
+def test_scorable_prompts(spark):
+    records = [
+        (1, [("user", "u"), ("assistant", " X ")]), (2, [("user", "u")]), (3, []), (4, None),
+        (5, [("user", "u"), ("assistant", " ")]), (6, [("assistant", "y")]),
+    ]
+    df = spark.createDataFrame(records, "id int, messages array<struct<role:string,content:string>>")
+    got = {r.id: (r.prompt, r.ground_truth) for r in scorable_prompts(df, ["id"]).collect()}
+    opened = "<|im_start|>assistant\n"
+    assert got == {1: (f"<|im_start|>user\nu<|im_end|>\n{opened}", "x"), 6: (opened, "y")}
+
+
+def test_training_texts(spark):
+    records = [(1, [("user", "a b"), ("assistant", "c")]), (2, [("user", None)]), (3, None)]
+    df = spark.createDataFrame(records, "id int, messages array<struct<role:string,content:string>>")
+    row = training_texts(df, ["id"], max_tokens=2).collect()
+    assert len(row) == 1
+    assert (row[0].head, row[0].n_tokens, row[0].truncated) == ("<|im_start|>user a", 5, True)
+    assert row[0].text.endswith("<|im_start|>assistant\nc<|im_end|>\n")
+
+
 def test_evaluation_plans(spark):
     base = [("m", "no-adapter", "default")]
     rows = [(*base[0], t, g) for t, g in (("it", " IT"), ("it", "law"), ("law", "??"))]

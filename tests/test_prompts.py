@@ -41,6 +41,12 @@ def test_too_many_labels_raise_and_are_never_cut(spark):
     assert len(lab.label_vocabulary(df, "c", max_labels=20).first().labels) == 20
 
 
+def test_too_large_exemplars_raise(spark):
+    shots = spark.createDataFrame([(0, "x" * 100, "l")], "i int, t string, l string")
+    with pytest.raises(Exception, match="exemplars: more than 50 bytes"):
+        pr.exemplar_turns(shots, "i", "t", "l", max_bytes=50).collect()
+
+
 def test_category_messages(spark):
     ads = spark.createDataFrame(
         [(1, " x ", " IT "), (2, " ", "it"), (3, "y", ""), (4, None, "it"), (5, "z", None)],
