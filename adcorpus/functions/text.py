@@ -52,6 +52,19 @@ def clean(c: Column, null_policy: str = "drop") -> Column:
     raise ValueError(f"unknown null_policy {null_policy!r}; use 'drop' or 'nan_text'")
 
 
+def is_present(c: Column, null_policy: str = "drop") -> Column:
+    """True when :func:`clean` gives a non-empty text.
+
+    A left trim stops at the first other character, so a filter on this does not walk through
+    the texts that the projection then strips.
+    """
+    text = c.cast("string")
+    found = F.ltrim(text, F.lit(WHITESPACE)) != ""
+    if null_policy == "nan_text":
+        return F.coalesce(found | text.isin(PANDAS_NA_WORDS), F.lit(True))
+    return F.coalesce(found, F.lit(False))
+
+
 def category_label(c: Column, null_policy: str = "drop") -> Column:
     return F.lower(clean(c, null_policy))
 

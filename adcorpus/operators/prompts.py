@@ -7,6 +7,7 @@ prefix (system message and exemplar turns), built once and attached as a scalar
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +24,13 @@ from adcorpus.constants import (
 )
 from adcorpus.functions.bounded import MAX_BYTES, bounded_array
 from adcorpus.functions.chat import message, messages
-from adcorpus.functions.text import category_label, clean, is_not_negotiable, salary_label
+from adcorpus.functions.text import (
+    category_label,
+    clean,
+    is_not_negotiable,
+    is_present,
+    salary_label,
+)
 from adcorpus.operators.labels import quoted_labels
 
 MAX_EXEMPLARS = 1_000
@@ -93,12 +100,13 @@ def category_messages(
     """
     require_columns(ads, [text, label, *keep])
     prefix = _prefix(category_system(vocabulary), exemplars).scalar()
-    cleaned = ads.select(
+    # A missing label never becomes text: such a row has no class to learn.
+    complete = ads.where(is_present(F.col(text), null_policy) & is_present(F.col(label)))
+    cleaned = complete.select(
         *keep,
         clean(F.col(text), null_policy).alias("_text"),
-        # A missing label never becomes text: such a row has no class to learn.
         category_label(F.col(label)).alias("_label"),
-    ).where((F.col("_text") != "") & (F.col("_label") != ""))
+    )
     body = messages(
         ("user", F.concat(F.lit(CATEGORY_USER_PREFIX), F.col("_text"))),
         ("assistant", F.col("_label")),
@@ -116,11 +124,15 @@ def salary_messages(
     """``keep`` columns plus ``messages`` for every ad with all details and a stated salary."""
     require_columns(ads, [*SALARY_LINES, "salary_avg", *keep])
     fields = [clean(F.col(name), null_policy).alias(f"_{name}") for name in SALARY_LINES]
-    cleaned = ads.where(is_not_negotiable(F.col("salary_avg"), sentinel)).select(
+    complete = [is_present(F.col(name), null_policy) for name in SALARY_LINES]
+    usable = reduce(
+        Column.__and__,
+        complete,
+        is_not_negotiable(F.col("salary_avg"), sentinel) & is_present(F.col("salary_avg")),
+    )
+    cleaned = ads.where(usable).select(
         *keep, *fields, salary_label(F.col("salary_avg")).alias("_salary")
     )
-    for name in [*SALARY_LINES, "salary"]:
-        cleaned = cleaned.where(F.col(f"_{name}") != "")
     user = F.concat_ws(
         "\n", *[F.concat(F.lit(head), F.col(f"_{name}")) for name, head in SALARY_LINES.items()]
     )

@@ -55,11 +55,12 @@ def _alternate_ads(spark: SparkSession, sf: str) -> DataFrame:
 
 def _category_exemplars(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").withColumnRenamed("lang", "category")
-    usable = docs.select(
+    complete = docs.where(text.is_present(F.col("text")) & text.is_present(F.col("category")))
+    usable = complete.select(
         "doc_id",
         text.clean(F.col("text")).alias("text"),
         text.category_label(F.col("category")).alias("category"),
-    ).where((F.col("text") != "") & (F.col("category") != ""))
+    )
     chosen = smp.one_per_label(usable, "category", "doc_id", "doc_id", max_labels=16)
     return pr.exemplar_turns(chosen, "first_pos", "text", "category")
 

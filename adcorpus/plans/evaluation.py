@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adcorpus.functions.chat import ground_truth, prompt_messages, render
-from adcorpus.functions.text import parse_integer
+from adcorpus.functions.chat import ground_truth, is_valid, prompt_messages, render
+from adcorpus.functions.text import is_present, parse_integer
 from adcorpus.operators.grid import RUN_COLUMNS, scores_on_grid
 from adcorpus.operators.labels import parse_category
 from adcorpus.operators.metrics import (
@@ -29,13 +29,16 @@ def scorable_prompts(
     """``keep``, ``prompt`` and ``ground_truth`` of the records that can be scored.
 
     The last message must be the assistant's; the prompt renders the others and opens a new
-    assistant turn. Rows with an empty prompt or truth are dropped.
+    assistant turn, so it is never empty. Records with an empty truth, or with a message that
+    lacks a role or a content, are dropped.
     """
     msgs = F.col(messages)
+    last = F.try_element_at(msgs, F.lit(-1))
+    usable = records.where(
+        (last["role"] == "assistant") & is_present(last["content"]) & is_valid(msgs)
+    )
     prompt = render(prompt_messages(msgs), generation_prompt=True)
-    truth = ground_truth(msgs)
-    rows = records.select(*keep, prompt.alias("prompt"), truth.alias("ground_truth"))
-    return rows.where((F.col("prompt") != "") & (F.col("ground_truth") != ""))
+    return usable.select(*keep, prompt.alias("prompt"), ground_truth(msgs).alias("ground_truth"))
 
 
 def evaluate_categories(

@@ -179,6 +179,7 @@ def test_scorable_prompts(spark):
     records = [
         (1, [("user", "u"), ("assistant", " X ")]), (2, [("user", "u")]), (3, []), (4, None),
         (5, [("user", "u"), ("assistant", " ")]), (6, [("assistant", "y")]),
+        (7, [("user", None), ("assistant", "z")]),
     ]
     df = spark.createDataFrame(records, "id int, messages array<struct<role:string,content:string>>")
     got = {r.id: (r.prompt, r.ground_truth) for r in scorable_prompts(df, ["id"]).collect()}

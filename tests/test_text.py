@@ -57,6 +57,13 @@ def test_clean_null_policies(values):
         values([], lambda c: text.clean(c, "other"))
 
 
+def test_present_means_clean_is_not_empty(values):
+    cells = ["  a ", " ", "", None, "null", "nan", "\u3000\t", "\u200b"]
+    for policy in ("drop", "nan_text"):
+        cleaned = values(cells, lambda c: text.clean(c, policy))
+        assert values(cells, lambda c: text.is_present(c, policy)) == [v != "" for v in cleaned]
+
+
 def test_salary_label(values):
     assert values([" 10-12_Triệu+ ", None], text.salary_label) == ["10 12 triệu ", ""]
 
