@@ -7,9 +7,13 @@ of collecting or sorting a label's rows, so a label holding most of the table is
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from adcorpus.functions.chat import last_content
+
 
 def sample_key(id_column: str, seed: int) -> Column:
     """60 bits of ``md5(seed:id)`` as a bigint, a fixed-width key that hash aggregates handle.
@@ -21,6 +25,21 @@ def sample_key(id_column: str, seed: int) -> Column:
     return F.coalesce(key, F.lit(2**63 - 1))
 
 
+def record_pairs(
+    records: DataFrame, keep: Sequence[str], label: str = "category", messages: str = "messages"
+) -> DataFrame:
+    """``keep``, ``text`` and ``label``: last user and last assistant content of each record.
+
+    Records where either is missing or empty are dropped.
+    """
+    pairs = records.select(
+        *keep,
+        last_content(F.col(messages), "user").alias("text"),
+        last_content(F.col(messages), "assistant").alias(label),
+    )
+    return pairs.where((F.col("text") != "") & (F.col(label) != ""))
+
+
 def one_per_label(
     df: DataFrame,
     label: str,

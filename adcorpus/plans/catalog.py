@@ -67,12 +67,8 @@ def _category_exemplars(spark: SparkSession, sf: str) -> DataFrame:
 
 def _salary_exemplars(spark: SparkSession, sf: str) -> DataFrame:
     records = pr.salary_messages(_salary_ads(spark, sf), keep=["p_partkey"])
-    pairs = records.select(
-        "p_partkey",
-        chat.last_content(F.col("messages"), "user").alias("text"),
-        chat.last_content(F.col("messages"), "assistant").alias("salary"),
-    )
-    return pr.exemplar_turns(smp.sample_k(pairs, 3, "p_partkey"), "p_partkey", "text", "salary")
+    chosen = smp.sample_k(smp.record_pairs(records, ["p_partkey"], "salary"), 3, "p_partkey")
+    return pr.exemplar_turns(chosen, "p_partkey", "text", "salary")
 
 
 # --- prompts ---------------------------------------------------------------------------------
@@ -316,7 +312,10 @@ def label_universe(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _salary_answers(spark: SparkSession, sf: str) -> DataFrame:
-    joined = table(spark, sf, "lineitem").join(
+    lines = table(spark, sf, "lineitem").select(
+        "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus"
+    )
+    joined = spread(lines).join(
         table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")
     )
     stated = joined.selectExpr(

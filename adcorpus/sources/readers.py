@@ -40,19 +40,27 @@ def _csv(spark: SparkSession):
     )
 
 
+def read_csv_by_header(spark: SparkSession, path: str) -> DataFrame:
+    """CSV with whatever header it has, all strings; a byte order mark before it is dropped.
+
+    Only the header line is looked at; a file whose header differs from the first one's fails
+    instead of having its cells put under the wrong names.
+    """
+    df = _csv(spark).option("inferSchema", False).option("enforceSchema", False).csv(path)
+    return df.toDF(*[name.lstrip(BOM) for name in df.columns])
+
+
 def read_ads(spark: SparkSession, path: str, schema: T.StructType = ADS) -> DataFrame:
-    """Ads from CSV with quoted, multi-line cells.
+    """Ads from CSV with quoted, multi-line cells; columns are found by name, in any order.
 
     A file with multi-line cells cannot be split, so parallelism comes from the number of
     files; convert big single files to Parquet once and read those instead.
     """
-    return _csv(spark).schema(schema).csv(path)
-
-
-def read_csv_by_header(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with whatever header it has, all strings; a byte order mark before it is dropped."""
-    df = _csv(spark).option("inferSchema", False).csv(path)
-    return df.toDF(*[name.lstrip(BOM) for name in df.columns])
+    df = read_csv_by_header(spark, path)
+    missing = [name for name in schema.names if name not in df.columns]
+    if missing:
+        raise ValueError(f"missing column(s) {missing}; the file has {df.columns}")
+    return df.select(*schema.names)
 
 
 def _first_non_empty(df: DataFrame, *names: str):

@@ -22,8 +22,20 @@ def test_ads_csv_with_multi_line_cells(spark, tmp_path):
     assert len(rows) == 2 and rows[0].description == 'line 1\nline "2", x'
     assert rows[1].description is None
     alternate = tmp_path / "alt.csv"
-    alternate.write_text("job_title,job_type,city,experience,salary_avg\na,b,c,d,5\n", encoding="utf-8")
-    assert readers.read_ads(spark, str(alternate), ADS_ALTERNATE).first().city == "c"
+    alternate.write_text(
+        "salary_avg,city,extra,job_title,job_type,experience\n5,c,e,a,b,d\n", encoding="utf-8"
+    )
+    row = readers.read_ads(spark, str(alternate), ADS_ALTERNATE).first()
+    assert tuple(row) == ("a", "b", "c", "d", "5")
+    with pytest.raises(ValueError, match="salary_min"):
+        readers.read_ads(spark, str(alternate))
+
+
+def test_files_with_another_header_fail(spark, tmp_path):
+    for name, text in (("a", "x,y\n1,2\n"), ("b", "y,x\n3,4\n")):
+        (tmp_path / f"{name}.csv").write_text(text, encoding="utf-8")
+    with pytest.raises(Exception, match="(?i)header"):
+        readers.read_csv_by_header(spark, str(tmp_path / "*.csv")).collect()
 
 
 def test_labelled_texts_with_byte_order_mark_and_fallback(spark, tmp_path):

@@ -45,6 +45,19 @@ def test_equal_keys_fall_back_to_the_smaller_id(spark, monkeypatch):
     }
 
 
+def test_record_pairs_feed_the_samplers(spark):
+    records = [
+        (1, [("system", "s"), ("user", "u1"), ("assistant", "a")]),
+        (2, [("user", "u2"), ("assistant", "b"), ("user", "u3")]),
+        (3, [("user", "u"), ("assistant", "")]), (4, [("user", "u")]), (5, None),
+    ]
+    df = spark.createDataFrame(records, "id int, messages array<struct<role:string,content:string>>")
+    pairs = smp.record_pairs(df, ["id"])
+    assert sorted(tuple(r) for r in pairs.collect()) == [(1, "u1", "a"), (2, "u3", "b")]
+    chosen = smp.one_per_label(pairs, "category", "id", "id", max_labels=2)
+    assert sorted((r.text, r.category) for r in chosen.collect()) == [("u1", "a"), ("u3", "b")]
+
+
 def test_sample_k(spark):
     df = spark.range(100).withColumn("x", F.col("id") * 2).repartition(4)
     want = sorted(range(100), key=lambda i: (key(42, i), i))[:5]
