@@ -15,8 +15,11 @@ from pyspark.sql import Window as W
 from adcorpus.constants import CHATML_GENERATION, CHATML_MESSAGE
 from adcorpus.functions.chat import render_message
 from adcorpus.functions.text import strip, token_count, tokens
+from adcorpus.operators.topn import take_first
 
 PART_TURNS = 1024
+# The engine moves a rank filter before the shuffle up to this many rows per group.
+RANK_LIMIT = 1_000
 
 
 def _is(role: str) -> Column:
@@ -128,8 +131,10 @@ def conversation_budget(
     """First ``max_tokens`` whitespace tokens of each rendered conversation, with totals.
 
     The template gives every message at least one token, so the head lies within the first
-    ``max_tokens`` messages; that rank filter is applied before the shuffle too, and no group
-    exceeds ``max_tokens`` rows. ``n_tokens`` is the total over the whole conversation. The
+    ``max_tokens`` messages, and no group exceeds that many rows. Up to :data:`RANK_LIMIT` the
+    rank filter is applied before the shuffle too; beyond it, the first messages are found from
+    bucket counts, so that a very long conversation is not ranked in one task either way.
+    ``n_tokens`` is the total over the whole conversation. The
     template must end its messages with whitespace, so that no token spans two of them.
     """
     if not "".join(template).strip() or not template[2][-1:].isspace():
@@ -139,6 +144,8 @@ def conversation_budget(
         F.sum(token_count(F.col("segment"))).alias("n_tokens")
     )
     rank = F.row_number().over(W.partitionBy(conv).orderBy(turn))
+    if max_tokens > RANK_LIMIT:
+        segments = take_first(segments, conv, turn, max_tokens)
     heads = (
         segments.withColumn("rank", rank)
         .where(F.col("rank") <= max_tokens)

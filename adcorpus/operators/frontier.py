@@ -7,9 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-QUOTA_BUCKET = 65_536
+from adcorpus.operators.topn import BUCKET, take_first
 
 
 def distinct_urls(frontier: DataFrame) -> DataFrame:
@@ -127,32 +126,12 @@ def quota_take(
     pending: DataFrame,
     remaining: DataFrame,
     success: Column | None = None,
-    bucket: int = QUOTA_BUCKET,
+    bucket: int = BUCKET,
 ) -> DataFrame:
     """The first ``n_remaining`` successful pending URLs of each source, in list order.
 
     Rows that fail ``success`` use no quota. A source may hold most of the frontier, so it is
-    never ranked in one task: positions are cut into buckets of at most ``bucket`` rows, a
-    running total over the bucket counts gives each bucket its offset, and only rows within one
-    bucket are ranked.
+    never ranked in one task, see :func:`adcorpus.operators.topn.take_first`.
     """
     usable = pending if success is None else pending.where(success)
-    bucketed = usable.withColumn("_bucket", F.col("pos") - F.pmod("pos", F.lit(bucket)))
-    before = W.partitionBy("source").orderBy("_bucket").rowsBetween(
-        W.unboundedPreceding, W.currentRow
-    )
-    offsets = (
-        bucketed.groupBy("source", "_bucket")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.sum("_n").over(before) - F.col("_n"))
-        .join(remaining.select("source", "n_remaining"), "source")
-        .where(F.col("_before") < F.col("n_remaining"))
-        .select("source", "_bucket", "_before", "n_remaining")
-    )
-    rank = F.row_number().over(W.partitionBy("source", "_bucket").orderBy("pos"))
-    return (
-        bucketed.join(offsets, ["source", "_bucket"])
-        .withColumn("_rank", F.col("_before") + rank)
-        .where(F.col("_rank") <= F.col("n_remaining"))
-        .drop("_bucket", "_before", "_rank", "n_remaining")
-    )
+    return take_first(usable, "source", "pos", remaining, bucket)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from adcorpus.functions import chat
 from adcorpus.operators import conversations as conv
+from adcorpus.operators.topn import take_first
 
 MSGS = "m array<struct<role:string,content:string>>"
 
@@ -98,16 +99,25 @@ def test_long_conversations_render_in_parts_that_join_to_the_whole(spark):
         }
 
 
-def test_conversation_budget_matches_brute_force(spark):
+@pytest.mark.parametrize("n", [1, 64, 1500, 100_000])
+def test_conversation_budget_matches_brute_force(spark, n):
     rows, df = long_form(spark)
-    got = {r.conv_id: r for r in conv.conversation_budget(df, max_tokens=64).collect()}
+    got = {r.conv_id: r for r in conv.conversation_budget(df, max_tokens=n).collect()}
+    assert len(got) == 12
     for c, messages in grouped(rows).items():
         toks = rendered(messages).split()
         assert (got[c].head, got[c].n_tokens, got[c].n_kept, got[c].truncated) == (
-            " ".join(toks[:64]), len(toks), min(64, len(toks)), len(toks) > 64,
+            " ".join(toks[:n]), len(toks), min(n, len(toks)), len(toks) > n,
         )
 
 
+def test_first_rows_per_group(spark):
+    df = long_form(spark)[1].drop("role", "text")
+    got = take_first(df, "conv_id", "turn", 100, bucket=32)
+    want = {(c, t) for c, m in grouped(long_form(spark)[0]).items() for t, _, _ in m[:100]}
+    assert {tuple(r) for r in got.collect()} == want and got.columns == df.columns
+
+
 def test_budget_needs_a_template_that_ends_in_whitespace(spark):
     with pytest.raises(ValueError):
         conv.conversation_budget(long_form(spark)[1], template=("[", "]", ""))
