@@ -67,7 +67,9 @@ def _category_exemplars(spark: SparkSession, sf: str) -> DataFrame:
 
 def _salary_exemplars(spark: SparkSession, sf: str) -> DataFrame:
     records = pr.salary_messages(_salary_ads(spark, sf), keep=["p_partkey"])
-    chosen = smp.sample_k(smp.record_pairs(records, ["p_partkey"], "salary"), 3, "p_partkey")
+    # Formatted records always have both texts, so sampling may come first.
+    chosen = smp.sample_k(records, 3, "p_partkey")
+    chosen = smp.record_pairs(chosen, ["p_partkey"], "salary")
     return pr.exemplar_turns(chosen, "p_partkey", "text", "salary")
 
 
@@ -457,7 +459,8 @@ def record_or_raw(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def typed_parse_quarantine(spark: SparkSession, sf: str) -> DataFrame:
-    events = table(spark, sf, "events").selectExpr("event_id", f"{b.AD_JSON} AS ad")
+    events = spread(table(spark, sf, "events").select("event_id", "event_type"))
+    events = events.selectExpr("event_id", f"{b.AD_JSON} AS ad")
     rows = pg.typed_parse(events, "ad", ["event_id"])
     return rows.select(
         "event_id",
@@ -504,7 +507,7 @@ def salary_exemplar_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def corpus_profile(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
+    docs = spread(table(spark, sf, "documents").select("text", "source", "lang"))
     return _rounded(prof.corpus_profile(docs, "text", "source", "lang"), "avg_words")
 
 
