@@ -20,7 +20,11 @@ INVISIBLE = (
     r"|title\b[^>]*>.*?</title\s*>)"
 )
 SPACES = r"[\t\r\n\f][ \t\r\n\f]*| [ \t\r\n\f]+"
-LINK = r"""(?i)<a\b[^>]* href ?= ?["']?([^"'> ]*)["']?[^>]*>(.*?)</a ?>"""
+# Link ends become marks first, so that a page full of unclosed links is still read in one go.
+LINK_OPEN = r"""(?i)<a\b[^>]* href ?= ?["']?([^"'> ]*)["']?[^>]*>"""
+LINK_CLOSE = r"(?i)</a ?>"
+LINK = r"\x03([^\x03-\x05]*)\x04([^\x03\x05]*)\x05"
+LINK_REST = r"\x03[^\x04]*\x04|\x05"
 BOLD = r"(?i)<(?:b|strong)\b[^>]*> ?([^<]*[^< ]) ?</(?:b|strong) ?>"
 ITALIC = r"(?i)<(?:i|em)\b[^>]*> ?([^<]*[^< ]) ?</(?:i|em) ?>"
 HEADING = r"<[hH]([1-6])\b[^>]*> ?"
@@ -75,7 +79,10 @@ def _structure(html: Column) -> Column:
     """Tags to markdown marks and line breaks; entities are still encoded."""
     c = F.regexp_replace(html, INVISIBLE, "")
     c = F.regexp_replace(c, SPACES, " ")
+    c = F.regexp_replace(c, LINK_OPEN, "\x03$1\x04")
+    c = F.regexp_replace(c, LINK_CLOSE, "\x05")
     c = F.regexp_replace(c, LINK, "[$2]($1)")
+    c = F.regexp_replace(c, LINK_REST, "")
     c = F.regexp_replace(c, BOLD, "**$1**")
     c = F.regexp_replace(c, ITALIC, "_$1_")
     c = F.regexp_replace(c, HEADING, f"\n\n{HEADING_MARK}$1 ")

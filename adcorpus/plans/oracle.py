@@ -245,7 +245,8 @@ PENDING = f"""SELECT source, url, pos FROM (SELECT source, url, min(pos) AS pos
   GROUP BY source, url) ANTI JOIN ({DONE}) USING (source, url)"""
 
 MARKDOWN_STEPS = [
-    (h.INVISIBLE, ""), (h.SPACES, " "), (h.LINK, r"[\2](\1)"), (h.BOLD, r"**\1**"),
+    (h.INVISIBLE, ""), (h.SPACES, " "), (h.LINK_OPEN, "\x03\\1\x04"),
+    (h.LINK_CLOSE, "\x05"), (h.LINK, r"[\2](\1)"), (h.LINK_REST, ""), (h.BOLD, r"**\1**"),
     (h.ITALIC, r"_\1_"),
     *[(rf"(?i)<h{n}\b[^>]*> ?", f"\n\n{'#' * n} ") for n in range(1, 7)],
     (h.LIST_ITEM, "\n* "), (h.LINE_BREAK, "\n"), (h.BLOCK, "\n\n"),

@@ -25,6 +25,7 @@ def markdown(spark, *pages):
         ("<ul><li>a</li><LI>b</ul>", "* a\n* b"),
         ('<a class="x" href="/u?a=1">t <i>i</i></a>', "[t _i_](/u?a=1)"),
         ("<a href=/u>t</a> <a name=n>plain</a>", "[t](/u) plain"),
+        ("<a href=/1>x <a href='/2'>y</a> z</a>", "x [y](/2) z"),
         ("<b>x</b> <strong> y z </strong> <b>open", "**x** **y z** open"),
         ("<script>if (a<b) '</p>'</script>a<style>p{}</style><!-- <p>no</p> -->b", "ab"),
         ("<script>never closed <p>x</p>", ""),
@@ -45,6 +46,11 @@ def test_whole_pages_are_converted(spark):
     assert markdown(spark, body)[0].count("**x**") == 5000
 
 
+def test_unclosed_links_take_linear_time(spark):
+    text = markdown(spark, "<a href=/u>word " * 50_000)[0]
+    assert text == ("word " * 50_000).strip()
+
+
 def test_page_fields(spark):
     html = (
         "<title>T</title><h1>Kỹ sư</h1><p><b>CÔNG TY:</b> ABC<br>Salary: 10 - 15 triệu<br>"
