@@ -5,8 +5,12 @@ from __future__ import annotations
 from adcorpus.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from adcorpus.llm.near_dup import OP5_SQL, op5_minhash_near_dedup
 from adcorpus.llm.packing import op8_best_fit_packing
+from adcorpus.llm.pii import op1_pii
+from adcorpus.llm.toxicity import op3_toxicity
 
 QUERIES = {
+    "op1_pii": op1_pii,
+    "op3_toxicity": op3_toxicity,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
