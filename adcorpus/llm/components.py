@@ -14,6 +14,7 @@ from adcorpus.llm.common import map_arrow, written
 
 def roots(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Join the trees of the index pairs (a, b) and return every index's root; smaller wins."""
+    parent = parent.copy()
     while True:
         ra, rb = parent[a], parent[b]
         apart = ra != rb

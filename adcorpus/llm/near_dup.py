@@ -219,6 +219,13 @@ def whole_groups(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
+def _between(nodes: np.ndarray, known: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that turn the trees ``known`` into the trees ``root``; the known ones are left out,
+    as the part that has both ends in one block reports them."""
+    tops = np.flatnonzero((known == np.arange(len(known))) & (root != known))
+    return nodes[root[tops]], nodes[tops]
+
+
 def candidates(posted: DataFrame, k: int, least: int) -> DataFrame:
     """A spanning forest (a, b) of the pairs that collide in at least ``least`` coordinates."""
 
@@ -231,18 +238,23 @@ def candidates(posted: DataFrame, k: int, least: int) -> DataFrame:
             last = last[np.cumsum(start) - 1]
             across = (part >> 32) != (part & 0xFFFFFFFF)
             nodes, index = np.unique(node, return_inverse=True)
-            root = np.arange(len(nodes))
+            # within blocks, of parts of one block and of parts of two; and between blocks
+            one, two, both = (np.arange(len(nodes)) for _ in range(3))
             row = np.arange(len(key))
             for d in range(1, int((last - row).max()) + 1):
                 row = row[row + d <= last[row]]
-                i = row[~across[row] | (block[row] != block[row + d])]
-                i = i[root[index[i]] != root[index[i + d]]]
+                known = np.where(across[row], both[index[row]] == both[index[row + d]], one[index[row]] == one[index[row + d]])
+                i = row[~known | (across[row] & (block[row] == block[row + d]) & (two[index[row]] != two[index[row + d]]))]
                 i = i[(sketch[i] == sketch[i + d]).sum(axis=1) >= least]
                 if len(i):
-                    root = roots(root, index[i], index[i + d])
-            far = root != np.arange(len(nodes))
+                    x, y, far = index[i], index[i + d], across[i]
+                    same = far & (block[i] == block[i + d])
+                    one = roots(one, x[~far], y[~far])
+                    two = roots(two, x[same], y[same])
+                    both = roots(both, x[far], y[far])
+            found = [_between(nodes, np.arange(len(nodes)), one), _between(nodes, two, both)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes[root[far]]), pa.array(nodes[far])], names=["a", "b"]
+                [pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["a", "b"]
             )
 
     lists = posted.repartition("key", "part").sortWithinPartitions("key", "part")
@@ -284,14 +296,13 @@ def confirmed(members: DataFrame, words: int, percent: int) -> DataFrame:
                     continue
                 group = table.slice(lo, hi - lo)
                 block, node = group.column(2).to_numpy(), group.column(3).to_numpy()
-                links = _linked([hashed(t.as_py()) for t in group.column(4)], percent)
+                links = np.triu(_linked([hashed(t.as_py()) for t in group.column(4)], percent), 1)
+                known = np.arange(hi - lo)
                 if part[lo] >> 32 != part[lo] & 0xFFFFFFFF:
-                    links &= block[:, None] != block[None, :]
-                i, j = np.nonzero(np.triu(links, 1))
-                root = roots(np.arange(hi - lo), i, j)
-                far = root != np.arange(hi - lo)
-                a.append(node[root[far]])
-                b.append(node[far])
+                    known = roots(known, *np.nonzero(links & (block[:, None] == block[None, :])))
+                more = _between(node, known, roots(known, *np.nonzero(links)))
+                a.append(more[0])
+                b.append(more[1])
             if a:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"]
