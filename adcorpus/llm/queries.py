@@ -6,6 +6,7 @@ from adcorpus.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from adcorpus.llm.near_dup import OP5_SQL, op5_minhash_near_dedup
 from adcorpus.llm.packing import op8_best_fit_packing
 from adcorpus.llm.pii import op1_pii
+from adcorpus.llm.secrets import op9_secrets
 from adcorpus.llm.toxicity import op3_toxicity
 
 QUERIES = {
@@ -14,6 +15,7 @@ QUERIES = {
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_secrets": op9_secrets,
 }
 
 ORACLE = {"op5_minhash_near_dedup": OP5_SQL, "op6_exact_dedup": OP6_SQL}

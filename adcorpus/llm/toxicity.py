@@ -33,6 +33,8 @@ CATEGORIES = (
 #: Labelled documents used at most, for each value of the deciding category.
 MAX_ROWS = 3000
 MAX_FEATURES = 3000
+#: Features have at least this chi-square (one degree of freedom) for some category.
+MIN_GAIN = 15.0
 FOLDS = 3
 BEGINNING = 5
 WORD = re.compile(r"[^\W\d_]+")
@@ -131,7 +133,7 @@ def fit_chain(
         spread = F.col("d") * p * (1 - p) * (1 - F.col("d") / n) + F.lit(1e-9)
         gains.append(F.pow(F.col(y) - F.col("d") * p, 2) / spread)
     gain = F.greatest(*gains) if len(gains) > 1 else gains[0]
-    best = per.where("d >= 3").orderBy(gain.desc(), "feature").limit(max_features)
+    best = per.where("d >= 3").where(gain >= MIN_GAIN).orderBy(gain.desc(), "feature").limit(max_features)
     vocabulary = sorted(r["feature"] for r in best.select("feature").collect())
     if not vocabulary:
         return Chain(names)
@@ -139,7 +141,7 @@ def fit_chain(
     encoder = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="features", outputCol="x")
     encoder = encoder.setBinary(True)
     data = encoder.transform(rows).withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)))
-    data = data.drop("features").coalesce(2).persist()
+    data = data.drop("features").coalesce(1).persist()
     weights = np.zeros((len(ys), len(vocabulary)))
     earlier, intercepts = np.zeros((len(ys), len(ys))), np.zeros(len(ys))
     for k, y in enumerate(ys):
@@ -147,7 +149,7 @@ def fit_chain(
         seen = VectorAssembler(inputCols=inputs, outputCol="z").transform(data)
         learner = LogisticRegression(
             featuresCol="z", labelCol=y, probabilityCol="p", rawPredictionCol="raw", predictionCol="hard",
-            maxIter=40, regParam=0.002, elasticNetParam=0.5,
+            maxIter=20, regParam=0.0003, elasticNetParam=0.5,
         )
         model = learner.fit(seen)
         coefficients = model.coefficients.toArray()
@@ -162,7 +164,7 @@ def fit_chain(
             for f in folds[1:]:
                 out = out.union(f)
             out = out.withColumn(f"p{k}", vector_to_array("p")[1]).drop("z", "p", "raw", "hard")
-            known, data = data, out.coalesce(2).persist()
+            known, data = data, out.coalesce(1).persist()
             data.count()
             known.unpersist()
     data.unpersist()
