@@ -10,8 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from adcorpus.llm.common import documents, written
 from adcorpus.llm.exact_dedup import drop_copies
+from adcorpus.llm.mixing import sample_mixture
 from adcorpus.llm.near_dup import drop_near_copies
 from adcorpus.llm.packing import pack
+from adcorpus.llm.toxicity import drop_toxic, labels_table
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_toxic(docs, labels_table(spark, sf_dir))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,22 +28,28 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_near_copies(docs)
 
 
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sample_mixture(docs)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs)
 
 
 STAGES = [
+    ("toxicity", toxicity),
     ("exact dedup", exact_copies),
-    ("MinHash near-dedup", near_copies),
-    ("best-fit packing", packed),
+    ("near dedup", near_copies),
+    ("mixing", mixture),
+    ("packing", packed),
 ]
 
-#: Classifier and signatures have no SQL form; tests hold the stages against brute force.
+#: Classifier, signatures and tokens have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.split()[0].lower())
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
