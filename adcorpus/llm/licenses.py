@@ -6,7 +6,7 @@ may stand between two of them (up to GAP), and sentences that a rule has used ar
 full text is not reported again by the rule for its short notice.
 
 Sentences are read twice: once with line ends closing a sentence (notices on lines of their own),
-once with line ends as blanks (wrapped text). Both rows of identifiers are matched. Everything is
+once with line ends as blanks (wrapped text, up to an empty line). Both rows of identifiers are matched. Everything is
 column expressions on one row; texts without a cue are passed over.
 """
 
@@ -101,7 +101,7 @@ CUES = ("licens", "permission", "redistribut", "free software", "public domain",
 GAP = 3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BY_LINE = r"[.!?;:]+[\x20\x09-\x0D]+|[\x0A-\x0D]+"
-BY_SENTENCE = r"[.!?;:]+[\x20\x09-\x0D]+"
+BY_SENTENCE = r"[.!?;:]+[\x20\x09-\x0D]+|\x0A[\x20\x09\x0D]*\x0A[\x20\x09-\x0D]*"
 IDS = {name: i for i, name in enumerate(SENTENCES, 1)}
 
 

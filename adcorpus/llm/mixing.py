@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from adcorpus.llm.common import as_text, documents, written
 
 #: The default target: shares of tokens to this power, which evens them out a little.
-POWER = 0.9
+POWER = 0.95
 MAX_ROUNDS, TOLERANCE = 50, 1e-10
 #: Cells up to which their table is broadcast to the documents.
 BROADCAST_CELLS = 100_000

@@ -87,7 +87,7 @@ def bigrams(value: Column) -> Column:
     )
 
 
-def markov_ratio(scan: DataFrame, docs: DataFrame, id_col: str, text_col: str, smooth: float = 0.5) -> DataFrame:
+def markov_ratio(scan: DataFrame, docs: DataFrame, id_col: str, text_col: str, pull: float = 16.0) -> DataFrame:
     """One row (ratio array<double>): log P(random) - log P(ordinary) of each character after each
     other, indexed previous * ALPHABET + current. No row content depends on the number of
     documents beyond ``MAX_TRAINING`` on each side. Without labelled strings the array is null."""
@@ -114,14 +114,23 @@ def markov_ratio(scan: DataFrame, docs: DataFrame, id_col: str, text_col: str, s
         .agg(F.sum("r").alias("r"), F.sum(1 - F.col("r")).alias("o"))
     )
     counts = written(counts, "bigrams")
+    counts = counts.select("code", "r", "o", F.floor(F.col("code") / ALPHABET).alias("before"), (F.col("code") % ALPHABET).alias("char"))
     cells = docs.sparkSession.range(ALPHABET * ALPHABET).select(F.col("id").cast("int").alias("code"))
-    cells = cells.join(counts, "code", "left").na.fill(0).withColumn("before", F.floor(F.col("code") / ALPHABET))
-    totals = counts.groupBy(F.floor(F.col("code") / ALPHABET).alias("before")).agg(
-        F.sum("r").alias("nr"), F.sum("o").alias("no")
-    )
-    cells = cells.join(totals, "before", "left").na.fill(0)
-    share = lambda n, total: F.log((F.col(n) + smooth) / (F.col(total) + smooth * ALPHABET))
-    cells = cells.select("code", "r", "o", (share("r", "nr") - share("o", "no")).alias("ratio"))
+    cells = cells.select("code", F.floor(F.col("code") / ALPHABET).alias("before"), (F.col("code") % ALPHABET).alias("char"))
+    cells = cells.join(counts.select("code", "r", "o"), "code", "left")
+    for side, name in (("before", "of"), ("char", "as")):
+        sums = counts.groupBy(side).agg(F.sum("r").alias(f"r_{name}"), F.sum("o").alias(f"o_{name}"))
+        cells = cells.join(sums, side, "left")
+    totals = counts.agg(F.sum("r").alias("r"), F.sum("o").alias("o"))
+    cells = cells.na.fill(0)
+
+    def share(n: str) -> Column:
+        """Log of a bigram's share, drawn towards its character's overall share."""
+        whole = F.coalesce(totals.select(n).scalar(), F.lit(0))
+        single = (F.col(f"{n}_as") + 0.5) / (whole + 0.5 * ALPHABET)
+        return F.log((F.col(n) + pull * single) / (F.col(f"{n}_of") + pull))
+
+    cells = cells.select("code", "r", "o", (share("r") - share("o")).alias("ratio"))
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("code", "ratio"))), lambda c: c["ratio"])
     usable = (F.sum("r") > 0) & (F.sum("o") > 0)
     return cells.agg(F.when(usable, ordered).alias("ratio"))
