@@ -105,8 +105,8 @@ def markov_ratio(scan: DataFrame, docs: DataFrame, id_col: str, text_col: str, p
     ).join(F.broadcast(chosen), "key", "left_semi")
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), r"[0-9a-f]{32,}", " ")
     ordinary = texts.select(F.explode(F.regexp_extract_all(plain, F.lit(WORD), F.lit(0))).alias("value"))
-    # numbers are no identifiers and tell nothing about words
-    ordinary = ordinary.where(F.col("value").rlike("[A-Za-z]"))
+    # numbers are no identifiers, and a string that is to be judged tells nothing about words
+    ordinary = ordinary.where(F.col("value").rlike("[A-Za-z]") & ~F.col("value").rlike(TOKEN))
     strings = random.withColumn("r", F.lit(1)).union(ordinary.withColumn("r", F.lit(0)))
     counts = (
         strings.select("r", F.explode(bigrams(F.col("value"))).alias("code"))
