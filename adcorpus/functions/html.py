@@ -1,6 +1,9 @@
 """HTML to markdown text as a chain of built-in expressions over whole pages.
 
-Pages are often broken, so nothing depends on tags being closed or nested properly.
+Pages are often broken, so nothing depends on tags being closed or nested properly. Every pattern
+takes linear time on any page: the inside of a tag ends at the next ``<`` as well as at ``>``, an
+open tag is looked at to its end before its parts are tried, and runs are taken whole. (An
+attribute that holds a ``<`` is therefore read as text.)
 """
 
 from __future__ import annotations
@@ -17,26 +20,26 @@ INVISIBLE = (
     r"|style\b.*?(?:</style\s*>|\z)"
     r"|noscript\b.*?(?:</noscript\s*>|\z)"
     r"|template\b.*?(?:</template\s*>|\z)"
-    r"|title\b[^>]*>.*?</title\s*>)"
+    r"|title\b[^<>]*>[^<]*(?:</title\s*>)?)"
 )
 SPACES = r"[\t\r\n\f][ \t\r\n\f]*| [ \t\r\n\f]+"
 # Link ends become marks first, so that a page full of unclosed links is still read in one go.
-LINK_OPEN = r"""(?i)<a\b[^>]* href ?= ?["']?([^"'> ]*)["']?[^>]*>"""
+LINK_OPEN = r"""(?i)<a\b(?=[^<>]*+>)[^<>]*? href ?= ?["']?([^"'<> ]*+)[^<>]*+>"""
 LINK_CLOSE = r"(?i)</a ?>"
 LINK = r"\x03([^\x03-\x05]*)\x04([^\x03\x05]*)\x05"
-LINK_REST = r"\x03[^\x04]*\x04|\x05"
-BOLD = r"(?i)<(?:b|strong)\b[^>]*> ?([^<]*[^< ]) ?</(?:b|strong) ?>"
-ITALIC = r"(?i)<(?:i|em)\b[^>]*> ?([^<]*[^< ]) ?</(?:i|em) ?>"
-HEADING = r"<[hH]([1-6])\b[^>]*> ?"
+LINK_REST = r"\x03[^\x03\x04]*+\x04|\x05"
+BOLD = r"(?i)<(?:b|strong)\b[^<>]*+> ?([^<]*[^< ]) ?</(?:b|strong) ?>"
+ITALIC = r"(?i)<(?:i|em)\b[^<>]*+> ?([^<]*[^< ]) ?</(?:i|em) ?>"
+HEADING = r"<[hH]([1-6])\b[^<>]*+> ?"
 HEADING_MARK = "\x02"
-LIST_ITEM = r"(?i)<li\b[^>]*> ?"
-LINE_BREAK = r"(?i)<br\b[^>]*>"
+LIST_ITEM = r"(?i)<li\b[^<>]*+> ?"
+LINE_BREAK = r"(?i)<br\b[^<>]*+>"
 BLOCK = (
     r"(?i)</?(?:p|div|article|section|main|aside|nav|header|footer|ul|ol|dl|dt|dd|table|tr"
-    r"|blockquote|pre|form|figure|hr|h[1-6])\b[^>]*>"
+    r"|blockquote|pre|form|figure|hr|h[1-6])\b[^<>]*+>"
 )
-ANY_TAG = r"<[/!?a-zA-Z][^>]*>"
-LINE_ENDS = r" +\n *|\n +"
+ANY_TAG = r"<[/!?a-zA-Z][^<>]*+>"
+LINE_ENDS = r"(?<! ) ++\n *|\n +"
 BLANK_LINES = r"\n{3,}"
 
 # --- fixed values: named entities; the ampersand comes last --------------------------------
@@ -62,10 +65,17 @@ def _numeric_entities(c: Column) -> Column:
     """Decode ``&#8217;`` and ``&#x2019;``; anything that is no code is left as it is."""
 
     def decode(part: Column) -> Column:
-        digits = F.nullif(F.regexp_extract(part, r"^#([0-9]{1,7});", 1), F.lit(""))
-        hexed = F.nullif(F.regexp_extract(part, r"^#[xX]([0-9a-fA-F]{1,6});", 1), F.lit(""))
-        number = F.coalesce(digits, F.conv(hexed, 16, 10)).cast("bigint")
-        rest = F.regexp_replace(part, r"^#[0-9xXa-fA-F]+;", "")
+        decimal = F.regexp_extract(part, r"^#(?=[0-9])(0*+[0-9]*+);", 1)
+        hexed = F.regexp_extract(part, r"^#[xX](?=[0-9a-fA-F])(0*+[0-9a-fA-F]*+);", 1)
+        # Leading zeros are legal; what is too long after them is no code point.
+        digits, hexes = (F.ltrim(x, F.lit("0")) for x in (decimal, hexed))
+        none = F.lit(0).cast("bigint")
+        number = F.when(
+            decimal != "", F.when(F.length(digits).between(1, 7), digits.cast("bigint")).otherwise(none)
+        ).when(
+            hexed != "", F.when(F.length(hexes).between(1, 6), F.conv(hexes, 16, 10).cast("bigint")).otherwise(none)
+        )
+        rest = F.regexp_replace(part, r"^#[xX]?[0-9a-fA-F]++;", "")
         return F.when(number.isNotNull(), F.concat(_code_point(number), rest)).otherwise(
             F.concat(F.lit("&"), part)
         )

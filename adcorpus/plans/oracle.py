@@ -244,13 +244,30 @@ def _progress(listed: str, done: str, percent: int) -> str:
 PENDING = f"""SELECT source, url, pos FROM (SELECT source, url, min(pos) AS pos FROM ({FRONTIER})
   GROUP BY source, url) ANTI JOIN ({DONE}) USING (source, url)"""
 
+# Own patterns: hidden parts one by one, and tags in the form that HTML itself has.
+HIDDEN = [
+    rf"(?is)<{tag}\b.*?(?:</{tag}\s*>|\z)" for tag in ("script", "style", "noscript", "template")
+]
+BLOCKS_OF_TEXT = (
+    "p div article section main aside nav header footer ul ol dl dt dd table tr blockquote pre form"
+    " figure hr h1 h2 h3 h4 h5 h6"
+)
 MARKDOWN_STEPS = [
-    (h.INVISIBLE, ""), (h.SPACES, " "), (h.LINK_OPEN, "\x03\\1\x04"),
-    (h.LINK_CLOSE, "\x05"), (h.LINK, r"[\2](\1)"), (h.LINK_REST, ""), (h.BOLD, r"**\1**"),
-    (h.ITALIC, r"_\1_"),
-    *[(rf"(?i)<h{n}\b[^>]*> ?", f"\n\n{'#' * n} ") for n in range(1, 7)],
-    (h.LIST_ITEM, "\n* "), (h.LINE_BREAK, "\n"), (h.BLOCK, "\n\n"),
-    (h.ANY_TAG, ""),
+    (r"(?s)<!--.*?(?:-->|\z)", ""),
+    *[(p, "") for p in HIDDEN],
+    (r"(?i)<title\b[^<>]*>[^<]*(?:</title\s*>)?", ""),
+    (r"[ \t\r\n\f]+", " "),
+    (r"""(?i)<a\b[^<>]*? href ?= ?["']?([^"'<> ]*)[^<>]*>""", "\x03\\1\x04"),
+    (r"(?i)</a ?>", "\x05"),
+    (r"\x03([^\x03-\x05]*)\x04([^\x03\x05]*)\x05", r"[\2](\1)"),
+    (r"\x03[^\x03\x04]*\x04|\x05", ""),
+    (r"(?i)<(?:b|strong)\b[^<>]*> ?([^<]*[^< ]) ?</(?:b|strong) ?>", r"**\1**"),
+    (r"(?i)<(?:i|em)\b[^<>]*> ?([^<]*[^< ]) ?</(?:i|em) ?>", r"_\1_"),
+    *[(rf"(?i)<h{n}\b[^<>]*> ?", f"\n\n{'#' * n} ") for n in range(1, 7)],
+    (r"(?i)<li\b[^<>]*> ?", "\n* "),
+    (r"(?i)<br\b[^<>]*>", "\n"),
+    (rf"(?i)</?(?:{'|'.join(BLOCKS_OF_TEXT.split())})\b[^<>]*>", "\n\n"),
+    (r"<[/!?a-zA-Z][^<>]*>", ""),
 ]
 
 
@@ -260,8 +277,8 @@ def markdown(x: str) -> str:
     # The pages hold no numeric entities; unit tests cover those.
     for entity, text in {**h.RARE_ENTITIES, **h.COMMON_ENTITIES}.items():
         x = f"replace({x}, {q(entity)}, {q(text)})"
-    x = f"regexp_replace({x}, {q(h.LINE_ENDS)}, {q(chr(10))}, 'g')"
-    x = f"regexp_replace({x}, {q(h.BLANK_LINES)}, {q(chr(10) * 2)}, 'g')"
+    x = f"regexp_replace({x}, ' +\\n *|\\n +', {q(chr(10))}, 'g')"
+    x = f"regexp_replace({x}, '\\n{{3,}}', {q(chr(10) * 2)}, 'g')"
     return strip(x)
 
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -31,7 +32,10 @@ def markdown(spark, *pages):
         ("<script>never closed <p>x</p>", ""),
         ("<head><title>T</title><meta x></head><body>x</body>", "x"),
         ("a &lt;b&gt; &amp;amp; &quot;q&quot; &copy; &euro;5 &hellip;", 'a <b> &amp; "q" © €5 …'),
-        ("&#8217;&#x2019;&#65;&#0;&#99999999;&#x110000; &# &#x;", "’’A�&#99999999;� &# &#x;"),
+        ("&#8217;&#x2019;&#65;&#0;&#99999999;&#x110000; &# &#x;", "’’A��� &# &#x;"),
+        ("&#00000000065;&#x0000000041;&#000;&#65", "AA�&#65"),
+        ("<title>a <b>x</b>", "**x**"),
+        ("<p <p>x</p <br>y", "<p\n\nx</p\ny"),
         ("a < b and c > d", "a < b and c > d"),
         ("  a \n\t b  <br>  c  ", "a b\nc"),
         ("<p>Đ</p>\n\n\n<div><div>x</div></div>", "Đ\n\nx"),
@@ -51,6 +55,21 @@ def test_unclosed_links_take_linear_time(spark):
     assert text == ("word " * 50_000).strip()
 
 
+@pytest.mark.parametrize(
+    "unit",
+    [
+        "<a href=", "<a href=x ", "<a ", " href=", "<p ", "<title>", "<title", "<script>", "<style ", "<!--", "<b>",
+        "<b> ", "<li ", "<h1 ", "<", "< ", "&nbsp;", "&#", "&#0", "\x03", "\x04", "<a href=/u>", "</script ", "\n ",
+    ],
+)
+def test_broken_pages_of_a_megabyte_take_linear_time(spark, unit):
+    page = ("<a " if unit.startswith(" href") else "") + unit * (1_000_000 // len(unit))
+    df = spark.createDataFrame([(page,)], "html string")
+    start = time.perf_counter()
+    with_markdown(df).select(F.length("markdown")).collect()
+    assert time.perf_counter() - start < 5
+
+
 def test_page_fields(spark):
     html = (
         "<title>T</title><h1>Kỹ sư</h1><p><b>CÔNG TY:</b> ABC<br>Salary: 10 - 15 triệu<br>"
