@@ -1,10 +1,9 @@
 """Small values that every row needs: built once, size-checked, attached without a join.
 
-A label vocabulary, an exemplar list or a run configuration is one value. It is computed as a
-one-row frame and attached as a scalar subquery, so the big side is neither shuffled nor
-joined. The size check is part of the plan: at most ``max_items + 1`` rows ever reach the one
-task that builds the array, and a longer or larger list raises instead of being cut. Callers
-that need more set ``max_items`` or ``max_bytes`` themselves.
+A label vocabulary or an exemplar list that one message must hold is one value. It is computed as
+a one-row frame and attached as a scalar subquery, so the big side is neither shuffled nor joined.
+The caller states how many entries and bytes a message may hold. Both are counted first, by an
+aggregate with map-side combine; only when they fit is the array built, else the query raises.
 """
 
 from __future__ import annotations
@@ -12,17 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_BYTES = 64 << 20
-
 
 def bounded_array(
     df: DataFrame,
     value: Column,
     max_items: int,
+    max_bytes: int,
     what: str,
     name: str = "items",
     bytes_of: Column | None = None,
-    max_bytes: int = MAX_BYTES,
 ) -> DataFrame:
     """One row holding the ascending array of ``value``.
 
@@ -30,27 +27,26 @@ def bounded_array(
     as text) adds up to more than ``max_bytes``.
     """
     size = F.octet_length(value.cast("string")) if bytes_of is None else bytes_of
-    collected = (
-        df.select(value.alias("v"), F.coalesce(size, F.lit(0)).alias("b"))
-        .limit(max_items + 1)
-        .agg(F.sort_array(F.collect_list("v")).alias("a"), F.sum("b").alias("b"))
-    )
-    too_long = F.lit(f"{what}: more than {max_items} entries; raise max_items if this is meant")
-    too_big = F.lit(f"{what}: more than {max_bytes} bytes; raise max_bytes if this is meant")
-    return collected.select(
-        F.when(F.size("a") > max_items, F.raise_error(too_long))
-        .when(F.col("b") > max_bytes, F.raise_error(too_big))
-        .otherwise(F.col("a"))
-        .alias(name)
+    sized = df.select(value.alias("v"), F.coalesce(size, F.lit(0)).alias("b"))
+    totals = sized.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("b"))
+    fits = totals.select(
+        F.when(F.col("n") > max_items, F.raise_error(F.lit(f"{what}: more than {max_items} entries")))
+        .when(F.col("b") > max_bytes, F.raise_error(F.lit(f"{what}: more than {max_bytes} bytes")))
+        .otherwise(F.lit(True))
+        .alias("fits")
     )
+    # Joined to its one row of totals rather than filtered by a subquery: the array is itself used
+    # as a subquery, and the optimizer fails on some nests of those.
+    checked = sized.join(F.broadcast(fits), F.col("fits"))
+    return checked.agg(F.sort_array(F.collect_list("v")).alias(name))
 
 
 def distinct_array(
-    df: DataFrame, value: Column, max_items: int, what: str, name: str = "items"
+    df: DataFrame, value: Column, max_items: int, max_bytes: int, what: str, name: str = "items"
 ) -> DataFrame:
     """As :func:`bounded_array`, over the distinct non-null values."""
     values = df.select(value.alias("v")).where(F.col("v").isNotNull()).distinct()
-    return bounded_array(values, F.col("v"), max_items, what, name)
+    return bounded_array(values, F.col("v"), max_items, max_bytes, what, name)
 
 
 def attach(df: DataFrame, name: str, one_row: DataFrame) -> DataFrame:

@@ -82,10 +82,11 @@ def is_not_negotiable(c: Column, sentinel: str) -> Column:
 def parse_integer(c: Column) -> Column:
     """The first whitespace token that is a whole integer, else null.
 
-    Signs and single underscores between digits are allowed. A value beyond 64 bits is null.
+    Signs and single underscores between digits are allowed. The value is a double, so that an
+    integer of any length is scored; whole numbers up to 2 ** 53 are exact.
     """
     found = F.nullif(F.regexp_extract(c, INTEGER_TOKEN, 1), F.lit(""))
-    return F.replace(found, F.lit("_"), F.lit("")).try_cast("bigint")
+    return F.replace(found, F.lit("_"), F.lit("")).try_cast("double")
 
 
 def fenced_json(c: Column) -> Column:

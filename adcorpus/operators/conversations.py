@@ -15,12 +15,9 @@ from pyspark.sql import Window as W
 from adcorpus.constants import CHATML_GENERATION, CHATML_MESSAGE
 from adcorpus.functions.chat import render_message
 from adcorpus.functions.text import strip, token_count, tokens
+from adcorpus.operators.metrics import null_safe_join
 from adcorpus.operators.topn import take_first
 
-PART_TURNS = 1024
-# The engine moves a rank filter before the shuffle up to this many rows per group.
-RANK_LIMIT = 1_000
-
 
 def _is(role: str) -> Column:
     return F.col("role") == role
@@ -31,15 +28,21 @@ def last_user_assistant(
 ) -> DataFrame:
     """Last user text and last assistant text per conversation, where both are non-empty."""
 
-    def last(role: str) -> Column:
-        return F.max_by(F.when(_is(role), F.col(content)), F.when(_is(role), F.col(turn)))
-
-    # The last message of a role decides even when its content is missing, hence coalesce.
-    filled = df.select(conv, turn, "role", F.coalesce(content, F.lit("")).alias(content))
-    pairs = filled.groupBy(conv).agg(
-        last("user").alias("user_text"), last("assistant").alias("assistant_text")
+    # Turn numbers are found first, in fixed-width aggregates; then only the winning texts are
+    # fetched, by (conversation, turn), which no long conversation makes uneven.
+    ends = df.groupBy(conv).agg(
+        F.max(F.when(_is("user"), F.col(turn))).alias("_user"),
+        F.max(F.when(_is("assistant"), F.col(turn))).alias("_assistant"),
     )
-    return pairs.where((F.col("user_text") != "") & (F.col("assistant_text") != ""))
+    ends = ends.where(F.col("_user").isNotNull() & F.col("_assistant").isNotNull())
+
+    def last(role: str) -> DataFrame:
+        wanted = ends.select(conv, F.col(f"_{role}").alias(turn))
+        rows = df.where(_is(role)).select(conv, turn, F.col(content).alias(f"{role}_text"))
+        # The last message of a role decides even when its content is missing.
+        return rows.join(wanted, [conv, turn]).where(F.col(f"{role}_text") != "").drop(turn)
+
+    return last("user").join(last("assistant"), conv)
 
 
 def prompt_truth_split(
@@ -52,13 +55,11 @@ def prompt_truth_split(
     assistant message has an empty prompt and only gives its truth row.
     """
     df = df.where(F.col(conv).isNotNull() & F.col(turn).isNotNull())
-    ends = df.groupBy(conv).agg(
-        F.max(turn).alias(turn),
-        F.max_by(F.struct("role", F.col(content).alias("content")), F.col(turn)).alias("m"),
-    )
+    ends = df.groupBy(conv).agg(F.max(turn).alias(turn))
     truths = (
-        ends.where(F.col("m.role") == "assistant")
-        .select(conv, turn, F.col("m.role"), F.lower(strip(F.col("m.content"))).alias("content"))
+        df.where(_is("assistant"))
+        .join(ends, [conv, turn])
+        .select(conv, turn, "role", F.lower(strip(F.col(content))).alias("content"))
         .where(F.col("content") != "")
     )
     prompts = df.join(
@@ -92,18 +93,19 @@ def _segments(
 
 def render_conversations(
     df: DataFrame,
+    part_turns: int,
     conv: str = "conv_id",
     turn: str = "turn",
     content: str = "text",
     generation_prompt: bool = False,
     template: tuple[str, str, str] = CHATML_MESSAGE,
     generation: str = CHATML_GENERATION,
-    part_turns: int = PART_TURNS,
 ) -> DataFrame:
-    """Rendered text per conversation as ``(conv, part, text)``.
+    """Rendered text per conversation as ``(conv, part, text, n_parts)``.
 
-    ``part`` is ``turn // part_turns``: an ordinary conversation is one part, a very long one
-    comes in several whose concatenation by part is the whole text. Turns are unique within a
+    ``part`` is ``turn // part_turns``, which the caller chooses: a conversation of fewer turns is
+    one part and has ``n_parts`` 1, a longer one comes in ``n_parts`` parts whose concatenation by
+    part is the whole text. Turns are unique within a
     conversation, so no group exceeds ``part_turns`` rows (one more with ``generation_prompt``).
     The generation prompt is added as one more segment after the last turn of its conversation.
     """
@@ -115,9 +117,11 @@ def render_conversations(
         )
     part = F.expr(f"`{turn}` div {part_turns}").alias("part")
     ordered = F.sort_array(F.collect_list(F.struct(F.col(turn).alias("t"), F.col("segment"))))
-    return segments.groupBy(conv, part).agg(
+    texts = segments.groupBy(conv, part).agg(
         F.array_join(F.transform(ordered, lambda s: s["segment"]), "").alias("text")
     )
+    parts = segments.select(conv, part).distinct().groupBy(conv).agg(F.count(F.lit(1)).alias("n_parts"))
+    return null_safe_join(texts, parts, [conv])
 
 
 def conversation_budget(
@@ -144,10 +148,8 @@ def conversation_budget(
         F.sum(token_count(F.col("segment"))).alias("n_tokens")
     )
     rank = F.row_number().over(W.partitionBy(conv).orderBy(turn))
-    if max_tokens > RANK_LIMIT:
-        segments = take_first(segments, conv, turn, max_tokens)
     heads = (
-        segments.withColumn("rank", rank)
+        take_first(segments, conv, turn, max_tokens).withColumn("rank", rank)
         .where(F.col("rank") <= max_tokens)
         .groupBy(conv)
         .agg(

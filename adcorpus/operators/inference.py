@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 Generate = Callable[[list[str]], Sequence[str]]
 
@@ -22,24 +21,25 @@ def batch_generate(
     """Add ``name``: ``build()``'s function applied to ``prompt`` in batches of ``batch_size``.
 
     ``build`` runs once per task, so a model is loaded once and not per batch. The function
-    must return one text per prompt. Rows stream through in Arrow batches; a task never holds
-    more than one of them.
+    must return one text per prompt. Only prompts go to Python and only texts come back, in Arrow
+    batches of which a task holds one.
     """
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.StringType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("string")
+    def generated(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         generate = build()
         for rows in batches:
             texts: list[str] = []
             for start in range(0, len(rows), batch_size):
-                prompts = rows[prompt].iloc[start : start + batch_size].tolist()
+                prompts = rows.iloc[start : start + batch_size].tolist()
                 answers = list(generate(prompts))
                 if len(answers) != len(prompts):
                     raise ValueError(f"{len(answers)} texts for {len(prompts)} prompts")
                 texts.extend(answers)
-            yield rows.assign(**{name: texts})
+            yield pd.Series(texts, dtype=object)
 
-    return df.mapInPandas(run, schema)
+    # A model need not answer twice alike, and must not be asked twice.
+    return df.withColumn(name, generated.asNondeterministic()(F.col(prompt)))
 
 
 def token_budget_with(
@@ -53,20 +53,17 @@ def token_budget_with(
     ``build()`` gives a function of texts and budget that returns ``(head, n_tokens)`` per text,
     ``n_tokens`` counting the whole text. Adds ``head``, ``n_tokens`` and ``truncated``.
     """
-    schema = T.StructType(
-        [
-            *df.schema.fields,
-            T.StructField("head", T.StringType()),
-            T.StructField("n_tokens", T.LongType()),
-        ]
-    )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("head string, n_tokens bigint")
+    def budgeted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encode = build()
         for rows in batches:
-            pairs = list(encode(rows[text].tolist(), max_tokens))
-            yield rows.assign(
-                head=[head for head, _ in pairs], n_tokens=[count for _, count in pairs]
-            )
+            pairs = list(encode(rows.tolist(), max_tokens))
+            yield pd.DataFrame(pairs, columns=["head", "n_tokens"])
 
-    return df.mapInPandas(run, schema).withColumn("truncated", F.col("n_tokens") > max_tokens)
+    return df.withColumn("_budget", budgeted.asNondeterministic()(F.col(text))).select(
+        *df.columns,
+        F.col("_budget.head").alias("head"),
+        F.col("_budget.n_tokens").alias("n_tokens"),
+        (F.col("_budget.n_tokens") > max_tokens).alias("truncated"),
+    )

@@ -9,16 +9,16 @@ from adcorpus.constants import UNKNOWN_CATEGORY
 from adcorpus.functions.bounded import distinct_array
 from adcorpus.functions.text import strip
 
-MAX_LABELS = 10_000
 
-
-def label_vocabulary(df: DataFrame, label: str, max_labels: int = MAX_LABELS) -> DataFrame:
+def label_vocabulary(df: DataFrame, label: str, max_labels: int, max_bytes: int) -> DataFrame:
     """One row, one column ``labels``: distinct raw labels, sorted, then lowered.
 
     Lowering comes last, so labels that differ only in case stay as repeated entries. Nulls are
-    dropped. The distinct runs with map-side combine: only labels are shuffled, never rows.
+    dropped. The distinct runs with map-side combine: only labels are shuffled, never rows. One
+    message holds them all, so the caller says what fits (``max_labels``, ``max_bytes``); where
+    labels only have to be looked up, :func:`parse_category` takes a label table of any size.
     """
-    raw = distinct_array(df, F.col(label), max_labels, "label vocabulary", "labels")
+    raw = distinct_array(df, F.col(label), max_labels, max_bytes, "label vocabulary", "labels")
     return raw.select(F.transform("labels", F.lower).alias("labels"))
 
 
@@ -30,32 +30,14 @@ def quoted_labels(labels: Column) -> Column:
 
 
 def parse_category(
-    df: DataFrame,
-    generated: str,
-    vocabulary: DataFrame,
-    name: str = "predicted",
-    default: str = UNKNOWN_CATEGORY,
-) -> DataFrame:
-    """Exact match of the stripped, lowered text against ``vocabulary.labels``, else ``default``.
-
-    The vocabulary is bounded by :func:`label_vocabulary`, which is what allows the broadcast;
-    the lookup is then one hash probe per row with no shuffle of ``df``.
-    """
-    known = vocabulary.select(F.explode(F.array_distinct("labels")).alias("_known"))
-    keyed = df.withColumn("_key", F.lower(strip(F.col(generated))))
-    joined = keyed.join(F.broadcast(known), F.col("_key") == F.col("_known"), "left")
-    return joined.withColumn(name, F.coalesce("_known", F.lit(default))).drop("_key", "_known")
-
-
-def parse_category_large(
     df: DataFrame,
     generated: str,
     known: DataFrame,
-    label: str,
+    label: str = "label",
     name: str = "predicted",
     default: str = UNKNOWN_CATEGORY,
 ) -> DataFrame:
-    """As :func:`parse_category` for a label table of any size.
+    """Exact match of the stripped, lowered text against a label table of any size, else ``default``.
 
     ``known`` is de-duplicated and joined without a hint: the engine broadcasts it if it turns
     out small, else shuffles. One very common answer is then split by the adaptive skew join,

@@ -121,25 +121,63 @@ def class_report(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return labels.select(*columns).unionByName(summary.select(*columns))
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """An equi-join in which null keys meet null keys."""
+    other = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(other, on, how).drop(*[f"_r_{k}" for k in keys])
+
+
+#: Characters of a label that group it for numbering.
+LABEL_PREFIX = 3
+
+
 def label_universe(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Distinct labels of truth and prediction per run, numbered by ascending label."""
-    truths = counts.select(*by, F.col("truth").alias("label"))
-    preds = counts.select(*by, F.col("pred").alias("label"))
-    labels = truths.union(preds).distinct()
-    run = W.partitionBy(*by)
-    return labels.select(
-        *by,
-        "label",
-        F.row_number().over(run.orderBy("label")).alias("pos"),
-        F.count(F.lit(1)).over(run).cast("int").alias("n_labels"),
+    """Distinct labels of truth and prediction per run, numbered by ascending label, null first.
+
+    No run's labels meet in one task: a label's number is the count of labels with smaller
+    beginnings, a running total over the beginnings, and its rank among those with its own.
+    """
+    sides = counts.select(*by, "n", F.explode(F.array("truth", "pred")).alias("label"))
+    # Counts stay in use, so that this branch shares the exchange of the confusion counts.
+    labels = sides.groupBy(*by, "label").agg(F.sum("n").alias("_n")).where("_n > 0").drop("_n")
+    labels = labels.withColumn("_start", F.coalesce(F.substring("label", 1, LABEL_PREFIX), F.lit("")))
+    labels = labels.withColumn("_null", F.col("label").isNull())
+    run = W.partitionBy(*by).orderBy(F.col("_null").desc(), "_start")
+    before = run.rowsBetween(W.unboundedPreceding, W.currentRow)
+    whole = W.partitionBy(*by)
+    starts = (
+        labels.groupBy(*by, "_null", "_start")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_before", F.sum("_n").over(before) - F.col("_n"))
+        .withColumn("n_labels", F.sum("_n").over(whole).cast("int"))
+        .drop("_n")
+    )
+    within = W.partitionBy(*by, "_null", "_start").orderBy("label")
+    ranked = labels.withColumn("_rank", F.row_number().over(within))
+    numbered = null_safe_join(ranked, starts, [*by, "_null", "_start"])
+    return numbered.select(
+        *by, "label", (F.col("_before") + F.col("_rank")).cast("int").alias("pos"), "n_labels"
     )
 
 
+def confusion_cells(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The matrix without its empty cells: ``row``, ``col``, ``truth``, ``pred``, ``n``.
+
+    Its size is that of the counts, whatever the number of labels.
+    """
+    labels = label_universe(counts, by).drop("n_labels")
+    rows = labels.select(*by, F.col("label").alias("truth"), F.col("pos").cast("bigint").alias("row"))
+    cols = labels.select(*by, F.col("label").alias("pred"), F.col("pos").cast("bigint").alias("col"))
+    named = null_safe_join(null_safe_join(counts, rows, [*by, "truth"]), cols, [*by, "pred"])
+    return named.select(*by, "row", "col", "truth", "pred", F.col("n").cast("bigint").alias("n"))
+
+
 def confusion_matrix(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Dense matrix in long form: ``row`` and ``col`` positions, ``truth``, ``pred``, ``n``.
 
-    The cells come from exploding each label's row of positions and equi-joins, so the size of
-    the label set is not limited by any single task's memory.
+    It has a row per pair of a run's labels, null labels and null runs included, so that ``n``
+    adds up to all predictions. Take :func:`confusion_cells` where labels are many.
     """
     labels = label_universe(counts, by)
     cells = labels.select(
@@ -148,10 +186,9 @@ def confusion_matrix(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.col("pos").alias("row"),
         F.explode(F.sequence(F.lit(1), F.col("n_labels"))).alias("pos"),
     )
-    named = cells.join(
-        labels.select(*by, F.col("label").alias("pred"), "pos"), [*by, "pos"]
-    ).withColumnRenamed("pos", "col")
-    return named.join(counts, [*by, "truth", "pred"], "left").select(
+    names = labels.select(*by, F.col("label").alias("pred"), "pos")
+    named = null_safe_join(cells, names, [*by, "pos"]).withColumnRenamed("pos", "col")
+    return null_safe_join(named, counts, [*by, "truth", "pred"], "left").select(
         *by,
         F.col("row").cast("bigint").alias("row"),
         F.col("col").cast("bigint").alias("col"),

@@ -22,7 +22,7 @@ from adcorpus.constants import (
     SALARY_LINES,
     SALARY_SYSTEM,
 )
-from adcorpus.functions.bounded import MAX_BYTES, bounded_array
+from adcorpus.functions.bounded import bounded_array
 from adcorpus.functions.chat import message, messages
 from adcorpus.functions.text import (
     category_label,
@@ -33,8 +33,6 @@ from adcorpus.functions.text import (
 )
 from adcorpus.operators.labels import quoted_labels
 
-MAX_EXEMPLARS = 1_000
-
 
 def require_columns(df: DataFrame, names: Sequence[str]) -> None:
     missing = [n for n in names if n not in df.columns]
@@ -47,8 +45,8 @@ def exemplar_turns(
     order: str,
     text: str,
     label: str,
-    max_exemplars: int = MAX_EXEMPLARS,
-    max_bytes: int = MAX_BYTES,
+    max_exemplars: int,
+    max_bytes: int,
 ) -> DataFrame:
     """One row, one column ``turns``: user and assistant messages of the exemplars, in order.
 
@@ -58,9 +56,9 @@ def exemplar_turns(
         exemplars,
         F.struct(F.col(order).alias("o"), F.col(text).alias("t"), F.col(label).alias("l")),
         max_exemplars,
+        max_bytes,
         "exemplars",
         bytes_of=F.octet_length(text) + F.octet_length(label),
-        max_bytes=max_bytes,
     )
     pairs = F.transform(
         "items", lambda e: messages(("user", e["t"]), ("assistant", e["l"]))
@@ -73,9 +71,9 @@ def _prefix(system: DataFrame, exemplars: DataFrame | None) -> DataFrame:
     head = F.array(message("system", F.col("system")))
     if exemplars is None:
         return system.select(head.alias("prefix"))
-    return system.withColumn("turns", exemplars.scalar()).select(
-        F.concat(head, F.col("turns")).alias("prefix")
-    )
+    # One row each, joined rather than attached: the result is a subquery itself.
+    both = system.join(F.broadcast(exemplars), F.col("turns").isNotNull())
+    return both.select(F.concat(head, F.col("turns")).alias("prefix"))
 
 
 def category_system(vocabulary: DataFrame) -> DataFrame:

@@ -20,15 +20,21 @@ from adcorpus.operators import sampling as smp
 from adcorpus.operators.grid import RUN_COLUMNS, run_grid, scores_on_grid
 from adcorpus.operators.inference import batch_generate, token_budget_with
 from adcorpus.plans import bindings as b
-from adcorpus.plans.evaluation import scorable_prompts
+from adcorpus.plans.evaluation import evaluate_categories, evaluate_salaries, scorable_prompts
 from adcorpus.plans.formatting import FANOUT_COLUMNS, format_splits
 from adcorpus.plans.ingest import ingest_step
 from adcorpus.plans.training import training_texts
-from adcorpus.sources.readers import labelled_texts, salary_exemplars, spread
+from adcorpus.sources.readers import labelled_texts, salary_exemplars
 from adcorpus.sources.schemas import JOB_AD, LIST_FIELDS
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# What one message may hold: entries and bytes.
+VOCABULARY_LIMITS = (100_000, 16 << 20)
+EXEMPLAR_LIMITS = (1_000, 64 << 20)
+# Turns per rendered part.
+PART_TURNS = 1024
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(b.TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
@@ -53,6 +59,10 @@ def _alternate_ads(spark: SparkSession, sf: str) -> DataFrame:
     return bound(joined, b.ALTERNATE_ADS)
 
 
+def _vocabulary(ads: DataFrame) -> DataFrame:
+    return lab.label_vocabulary(ads, "category", *VOCABULARY_LIMITS)
+
+
 def _category_exemplars(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").withColumnRenamed("lang", "category")
     complete = docs.where(text.is_present(F.col("text")) & text.is_present(F.col("category")))
@@ -62,7 +72,7 @@ def _category_exemplars(spark: SparkSession, sf: str) -> DataFrame:
         text.category_label(F.col("category")).alias("category"),
     )
     chosen = smp.one_per_label(usable, "category", "doc_id", "doc_id", max_labels=16)
-    return pr.exemplar_turns(chosen, "first_pos", "text", "category")
+    return pr.exemplar_turns(chosen, "first_pos", "text", "category", *EXEMPLAR_LIMITS)
 
 
 def _salary_exemplars(spark: SparkSession, sf: str) -> DataFrame:
@@ -70,7 +80,7 @@ def _salary_exemplars(spark: SparkSession, sf: str) -> DataFrame:
     # Formatted records always have both texts, so sampling may come first.
     chosen = smp.sample_k(records, 3, "p_partkey")
     chosen = smp.record_pairs(chosen, ["p_partkey"], "salary")
-    return pr.exemplar_turns(chosen, "p_partkey", "text", "salary")
+    return pr.exemplar_turns(chosen, "p_partkey", "text", "salary", *EXEMPLAR_LIMITS)
 
 
 # --- prompts ---------------------------------------------------------------------------------
@@ -78,7 +88,7 @@ def _salary_exemplars(spark: SparkSession, sf: str) -> DataFrame:
 
 def category_prompts(spark: SparkSession, sf: str) -> DataFrame:
     ads = _category_ads(spark, sf)
-    records = pr.category_messages(ads, lab.label_vocabulary(ads, "category"), keep=["doc_id"])
+    records = pr.category_messages(ads, _vocabulary(ads), keep=["doc_id"])
     return pr.explode_messages(records, ["doc_id"])
 
 
@@ -86,7 +96,7 @@ def category_prompts_fewshot(spark: SparkSession, sf: str) -> DataFrame:
     ads = _category_ads(spark, sf)
     records = pr.category_messages(
         ads,
-        lab.label_vocabulary(ads, "category"),
+        _vocabulary(ads),
         keep=["doc_id"],
         exemplars=_category_exemplars(spark, sf),
     )
@@ -146,13 +156,17 @@ def split_fanout(spark: SparkSession, sf: str) -> DataFrame:
     alternate = bound(
         joined, {**b.ALTERNATE_ADS, "id": "s_suppkey", "split": b.SPLIT_OF_SUPPLIER}
     )
-    formatted = format_splits(main, alternate, keep=["id"])
+    vocabulary = _vocabulary(main)
+    zero = format_splits(main, alternate, vocabulary, keep=["id"])
+    shots = _salary_exemplars(spark, sf)
+    few = format_splits(main, alternate, vocabulary, salary_exemplars=shots, keep=["id"])
+    formatted = zero.unionByName(few.where("shots = 'few'"))
     return pr.explode_messages(formatted, [*FANOUT_COLUMNS, "id"])
 
 
 def chat_records(spark: SparkSession, sf: str) -> DataFrame:
     ads = _category_ads(spark, sf)
-    records = pr.category_messages(ads, lab.label_vocabulary(ads, "category"), keep=["doc_id"])
+    records = pr.category_messages(ads, _vocabulary(ads), keep=["doc_id"])
     record = chat.chat_record(F.col("messages"), expected=chat.ground_truth(F.col("messages")))
     return records.select("doc_id", record.alias("r")).select(
         "doc_id",
@@ -163,7 +177,7 @@ def chat_records(spark: SparkSession, sf: str) -> DataFrame:
 
 def label_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").selectExpr(f"{b.MIXED_CASE_LANG} AS category")
-    vocabulary = lab.label_vocabulary(docs, "category")
+    vocabulary = _vocabulary(docs)
     return vocabulary.select(
         F.posexplode("labels").alias("pos", "label"),
         lab.quoted_labels(F.col("labels")).alias("rendered"),
@@ -216,15 +230,17 @@ def valid_conversations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chat_render(spark: SparkSession, sf: str) -> DataFrame:
-    return conv.render_conversations(table(spark, sf, "conversations"))
+    return conv.render_conversations(table(spark, sf, "conversations"), PART_TURNS)
 
 
 def chat_render_genprompt(spark: SparkSession, sf: str) -> DataFrame:
-    return conv.render_conversations(table(spark, sf, "conversations"), generation_prompt=True)
+    return conv.render_conversations(
+        table(spark, sf, "conversations"), PART_TURNS, generation_prompt=True
+    )
 
 
 def token_budget(spark: SparkSession, sf: str) -> DataFrame:
-    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    docs = table(spark, sf, "documents").select("doc_id", "text")
     return docs.select("doc_id", chat.budget(F.col("text")).alias("b")).select("doc_id", "b.*")
 
 
@@ -233,7 +249,7 @@ def conversation_budget(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def token_budget_hook(spark: SparkSession, sf: str) -> DataFrame:
-    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    docs = table(spark, sf, "documents").select("doc_id", "text")
 
     def build():
         def characters(texts: list[str], max_tokens: int) -> list[tuple[str, int]]:
@@ -255,8 +271,7 @@ def _answers(spark: SparkSession, sf: str) -> DataFrame:
 
 def _classified(spark: SparkSession, sf: str) -> DataFrame:
     answers = _answers(spark, sf)
-    vocabulary = lab.label_vocabulary(table(spark, sf, "documents"), "lang")
-    return lab.parse_category(answers, "answer", vocabulary)
+    return lab.parse_category(answers, "answer", table(spark, sf, "documents"), "lang")
 
 
 def parse_category(spark: SparkSession, sf: str) -> DataFrame:
@@ -267,7 +282,7 @@ def parse_category(spark: SparkSession, sf: str) -> DataFrame:
 
 def parse_category_large(spark: SparkSession, sf: str) -> DataFrame:
     known = table(spark, sf, "documents").select("lang")
-    return lab.parse_category_large(_answers(spark, sf), "answer", known, "lang").select(
+    return lab.parse_category(_answers(spark, sf), "answer", known, "lang").select(
         "doc_id", "predicted"
     )
 
@@ -303,6 +318,41 @@ def confusion_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return met.confusion_matrix(_counts(spark, sf), ["run"])
 
 
+def confusion_cells(spark: SparkSession, sf: str) -> DataFrame:
+    return met.confusion_cells(_counts(spark, sf), ["run"])
+
+
+def evaluation_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Records to scores: prompts from labelled documents, answers, parsed and scored per run; one
+    run has no adapter, and some documents have no label, so no truth."""
+    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+    generations = docs.selectExpr(
+        "CASE WHEN source < 'src5' THEN 'm1' ELSE 'm2' END AS model",
+        "CASE WHEN lang = 'en' THEN NULL ELSE lang END AS adapter",
+        "'docs' AS test_tag",
+        "CAST(quality AS STRING) AS ground_truth",
+        "CASE WHEN n_chars % 3 = 0 THEN ' 1 ' WHEN n_chars % 3 = 1 THEN '0' ELSE 'x' END AS generated_text",
+    )
+    known = table(spark, sf, "labels").selectExpr("CAST(quality AS STRING) AS label")
+    return evaluate_categories(generations, known)["matrix"]
+
+
+def salary_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
+    """Records, prompts, batched generation, parsed amounts and scores in one job."""
+    records = pr.salary_messages(_salary_ads(spark, sf), keep=["p_partkey", "contract_type"])
+    prompts = scorable_prompts(records, ["contract_type"]).selectExpr(
+        "'echo' AS model", "CAST(NULL AS STRING) AS adapter", "contract_type AS test_tag",
+        "prompt", "ground_truth",
+    )
+
+    def build():
+        # A stand-in model: the length of the prompt as a salary.
+        return lambda texts: [f"about {len(t) * 4} triệu" for t in texts]
+
+    scores = evaluate_salaries(batch_generate(prompts, build))["scores"]
+    return _rounded(scores, *SCORE_COLUMNS)
+
+
 def label_universe(spark: SparkSession, sf: str) -> DataFrame:
     universe = met.label_universe(_counts(spark, sf), ["run"])
     return universe.select(
@@ -317,7 +367,7 @@ def _salary_answers(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "lineitem").select(
         "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus"
     )
-    joined = spread(lines).join(
+    joined = lines.join(
         table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")
     )
     stated = joined.selectExpr(
@@ -347,7 +397,7 @@ def run_grid_scores(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "lineitem")
     grid = run_grid(
         lines.select("l_returnflag"), lines.select("l_linestatus"),
-        table(spark, sf, "part").select("p_type"),
+        table(spark, sf, "part").select("p_type"), max_choices=1000,
     )
     scores = met.regression_scores(_salary_answers(spark, sf), "truth", "pred", RUN_COLUMNS)
     return _rounded(scores_on_grid(grid, scores), *SCORE_COLUMNS)
@@ -408,7 +458,7 @@ def quota_take(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def resume_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    pages = spread(table(spark, sf, "pages"))
+    pages = table(spark, sf, "pages")
     listed = _frontier(spark, sf, b.PAGE_LISTED)
     results = _results(spark, sf, b.PAGE_DONE)
     kept, fresh = ingest_step(listed, results, pages, percent=80)
@@ -423,11 +473,11 @@ def resume_ingest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def html_to_markdown(spark: SparkSession, sf: str) -> DataFrame:
-    return with_markdown(spread(table(spark, sf, "pages").select("page_id", "html"))).drop("html")
+    return with_markdown(table(spark, sf, "pages").select("page_id", "html")).drop("html")
 
 
 def page_fields(spark: SparkSession, sf: str) -> DataFrame:
-    fields = pg.page_fields(spread(table(spark, sf, "pages")), keep=["page_id"])
+    fields = pg.page_fields(table(spark, sf, "pages"), keep=["page_id"])
     columns = [
         F.array_join(f"record.{n}", "|").alias(n) if n in LIST_FIELDS else F.col(f"record.{n}")
         for n in JOB_AD.names
@@ -436,7 +486,7 @@ def page_fields(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def extraction_prompt(spark: SparkSession, sf: str) -> DataFrame:
-    pages = with_markdown(spread(table(spark, sf, "pages").select("page_id", "html")))
+    pages = with_markdown(table(spark, sf, "pages").select("page_id", "html"))
     return pages.select("page_id", pg.extraction_prompt(F.col("markdown")).alias("prompt"))
 
 
@@ -459,7 +509,7 @@ def record_or_raw(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def typed_parse_quarantine(spark: SparkSession, sf: str) -> DataFrame:
-    events = spread(table(spark, sf, "events").select("event_id", "event_type"))
+    events = table(spark, sf, "events").select("event_id", "event_type")
     events = events.selectExpr("event_id", f"{b.AD_JSON} AS ad")
     rows = pg.typed_parse(events, "ad", ["event_id"])
     return rows.select(
@@ -507,7 +557,7 @@ def salary_exemplar_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def corpus_profile(spark: SparkSession, sf: str) -> DataFrame:
-    docs = spread(table(spark, sf, "documents").select("text", "source", "lang"))
+    docs = table(spark, sf, "documents").select("text", "source", "lang")
     return _rounded(prof.corpus_profile(docs, "text", "source", "lang"), "avg_words")
 
 
@@ -530,7 +580,7 @@ def salary_value_range(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def generate_batches(spark: SparkSession, sf: str) -> DataFrame:
-    docs = spread(table(spark, sf, "documents").select("doc_id", F.col("text").alias("prompt")))
+    docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("prompt"))
 
     def build():
         return lambda prompts: [f"{len(p)} characters" for p in prompts]
@@ -549,6 +599,7 @@ QUERIES: dict[str, Query] = {
         valid_conversations, chat_render, chat_render_genprompt, token_budget,
         conversation_budget, token_budget_hook, parse_category, parse_category_large,
         parse_salary, class_scores, class_scores_overall, class_report, confusion_matrix,
+        confusion_cells, evaluation_runs, salary_end_to_end,
         label_universe, regression_scores, run_grid_scores, distinct_urls, pending_urls,
         stale_results, frontier_progress, quota_take, resume_ingest, html_to_markdown,
         page_fields, extraction_prompt, fenced_json, record_or_raw, typed_parse_quarantine,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from adcorpus.functions.chat import ground_truth, is_valid, prompt_messages, render
 from adcorpus.functions.text import is_present, parse_integer
-from adcorpus.operators.grid import RUN_COLUMNS, scores_on_grid
+from adcorpus.operators.grid import RUN_COLUMNS, adapter_label, scores_on_grid
 from adcorpus.operators.labels import parse_category
 from adcorpus.operators.metrics import (
     class_report,
@@ -41,6 +41,11 @@ def scorable_prompts(
     return usable.select(*keep, prompt.alias("prompt"), ground_truth(msgs).alias("ground_truth"))
 
 
+def _runs(generations: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Runs without an adapter get its label, as in the grid."""
+    return adapter_label(generations, "adapter") if "adapter" in by else generations
+
+
 def evaluate_categories(
     generations: DataFrame,
     vocabulary: DataFrame,
@@ -52,7 +57,7 @@ def evaluate_categories(
     ``generations`` holds the run columns, ``ground_truth`` and ``generated_text``. All score
     tables derive from one aggregate, the confusion counts.
     """
-    parsed = parse_category(generations, "generated_text", vocabulary, "predicted_category")
+    parsed = parse_category(_runs(generations, by), "generated_text", vocabulary, name="predicted_category")
     predictions = flag_correct(parsed, "ground_truth", "predicted_category")
     counts = confusion_counts(predictions, "ground_truth", "predicted_category", by)
     return {"predictions": predictions, **_from_counts(counts, by, grid)}
@@ -77,7 +82,8 @@ def save_categories(
     The generations are read twice, for the predictions and for the counts; the three score
     tables share the cached counts, which hold a row per run and pair of labels.
     """
-    parsed = parse_category(generations, "generated_text", vocabulary, "predicted_category")
+    generations = _runs(generations, RUN_COLUMNS)
+    parsed = parse_category(generations, "generated_text", vocabulary, name="predicted_category")
     predictions = flag_correct(parsed, "ground_truth", "predicted_category")
     counts = confusion_counts(
         predictions, "ground_truth", "predicted_category", RUN_COLUMNS
@@ -100,7 +106,7 @@ def evaluate_salaries(
     grid: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Tables ``predictions`` (parsable rows only) and ``scores`` (with coverage)."""
-    parsed = generations.withColumn(
+    parsed = _runs(generations, by).withColumn(
         "predicted_salary", parse_integer(F.col("generated_text"))
     ).withColumn("ground_truth_salary", parse_integer(F.col("ground_truth")))
     scores = regression_scores(parsed, "ground_truth_salary", "predicted_salary", by)

@@ -37,7 +37,7 @@ def parse_integer(x: str) -> str:
         f"list_filter(regexp_extract_all(lower({x}), '{TOKEN}'),"
         " lambda w: regexp_full_match(w, '[+-]?[0-9]+(_[0-9]+)*'))[1]"
     )
-    return f"TRY_CAST(replace({first}, '_', '') AS BIGINT)"
+    return f"TRY_CAST(replace({first}, '_', '') AS DOUBLE)"
 
 
 def sample_key(column: str, seed: int = 42) -> str:
@@ -126,17 +126,18 @@ SPLIT_ADS = bound(
     {**b.SALARY_ADS, "id": "p_partkey", "description": "p_name || ' ' || p_brand",
      "category": "p_type", "split": b.SPLIT_OF_PART}, "part",
 )
-SPLIT_FANOUT = f"""WITH ads AS ({SPLIT_ADS}),
-alt_ads AS ({_as_main(b.ALTERNATE_ADS, {'id': 's_suppkey', 'split': b.SPLIT_OF_SUPPLIER})}),
+SPLIT_FANOUT = f"""WITH {MAIN_ROWS}, {SALARY_EXEMPLARS}, ads AS ({SPLIT_ADS}),
+other_ads AS ({_as_main(b.ALTERNATE_ADS, {'id': 's_suppkey', 'split': b.SPLIT_OF_SUPPLIER})}),
 system AS (SELECT {q(k.CATEGORY_SYSTEM_HEAD)} || string_agg('"' || lower(c) || '"', ', ' ORDER BY c)
   || {q(k.CATEGORY_SYSTEM_TAIL)} AS s FROM (SELECT DISTINCT category AS c FROM ads)),
 cat AS (SELECT 'category' AS task, 'main' AS variant, split, id, {clean('description')} AS t,
   lower({clean('category')}) AS l FROM ads),
 sal AS (SELECT 'salary' AS task, 'main' AS variant, * FROM ({_salary_rows(['split', 'id'], 'ads')})
-  UNION ALL SELECT 'salary', 'alternate', * FROM ({_salary_rows(['split', 'id'], 'alt_ads')}))
-{_messages('task, variant, split, id', '(SELECT s FROM system)',
+  UNION ALL SELECT 'salary', 'alternate', * FROM ({_salary_rows(['split', 'id'], 'other_ads')}))
+{_messages("task, variant, 'zero' AS shots, split, id", '(SELECT s FROM system)',
            f"{q(k.CATEGORY_USER_PREFIX)} || t", 'l', 'cat', False)}
-UNION ALL {_salary('task, variant, split, id', 'sal')}"""
+UNION ALL {_salary("task, variant, 'zero', split, id", 'sal')}
+UNION ALL {_salary("task, variant, 'few', split, id", 'sal', True)}"""
 
 # --- conversations ---------------------------------------------------------------------------
 
@@ -156,7 +157,8 @@ TRUTHS = f"""SELECT conv_id, turn, role, lower({strip('text')}) AS content FROM
 
 def _rendered(source: str) -> str:
     return f"""SELECT conv_id, CAST(turn // 1024 AS BIGINT) AS part,
-  string_agg(segment, '' ORDER BY turn) AS text FROM ({source}) GROUP BY ALL"""
+  string_agg(segment, '' ORDER BY turn) AS text, count(*) OVER (PARTITION BY conv_id) AS n_parts
+  FROM ({source}) GROUP BY conv_id, turn // 1024"""
 
 
 def _budget(id_column: str, source: str, n: int) -> str:
@@ -423,6 +425,33 @@ ORACLE: dict[str, str] = {
       SELECT r.run, CAST(r.i AS BIGINT) AS row, CAST(c.i AS BIGINT) AS col, r.label AS truth,
       c.label AS pred, count(p.doc_id) AS n FROM idx r JOIN idx c ON r.run = c.run
       LEFT JOIN parsed p ON p.run = r.run AND p.truth = r.label AND p.pred = c.label GROUP BY ALL""",
+    "confusion_cells": f"""WITH {CLASSIFIED}, {PER_LABEL},
+      idx AS (SELECT run, label, row_number() OVER (PARTITION BY run ORDER BY label) AS i FROM labels_of)
+      SELECT p.run, r.i AS row, c.i AS col, p.truth, p.pred, count(*) AS n FROM parsed p
+      JOIN idx r ON r.run = p.run AND r.label = p.truth JOIN idx c ON c.run = p.run AND c.label = p.pred
+      GROUP BY ALL""",
+    "evaluation_runs": f"""WITH g AS (SELECT CASE WHEN source < 'src5' THEN 'm1' ELSE 'm2' END AS model,
+        CASE WHEN lang = 'en' THEN 'no-adapter' ELSE lang END AS adapter, 'docs' AS test_tag,
+        CAST(quality AS VARCHAR) AS truth, CASE n_chars % 3 WHEN 0 THEN '1' WHEN 1 THEN '0'
+        ELSE {q(k.UNKNOWN_CATEGORY)} END AS pred FROM documents LEFT JOIN labels USING (doc_id)),
+      l AS (SELECT model, adapter, test_tag, truth AS label FROM g UNION
+        SELECT model, adapter, test_tag, pred FROM g),
+      idx AS (SELECT *, row_number() OVER (PARTITION BY model, adapter, test_tag
+        ORDER BY label NULLS FIRST) AS i FROM l)
+      SELECT r.model, r.adapter, r.test_tag, r.i AS row, c.i AS col, r.label AS truth, c.label AS pred,
+        count(g.model) AS n FROM idx r JOIN idx c USING (model, adapter, test_tag)
+      LEFT JOIN g ON g.model = r.model AND g.adapter = r.adapter AND g.truth IS NOT DISTINCT FROM r.label
+        AND g.pred IS NOT DISTINCT FROM c.label GROUP BY ALL""",
+    "salary_end_to_end": f"""WITH main_ads AS ({bound(b.SALARY_ADS, 'part')}),
+      main AS ({_salary_rows(['p_partkey', 'contract_type AS kind'], 'main_ads')}),
+      texts AS (SELECT kind, {strip('label')} AS truth,
+        {q(k.CHATML_MESSAGE[0] + 'system' + k.CHATML_MESSAGE[1] + k.SALARY_SYSTEM + k.CHATML_MESSAGE[2]
+           + k.CHATML_MESSAGE[0] + 'user' + k.CHATML_MESSAGE[1])} || {USER}
+        || {q(k.CHATML_MESSAGE[2] + k.CHATML_GENERATION)} AS prompt FROM main WHERE {strip('label')} <> ''),
+      parsed AS (SELECT 'echo' AS model, 'no-adapter' AS adapter, kind AS test_tag,
+        {parse_integer('truth')} AS t, CAST(length(prompt) * 4 AS DOUBLE) AS p FROM texts),
+      mean AS (SELECT test_tag AS g, avg(t) AS mt FROM parsed WHERE t IS NOT NULL GROUP BY ALL)
+      SELECT model, adapter, test_tag, {REGRESSION} FROM ({FLAGGED}) JOIN mean ON g = test_tag GROUP BY ALL""",
     "label_universe": f"""WITH {CLASSIFIED}, {PER_LABEL} SELECT run, label,
       CAST(row_number() OVER (PARTITION BY run ORDER BY label) AS BIGINT) AS pos,
       count(*) OVER (PARTITION BY run) AS n_labels FROM labels_of""",

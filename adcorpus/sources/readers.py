@@ -14,20 +14,9 @@ from adcorpus.functions.text import strip
 from adcorpus.sources.schemas import ADS, CHAT, EXTRACTION, FRONTIER, JOB_AD
 
 BOM = "\ufeff"
-# Bits of monotonically_increasing_id that number the rows within one task.
-ROW_BITS = 33
-# Splits of a file are at least a mebibyte apart.
-BLOCK_BITS = 20
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for heavy per-row work on an input with fewer splits than cores.
-
-    For a file scan (the count is taken from its planned splits). A large input has more splits
-    than the cluster has cores and comes back unchanged, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+# The low bits of a position number the rows within one task; the bits above hold the byte at
+# which the line's block starts, whatever the size of the blocks.
+ROW_BITS, BYTE_BITS = 28, 35
 
 
 def _csv(spark: SparkSession):
@@ -135,9 +124,12 @@ def number_lines(lines: DataFrame) -> DataFrame:
     by the row number within the task that reads the block. It depends only on how the file is
     split, so a retried task gives the same value; it orders lines and is not dense.
     """
-    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << ROW_BITS) - 1))
-    block = F.shiftleft(F.shiftright("block", BLOCK_BITS), ROW_BITS)
-    numbered = lines.select("source", (block + row).alias("pos"), strip(F.col("value")).alias("url"))
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    fits = (row < F.lit(1 << ROW_BITS)) & (F.col("block") < F.lit(1 << BYTE_BITS))
+    pos = F.when(fits, F.shiftleft("block", ROW_BITS) + row).otherwise(
+        F.raise_error(F.lit(f"a list file over {1 << BYTE_BITS} bytes or a task over {1 << ROW_BITS} lines"))
+    )
+    numbered = lines.select("source", pos.alias("pos"), strip(F.col("value")).alias("url"))
     return numbered.where(F.col("url") != "")
 
 

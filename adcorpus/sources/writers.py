@@ -46,10 +46,14 @@ def write_exemplars(df: DataFrame, path: str, mode: str = "error") -> None:
     )
 
 
-def write_evaluation(tables: dict[str, DataFrame], path: str, mode: str = "append") -> None:
-    """One Parquet table per name under ``path``, partitioned by run."""
+def write_evaluation(tables: dict[str, DataFrame], path: str) -> None:
+    """One Parquet table per name under ``path``, partitioned by run.
+
+    Saving a run again replaces its rows and leaves the other runs as they are.
+    """
     for name, df in tables.items():
-        df.write.mode(mode).partitionBy(*RUN_COLUMNS).parquet(f"{path}/{name}")
+        writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy(*RUN_COLUMNS).parquet(f"{path}/{name}")
 
 
 def append_results(df: DataFrame, path: str) -> None:

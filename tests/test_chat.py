@@ -90,8 +90,9 @@ def test_long_conversations_render_in_parts_that_join_to_the_whole(spark):
     rows, df = long_form(spark)
     for opened in (False, True):
         got = {}
-        for r in sorted(conv.render_conversations(df, generation_prompt=opened, part_turns=256).collect()):
+        for r in sorted(conv.render_conversations(df, 256, generation_prompt=opened).collect()):
             got.setdefault(r.conv_id, []).append(r.text)
+            assert r.n_parts == (12 if r.conv_id == 0 else 1)
         assert len(got[0]) == 12 and all(len(parts) == 1 for c, parts in got.items() if c)
         suffix = "<|im_start|>assistant\n" if opened else ""
         assert {c: "".join(p) for c, p in got.items()} == {

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from adcorpus.functions.chat import chat_record
 from adcorpus.operators.inference import batch_generate, token_budget_with
+from adcorpus.operators.labels import label_vocabulary
 from adcorpus.operators.profile import corpus_profile, counted, label_distribution
 from adcorpus.plans.formatting import format_splits, write_splits
 from adcorpus.sources import readers, writers
@@ -97,10 +98,11 @@ def test_splits_are_written_as_partitions(spark, tmp_path):
         " contract_type string, location string, country string, experience_required string,"
         " salary_avg string",
     )
-    write_splits(format_splits(ads), str(tmp_path / "out"))
+    vocabulary = label_vocabulary(ads, "category", 100, 1000)
+    write_splits(format_splits(ads, None, vocabulary), str(tmp_path / "out"))
     parts = {str(p.parent.relative_to(tmp_path / "out")) for p in (tmp_path / "out").rglob("*.json")}
     assert parts == {
-        f"task={t}/variant=main/split={s}" for t in ("category", "salary") for s in ("train", "test")
+        f"task={t}/variant=main/shots=zero/split={s}" for t in ("category", "salary") for s in ("train", "test")
     }
     assert readers.read_chat(spark, str(tmp_path / "out" / "task=salary")).count() == 2
 
@@ -174,10 +176,3 @@ def test_tokenizer_hook(spark):
     df = spark.createDataFrame([("a b c",), ("a",)], "t string")
     got = sorted((r.head, r.n_tokens, r.truncated) for r in token_budget_with(df, build, "t", 2).collect())
     assert got == [("a", 1, False), ("a b", 3, True)]
-
-
-def test_spread_leaves_wide_inputs_alone(spark):
-    narrow = spark.range(0, 100, 1, 1)
-    assert readers.spread(narrow).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    wide = spark.range(0, 100, 1, 50)
-    assert readers.spread(wide) is wide

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from adcorpus.operators import metrics as met
-from adcorpus.operators.grid import RUN_COLUMNS, adapter_label, run_grid, scores_on_grid
+from adcorpus.operators.grid import RUN_COLUMNS, grid_of, run_grid, scores_on_grid
 from adcorpus.plans.evaluation import (
     evaluate_categories,
     evaluate_salaries,
@@ -105,9 +105,31 @@ def test_no_rows_give_null_free_empty_scores(spark):
 def test_predictions_are_scanned_once(spark):
     _, df = predictions(spark)
     report = met.class_report(met.confusion_counts(df, "t", "p", ["run"]), ["run"])
-    report.collect()
-    plan = report._jdf.queryExecution().executedPlan().toString()
-    assert "ReusedExchange" in plan
+    cells = met.confusion_cells(met.confusion_counts(df, "t", "p", ["run"]), ["run"])
+    dense = met.confusion_matrix(met.confusion_counts(df, "t", "p", ["run"]), ["run"])
+    for table in (report, cells, dense):
+        table.collect()
+        plan = table._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert sum("Scan" in line for line in plan.splitlines()) == 1, plan
+
+
+def test_matrix_counts_every_prediction_with_null_keys(spark):
+    rows = [("m", None, "t", a, b) for a, b in (("x", "x"), ("x", None), (None, "y"), (None, None))]
+    rows += [("m", "q", "t", "x", "y"), (None, "q", "t", "abcd", "abce")]
+    df = spark.createDataFrame(rows, "model string, adapter string, test_tag string, t string, p string")
+    counts = met.confusion_counts(df, "t", "p", RUN_COLUMNS)
+    dense = met.confusion_matrix(counts, RUN_COLUMNS).collect()
+    assert sum(r.n for r in dense) == len(rows) == sum(r.n for r in met.confusion_cells(counts, RUN_COLUMNS).collect())
+    first = [r for r in dense if r.model and r.adapter is None]
+    assert len(first) == 9 and {(r.row, r.truth) for r in first} == {(1, None), (2, "x"), (3, "y")}
+
+
+def test_labels_are_numbered_in_order_whatever_their_beginnings(spark):
+    names = ["a", "ab", "abc", "abcd", "abce", "abd", "b", "é", "Đ", "𝒳", "", "zzzz", "zzz"]
+    df = spark.createDataFrame([(n, n) for n in names], "t string, p string")
+    got = met.label_universe(met.confusion_counts(df, "t", "p")).collect()
+    assert [r.label for r in sorted(got, key=lambda r: r.pos)] == sorted(names)
+    assert {r.pos for r in got} == set(range(1, 14)) and {r.n_labels for r in got} == {13}
 
 
 def regression(spark, rows, by=()):
@@ -148,28 +170,36 @@ def test_regression_matches_numpy(spark):
 
 def test_grid_keeps_runs_without_rows(spark):
     models = spark.createDataFrame([("m1",), ("m2",), ("m1",)], "m string")
-    adapters = adapter_label(spark.createDataFrame([("",), (None,), ("x",)], "a string"), "a")
+    adapters = spark.createDataFrame([("",), (None,), ("x",)], "a string")
     tests = spark.createDataFrame([("default",)], "t string")
-    grid = run_grid(models, adapters, tests)
+    grid = run_grid(models, adapters, tests, 10)
     assert sorted(r.run_id for r in grid.collect()) == [
         "m1/no-adapter/default", "m1/x/default", "m2/no-adapter/default", "m2/x/default",
     ]
     scores = spark.createDataFrame([("m1", "x", "default", 1.0)], "model string, adapter string, test_tag string, mae double")
     joined = scores_on_grid(grid, scores).collect()
     assert len(joined) == 4 and sum(r.mae is not None for r in joined) == 1
+    many = spark.range(1500).select(F.lit("m").alias("model"), F.lit(None).cast("string").alias("adapter"), F.col("id").cast("string").alias("test_tag"))
+    planned = spark.createDataFrame([("m9", "", "t")], "model string, adapter string, test_tag string")
+    assert grid_of(many, planned).where("adapter = 'no-adapter'").count() == 1501
 
 
 def test_evaluations_are_saved_by_run(spark, tmp_path):
     columns = ", ".join(f"{c} string" for c in (*RUN_COLUMNS, "ground_truth", "generated_text"))
     rows = [("m", a, "t", "it", g) for a in ("x", "y") for g in ("it", "law")]
     generations = spark.createDataFrame(rows, columns)
-    vocabulary = spark.createDataFrame([(["it", "law"],)], "labels array<string>")
+    vocabulary = spark.createDataFrame([("it",), ("law",)], "label string")
     save_categories(generations, vocabulary, str(tmp_path / "c"))
     tables = {n: spark.read.parquet(str(tmp_path / "c" / n)) for n in ("predictions", "scores", "report", "matrix")}
     assert {n: df.count() for n, df in tables.items()} == {
         "predictions": 4, "scores": 2, "report": 10, "matrix": 8,
     }
     assert {r.accuracy for r in tables["scores"].collect()} == {0.5}
+    # saving one run again replaces its rows and leaves the other
+    again = [("m", "x", "t", "it", "it")]
+    save_categories(spark.createDataFrame(again, columns), vocabulary, str(tmp_path / "c"))
+    scores = spark.read.parquet(str(tmp_path / "c" / "scores")).collect()
+    assert {(r.adapter, r.accuracy, r.n_total) for r in scores} == {("x", 1.0, 1), ("y", 0.5, 2)}
     rows = [("m", "x", "t", "10 triệu", "12")]
     save_salaries(spark.createDataFrame(rows, columns), str(tmp_path / "s"))
     assert spark.read.parquet(str(tmp_path / "s" / "scores")).first().mae == 2.0
@@ -200,12 +230,18 @@ def test_evaluation_plans(spark):
     base = [("m", "no-adapter", "default")]
     rows = [(*base[0], t, g) for t, g in (("it", " IT"), ("it", "law"), ("law", "??"))]
     columns = ", ".join(f"{c} string" for c in (*RUN_COLUMNS, "ground_truth", "generated_text"))
-    vocabulary = spark.createDataFrame([(["it", "law"],)], "labels array<string>")
+    vocabulary = spark.createDataFrame([("it",), ("law",)], "label string")
     out = evaluate_categories(spark.createDataFrame(rows, columns), vocabulary)
     assert sorted(r.predicted_category for r in out["predictions"].collect()) == ["Other", "it", "law"]
     assert [r.correct for r in out["predictions"].collect()].count(True) == 1
     assert out["scores"].first().accuracy == pytest.approx(1 / 3)
     assert out["matrix"].count() == 9
+    no_adapter = [("m", None, "default", t, g) for t, g in (("it", "it"), (None, "law"))]
+    tables = evaluate_categories(spark.createDataFrame(no_adapter, columns), vocabulary)
+    assert tables["scores"].first().adapter == "no-adapter" and tables["scores"].first().n_total == 2
+    assert sum(r.n for r in tables["matrix"].collect()) == 2
+    huge = [("m", "a", "default", str(10**30), str(2 * 10**30))]
+    assert evaluate_salaries(spark.createDataFrame(huge, columns))["scores"].first().mape == pytest.approx(100)
     rows = [(*base[0], t, g) for t, g in (("10 triệu", "12"), ("20", "x 16 y"), ("5", "không"))]
     out = evaluate_salaries(spark.createDataFrame(rows, columns))
     assert out["predictions"].count() == 2
