@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +40,15 @@ def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     elsewhere it comes with --py-files or is installed."""
     root = str(Path(__file__).resolve().parents[2])
     df.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", root)
-    return df.mapInArrow(run, schema)
+
+    def released(batches):
+        """Workers outlive their task, so what a batch took goes back at once."""
+        for batch in run(batches):
+            yield batch
+            del batch
+            pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(released, schema)
 
 
 def as_text(column: str = "text"):

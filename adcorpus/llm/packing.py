@@ -70,11 +70,11 @@ def byte_level_encoder(name: str):
     fast = tiktoken.Encoding(
         "byte-level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
     )
-    exact = Tokenizer.from_file(path)
+    exact = lru_cache(lambda: Tokenizer.from_file(path))
 
     def encode(text: str) -> np.ndarray:
         if any(token in text for token in added):
-            return np.array(exact.encode(text, add_special_tokens=False).ids, dtype="<u4")
+            return np.array(exact().encode(text, add_special_tokens=False).ids, dtype="<u4")
         return fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
 
     return encode
