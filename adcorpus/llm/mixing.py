@@ -77,9 +77,10 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame]) -> DataFrame:
             step = step.withColumn("weight", F.col("weight") * F.col("_factor")).withColumn(
                 "drift", F.when(F.col("weight") > 0, F.greatest("drift", F.abs(F.col("_factor") - 1))).otherwise(F.col("drift"))
             ).drop("_factor")
-        done = written(step, "raked")
-        now = done.drop("drift")
-        if (done.agg(F.max("drift")).first()[0] or 0.0) < TOLERANCE:
+            # read twice by the next dimension, so an unwritten plan would double every time
+            step = written(step, "raked")
+        now = step.drop("drift")
+        if (step.agg(F.max("drift")).first()[0] or 0.0) < TOLERANCE:
             break
     return now
 
