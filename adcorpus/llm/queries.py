@@ -10,6 +10,7 @@ from adcorpus.llm.mixing import OP2_SQL, op2_mixing
 from adcorpus.llm.near_dup import OP5_SQL, op5_minhash_near_dedup
 from adcorpus.llm.packing import op8_best_fit_packing
 from adcorpus.llm.pii import op1_pii
+from adcorpus.llm.quality import OP11_SQL, op11_quality_rules
 from adcorpus.llm.secrets import op9_secrets
 from adcorpus.llm.toxicity import op3_toxicity
 
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_secrets": op9_secrets,
     "op10_licenses": op10_licenses,
+    "op11_quality_rules": op11_quality_rules,
 }
 
 ORACLE = {
@@ -31,4 +33,5 @@ ORACLE = {
     "op5_minhash_near_dedup": OP5_SQL,
     "op6_exact_dedup": OP6_SQL,
     "op10_licenses": OP10_SQL,
+    "op11_quality_rules": OP11_SQL,
 }
