@@ -1,15 +1,17 @@
-"""Helpers that the corpus operators share: shared scratch tables and whole-table reads."""
+"""Helpers that the corpus operators share: whole-table reads and Arrow functions over rows."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from adcorpus.sources.scratch import shared_dir, written
+
+__all__ = ["DOCUMENTS", "as_text", "documents", "map_arrow", "shared_dir", "written"]
+
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
@@ -17,24 +19,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(DOCUMENTS).parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="adcorpus-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: lineage ends here and a lost executor
-    costs a reread. The folder is new for every call."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     """``df.mapInArrow`` whose workers find this package where driver and workers share a disk;
     elsewhere it comes with --py-files or is installed."""

@@ -23,7 +23,7 @@ from adcorpus.llm.common import as_text, documents, written
 WORD, BLANK, SYMBOL = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+", r"[^#*$%&|<>]+"
 #: Disjoint classes in the order in which they are taken out of a text; what is left is the last.
 CLASSES = (r"[a-z]+", r"[A-Z]+", r"[0-9]+", BLANK, r"[.,;:!?'\x22()-]+", r"[\x00-\x7F]+")
-#: Not part of a term of the word histogram, after lower-casing.
+#: What lies between the terms of the word histogram, after lower-casing.
 BETWEEN = r"[\x00-\x60\x7B-\x7F]+"
 #: Words of a reference.
 COMMON = 50
@@ -47,9 +47,9 @@ def class_counts(text: Column) -> Column:
     return F.array(*out, F.length(rest)).cast("array<bigint>")
 
 
-def spaced(text: Column) -> Column:
-    """The lower-case terms, each with one space of its own on both sides."""
-    return F.concat(F.lit(" "), F.regexp_replace(F.lower(text), BETWEEN, "  "), F.lit(" "))
+def terms_of(text: Column) -> Column:
+    """The lower-case terms of a text."""
+    return F.array_remove(F.split(F.lower(text), BETWEEN), "")
 
 
 def repeat_words(words: Column) -> Column:
@@ -79,18 +79,33 @@ def repeat_words(words: Column) -> Column:
     return F.when(F.size(words) > 3, F.transform(ordered, covered)[0]).otherwise(0).cast("bigint")
 
 
-def base_rules(docs: DataFrame, text_col: str = "text") -> dict[str, Column]:
+def repeat_words_of(text: Column) -> Column:
+    """As :func:`repeat_words`, for a text. Most texts repeat no window: where all hashes of windows
+    differ, nothing is sorted."""
+
+    def counted(words: Column) -> Column:
+        hashes = F.transform(
+            F.sequence(F.lit(0), F.greatest(F.size(words) - 3, F.lit(0))),
+            lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)),
+        )
+        differ = F.transform(F.array(hashes), lambda h: F.size(h) == F.size(F.array_distinct(h)))[0]
+        return F.when(differ, F.lit(0).cast("bigint")).otherwise(repeat_words(words))
+
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    return F.transform(F.array(words), counted)[0]
+
+
+def base_rules(text_col: str = "text") -> dict[str, Column]:
     """The counted columns of a row, by name."""
     text = as_text(text_col)
     lines = F.filter(F.split(text, "\n", -1), lambda line: line.rlike(WORD))
     distinct = F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x)))[0]
-    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
     return {
         "n_words": F.regexp_count(text, F.lit(WORD)).cast("bigint"),
         "word_chars": F.length(F.regexp_replace(text, BLANK, "")).cast("bigint"),
         "n_symbols": F.length(F.regexp_replace(text, SYMBOL, "")).cast("bigint"),
         "n_dup_lines": distinct.cast("bigint"),
-        "n_repeat_words": F.transform(F.array(words), repeat_words)[0],
+        "n_repeat_words": repeat_words_of(text),
     }
 
 
@@ -104,7 +119,7 @@ def references(
     classes = rows.select("lang", class_counts(F.col("text")).alias("c")).groupBy("lang").agg(
         *[F.sum(F.col("c")[k]).alias(f"c{k}") for k in range(n)]
     )
-    terms = rows.select("lang", F.explode(F.split(spaced(F.col("text")), " +")).alias("word")).where("word <> ''")
+    terms = rows.select("lang", F.explode(terms_of(F.col("text"))).alias("word"))
     counts = written(terms.groupBy("lang", "word").agg(F.count("*").alias("n")), "terms")
     classes = written(classes, "classes")
     totals = written(counts.groupBy("lang").agg(F.sum("n").alias("total")), "term-totals")
@@ -163,25 +178,17 @@ def distance(counts: Column, shares: Column, least: int) -> Column:
 
 
 def word_counts(text: Column, words: Column) -> Column:
-    """How often each of ``words`` occurs, and how often others do. Taking a word out of the spaced
-    text shortens it by its length and two spaces per occurrence."""
-
-    def count(padded: Column) -> Column:
-        hits = F.transform(
-            words,
-            lambda w: (
-                (F.length(padded) - F.length(F.replace(padded, F.concat(F.lit(" "), w, F.lit(" ")), F.lit(""))))
-                / (F.length(w) + 2)
-            ).cast("bigint"),
-        )
-        total = F.regexp_count(padded, F.lit("[^ ]+")).cast("bigint")
-        sums = F.transform(
+    """How often each of ``words`` occurs among the terms, and how often others do."""
+
+    def count(terms: Column) -> Column:
+        hits = F.transform(words, lambda w: (F.size(terms) - F.size(F.array_remove(terms, w))).cast("bigint"))
+        with_rest = F.transform(
             F.array(hits),
-            lambda h: F.concat(h, F.array(total - F.aggregate(h, F.lit(0).cast("bigint"), lambda a, b: a + b))),
+            lambda h: F.concat(h, F.array(F.size(terms) - F.aggregate(h, F.lit(0).cast("bigint"), lambda a, b: a + b))),
         )
-        return sums[0]
+        return with_rest[0]
 
-    return F.transform(F.array(spaced(text)), count)[0]
+    return F.transform(F.array(terms_of(text)), count)[0]
 
 
 def quality(
@@ -213,7 +220,7 @@ def quality(
     rows = rows.withColumns({name: F.coalesce(F.col(name), pooled.select(name).scalar()) for name in REFERENCE})
     counted = rows.select(
         "doc_id",
-        *[c.alias(name) for name, c in base_rules(rows).items()],
+        *[c.alias(name) for name, c in base_rules().items()],
         F.coalesce("ref", F.lit(POOLED)).alias("reference"),
         distance(class_counts(as_text()), F.col("classes"), MIN_CHARS).alias("char_distance"),
         distance(word_counts(as_text(), F.col("words")), F.col("shares"), MIN_TERMS).alias("word_distance"),
