@@ -6,7 +6,7 @@ from adcorpus.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from adcorpus.llm.fingerprints import op7_spotsigs
 from adcorpus.llm.lexical import OP13_SQL, op13_ranked_search
 from adcorpus.llm.licenses import OP10_SQL, op10_licenses
-from adcorpus.llm.line_dedup import op4_line_dedup
+from adcorpus.llm.line_dedup import OP4_SQL, op4_line_dedup
 from adcorpus.llm.mixing import OP2_SQL, op2_mixing
 from adcorpus.llm.near_dup import OP5_SQL, op5_minhash_near_dedup
 from adcorpus.llm.packing import op8_best_fit_packing
@@ -34,6 +34,7 @@ QUERIES = {
 
 ORACLE = {
     "op2_mixing": OP2_SQL,
+    "op4_line_dedup": OP4_SQL,
     "op5_minhash_near_dedup": OP5_SQL,
     "op6_exact_dedup": OP6_SQL,
     "op10_licenses": OP10_SQL,

@@ -5,12 +5,14 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
+from bisect import bisect_right
 from collections import Counter, defaultdict
 
 from llm_cases import make_docs, prose
 
 from adcorpus.llm.fingerprints import COMMON, likeness, length_partition, neighbour_fingerprints
-from adcorpus.llm.line_dedup import BLOCK_WORDS, LINE_WORDS, RARE, line_dedup, patience
+from adcorpus.llm.line_dedup import BLOCK_WORDS, WORD_CHARS, aligned_lines, line_dedup, patience, runs
 
 
 def test_patience_blocks_are_common_and_in_order():
@@ -32,45 +34,108 @@ def test_patience_blocks_are_common_and_in_order():
 
 
 def brute_lines(rows):
+    """Every common run of lines of every pair of documents, without hashes or alignment."""
+
+    def size(line):
+        return max(len(line.split()), len("".join(line.split())) // WORD_CHARS)
+
     docs = {(d, t or "") for d, t, *_ in rows if d is not None}
-    lines = {key: [line.strip(" ") for line in key[1].split("\n")] for key in docs}
-    owners = defaultdict(list)
-    for key in docs:
-        for line in set(lines[key]):
-            if len(line.split()) >= LINE_WORDS:
-                owners[line].append(key)
-    pairs = set()
-    for keys in owners.values():
-        if len(keys) <= RARE:
-            pairs |= {(a, b) for a in keys for b in keys if a[0] < b[0]}
-        else:
-            first = min(keys)
-            pairs |= {(first, b) for b in keys if first[0] < b[0]}
+    lines = {key: [(i, x.strip(" ")) for i, x in enumerate(key[1].split("\n")) if x.split()] for key in docs}
     gone = defaultdict(set)
-    for a, b in pairs:
-        for _, j, n in patience(lines[a], lines[b]):
-            if sum(len(x.split()) for x in lines[b][j : j + n]) >= BLOCK_WORDS:
-                gone[b] |= set(range(j, j + n))
+    for b in docs:
+        for a in docs:
+            if a[0] >= b[0]:
+                continue
+            ours, theirs = [x for _, x in lines[a]], [x for _, x in lines[b]]
+            places = defaultdict(list)
+            for i, x in enumerate(ours):
+                places[x].append(i)
+            for j, x in enumerate(theirs):
+                for i in places[x]:
+                    n = 0
+                    while i + n < len(ours) and j + n < len(theirs) and ours[i + n] == theirs[j + n]:
+                        n += 1
+                    if sum(map(size, theirs[j : j + n])) >= BLOCK_WORDS:
+                        gone[b] |= set(range(j, j + n))
     out = []
     for d, t, *_ in rows:
         raw = (t or "").split("\n")
-        drop = gone[d, t or ""] if d is not None else set()
+        owner, drop = 0, set()
+        if d is not None:
+            worded = [i for i, _ in lines[d, t or ""]]
+            for i in range(len(raw)):
+                owner = max(0, bisect_right(worded, i) - 1)
+                if owner in gone[d, t or ""]:
+                    drop.add(i)
         out.append((d, "\n".join(x for i, x in enumerate(raw) if i not in drop), len(raw), len(drop), ",".join(map(str, sorted(drop)))))
     return Counter(out)
 
 
+def cleaned(spark, rows):
+    return Counter(map(tuple, line_dedup(make_docs(spark, rows)).collect()))
+
+
 def test_line_dedup(spark, odd_docs, odd_rows, no_docs):
     assert Counter(map(tuple, line_dedup(odd_docs).collect())) == brute_lines(odd_rows)
     assert line_dedup(no_docs).count() == 0
     shared, short = prose(90, 24), "Only five words in here"
-    rows = [(i, f"{prose(i, 30)}\n{shared}\n{prose(i + 100, 30)}\n{short}") for i in range(2 * RARE)]
+    rows = [(i, f"{prose(i, 30)}\n{shared}\n{prose(i + 100, 30)}\n{short}") for i in range(16)]
     rows += [(50 + i, f"{prose(200 + i, 24)}\n{prose(300 + i // 2, 48)}") for i in range(10)]
     got = line_dedup(make_docs(spark, rows))
     assert Counter(map(tuple, got.collect())) == brute_lines(rows)
-    first, last = (got.where(f"doc_id = {d}").first() for d in (0, 2 * RARE - 1))
+    first, last = (got.where(f"doc_id = {d}").first() for d in (0, 15))
     assert first.n_removed == 0 and shared.split("\n")[0] not in last.clean_text and short in last.clean_text
 
 
+def test_repeated_crossing_and_chained_passages_go_from_all_holders(spark):
+    one, two = "a passage of more than ten words that stands in many documents of this corpus", prose(91, 30)
+    rows = [(0, f"{one}\nx\n{one}\n{two}")]
+    rows += [(i, f"own {i}\n{two}\nown again {i}\n{one}") for i in range(1, 25)]
+    # two lines below the limit, which only together are a block; their first holders differ
+    rows += [(30, "one two three four five six"), (31, "seven eight nine ten eleven twelve")]
+    rows += [(i, f"own {i}\none two three four five six\n\n seven eight nine ten eleven twelve \nend") for i in range(32, 36)]
+    # short lines, and a script without blanks
+    rows += [(i, "\n".join([f"v{i}", *"so we go on and on until the last of all".split()])) for i in range(40, 44)]
+    rows += [(i, f"{i}\n" + "\u65e5\u672c\u8a9e\u306e\u6587" * 20) for i in range(50, 53)]
+    got = cleaned(spark, rows)
+    assert got == brute_lines(rows)
+    lost = {d: n for d, _, _, n, _ in got}
+    assert all(lost[i] >= 2 for i in [*range(1, 25), *range(33, 36)]) and lost[43] == 11 and lost[52] == 1
+
+
+def test_line_dedup_on_random_lines(spark):
+    rng = random.Random(8)
+    for letters in (2, 4, 12):
+        rows = []
+        for i in range(40):
+            words = ["", " ", *[" ".join([chr(97 + x)] * (1 + x % 5)) for x in range(letters)]]
+            rows.append((i, "\n".join(rng.choice(words) for _ in range(rng.randint(0, 14)))))
+        assert cleaned(spark, rows) == brute_lines(rows)
+
+
+def test_runs_cover_every_block():
+    rng = random.Random(3)
+    for _ in range(500):
+        weights = [rng.randint(1, 12) for _ in range(rng.randint(0, 20))]
+        found = runs(weights, 10)
+        assert all(sum(weights[i : j + 1]) >= 10 and j - i < 10 for i, j in found)
+        for i in range(len(weights)):
+            for j in range(i, len(weights)):
+                if sum(weights[i : j + 1]) >= 10:
+                    inside = {x for a, b in found if i <= a and b <= j for x in range(a, b + 1)}
+                    assert inside == set(range(i, j + 1))
+
+
+def test_equal_documents_of_many_lines_in_time(spark):
+    text = "\n".join(f"line {i} with a few more words in it" for i in range(32_000))
+    docs = make_docs(spark, [(1, text), (2, text), (3, text + "\nand some words of its own that stay where they are now")])
+    start = time.perf_counter()
+    got = {r.doc_id: (r.n_removed, len(r.clean_text)) for r in line_dedup(docs).collect()}
+    assert time.perf_counter() - start < 30
+    assert got == {1: (0, len(text)), 2: (32_000, 0), 3: (32_000, 54)}
+    assert aligned_lines([(o, o, 1, o) for o in range(5)]) == set(range(5))
+
+
 def spots(text):
     words = [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower()) if w]
     content = [(w, words[i - 1] if i else "^") for i, w in enumerate(words) if w not in COMMON]
