@@ -8,16 +8,21 @@ iterations, each of them a few aggregates and joins on it, written to the shared
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from adcorpus.llm.common import as_text, documents, written
+from adcorpus.llm.common import as_text, documents, free_prefix, written
 
 #: The default target: shares of tokens to this power, which evens them out a little.
 POWER = 0.95
 MAX_ROUNDS, TOLERANCE = 50, 1e-10
+#: Without a budget, as much is sampled as leaves cells with this share of the tokens short of their
+#: target: a cell that wants more than all of its documents gets all of them and no more.
+SHORT_SHARE = 0.01
 #: Cells up to which their table is broadcast to the documents.
 BROADCAST_CELLS = 100_000
 
@@ -61,7 +66,9 @@ def tempered(cells: DataFrame, name: str, power: float) -> DataFrame:
 def rake(cells: DataFrame, targets: Mapping[str, DataFrame]) -> DataFrame:
     """``cells`` with ``weight``: the share of all tokens that a cell should have.
 
-    A cell without tokens keeps weight 0, and a value that has no target share goes to 0.
+    A cell without tokens keeps weight 0, and a value that has no target share goes to 0. Targets
+    that contradict each other given the cells there are cannot all be met; then the last
+    dimension's are, and a warning says by how much a factor still moved after MAX_ROUNDS.
     """
     names = list(targets)
     total = cells.agg(F.sum("tokens")).scalar()
@@ -80,19 +87,26 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame]) -> DataFrame:
             # read twice by the next dimension, so an unwritten plan would double every time
             step = written(step, "raked")
         now = step.drop("drift")
-        if (step.agg(F.max("drift")).first()[0] or 0.0) < TOLERANCE:
-            break
+        drift = step.agg(F.max("drift")).first()[0] or 0.0
+        if drift < TOLERANCE:
+            return now
+    if drift > 0.01:
+        warnings.warn(f"the targets are not met: after {MAX_ROUNDS} rounds weights still move by {drift:.1%}", stacklevel=2)
     return now
 
 
 def probabilities(cells: DataFrame, targets: Mapping[str, DataFrame], budget: float | None = None) -> DataFrame:
-    """(dimensions, weight, probability) per cell. Sampled tokens have the target shares as long
-    as no probability has to be cut at 1, which the default budget, the largest such, ensures."""
+    """(dimensions, weight, probability) per cell. Sampled tokens have the target shares but for
+    cells whose probability is cut at 1; without a ``budget`` in tokens, those hold at most
+    SHORT_SHARE of the tokens, so that no small cell decides how much of the others stays."""
     raked = rake(cells, targets)
     total = cells.agg(F.sum("tokens")).scalar()
-    raked = raked.withColumn("weight", F.col("weight") * total / F.col("tokens"))
+    raked = written(raked.withColumn("weight", F.col("weight") * total / F.col("tokens")), "weights")
     if budget is None:
-        rate = 1 / raked.agg(F.max("weight")).scalar()
+        # a table of cells: small
+        scarcest = Window.orderBy(F.desc("weight")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        upto = raked.select("weight", F.sum("tokens").over(scarcest).alias("upto"))
+        rate = 1 / upto.where(F.col("upto") > SHORT_SHARE * total).agg(F.max("weight")).scalar()
     else:
         rate = F.lit(float(budget)) / total
     return raked.select(
@@ -118,8 +132,8 @@ def mixed(
     carry: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, the dimensions, n_tokens, weight (target share over
-    actual share of its cell), probability, kept; with ``carry`` the columns of ``docs`` and
-    ``_kept`` instead.
+    actual share of its cell), probability, kept; with ``carry`` the columns of ``docs`` of the
+    rows that are kept instead.
 
     ``targets`` has a (name, share) table per dimension; those left out are tempered by ``power``.
     Null dimension values count as one value, null text as empty. Texts without words cost no
@@ -128,42 +142,45 @@ def mixed(
     """
     dims = dims or dimensions()
     names = list(dims)
-    hidden = {name: f"_mix_{name}" for name in names}
+    prefix = free_prefix(docs, "_mix")
+    hidden = {name: f"{prefix}_dim_{name}" for name in names}
+    inner_id, inner_tokens, inner_weight, inner_p = (f"{prefix}_{x}" for x in ("id", "tokens", "weight", "p"))
     marked = docs.select(
         *([docs[c] for c in docs.columns] if carry else []),
-        F.col(id_col).alias("_mix_id"),
+        F.col(id_col).alias(inner_id),
         *[c.alias(hidden[name]) for name, c in dims.items()],
-        token_count(as_text(text_col)).alias("_mix_tokens"),
+        token_count(as_text(text_col)).alias(inner_tokens),
     )
-    small = marked.select("_mix_id", *hidden.values(), "_mix_tokens")
+    small = marked.select(inner_id, *hidden.values(), inner_tokens)
     if not carry:
         small = marked = written(small, "mixed")
-    cells = small.groupBy(*hidden.values()).agg(F.sum("_mix_tokens").alias("tokens")).toDF(*names, "tokens")
+    cells = small.groupBy(*hidden.values()).agg(F.sum(inner_tokens).alias("tokens")).toDF(*names, "tokens")
     cells = written(cells, "cells")
     goal = {n: targets[n] if targets and n in targets else tempered(cells, n, power) for n in names}
     goal = {n: written(t, "target") for n, t in goal.items()}
     fitted = written(probabilities(cells, goal, budget), "calibrated")
-    table = fitted.toDF(*hidden.values(), "_mix_weight", "_mix_p")
+    table = fitted.toDF(*hidden.values(), inner_weight, inner_p)
     if fitted.count() <= BROADCAST_CELLS:
         table = F.broadcast(table)
     out = marked.join(table, list(hidden.values()), "left")
-    p = F.coalesce("_mix_p", F.lit(1.0))
-    keep = chance(F.col("_mix_id"), seed) < p
+    p = F.coalesce(inner_p, F.lit(1.0))
+    keep = chance(F.col(inner_id), seed) < p
     if carry:
-        return out.select(*docs.columns, keep.alias("_kept"))
+        return out.where(keep).select(*docs.columns)
     return out.select(
-        F.col("_mix_id").alias("doc_id"),
+        F.col(inner_id).alias("doc_id"),
         *[F.col(hidden[name]).alias(name) for name in names],
-        F.col("_mix_tokens").alias("n_tokens"),
-        F.round(F.coalesce("_mix_weight", F.lit(1.0)), 6).alias("weight"),
+        F.col(inner_tokens).alias("n_tokens"),
+        F.round(F.coalesce(inner_weight, F.lit(1.0)), 6).alias("weight"),
         F.round(p, 6).alias("probability"),
         keep.alias("kept"),
     )
 
 
 def sample_mixture(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows that ``mixed`` leaves out; all columns as they were."""
-    return mixed(docs, carry=True, **options).where("_kept").drop("_kept")
+    """``docs`` without the rows that ``mixed`` leaves out; all columns as they were, whatever their
+    names. Edge cases are those of ``mixed``."""
+    return mixed(docs, carry=True, **options)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,8 +212,10 @@ it AS (
     SELECT k, source, lang, topic, tokens, t, w * l / sum(w) OVER (PARTITION BY lang) AS w FROM (
       SELECT k, source, lang, topic, tokens, t_topic.share AS t, t_lang.share AS l,
         w * t_source.share / sum(w) OVER (PARTITION BY source) AS w {w} WHERE k < {MAX_ROUNDS}))),
-f AS (SELECT source, lang, topic, w * sum(tokens) OVER () / tokens AS weight FROM it WHERE k = {MAX_ROUNDS}),
-g AS (SELECT *, weight / max(weight) OVER () AS p FROM f)
+f AS (SELECT source, lang, topic, tokens, w * sum(tokens) OVER () / tokens AS weight FROM it WHERE k = {MAX_ROUNDS}),
+u AS (SELECT weight, sum(tokens) OVER (ORDER BY weight DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
+  sum(tokens) OVER () AS total FROM f),
+g AS (SELECT * EXCLUDE (tokens), least(1.0, weight / (SELECT max(weight) FROM u WHERE upto > {SHORT_SHARE} * total)) AS p FROM f)
 SELECT doc_id, source, lang, topic, n_tokens, round(coalesce(weight, 1.0), 6) AS weight,
   round(coalesce(p, 1.0), 6) AS probability,
   ('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0 < coalesce(p, 1.0) AS kept
