@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from adcorpus.llm.common import as_text, documents, written
+from adcorpus.llm.common import as_text, documents, free_prefix, without_rows, written
 
 BUCKETS = 32
 #: Frequent digests kept and digests tracked, per bucket.
@@ -51,6 +51,19 @@ def frequent_winners(hashed: DataFrame, least: int) -> DataFrame:
     )
 
 
+def settled(docs: DataFrame, id_col: str, text_col: str, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(digests, winners of the frequent ones, all other digests' rows with keep_id and group_size)."""
+    hashed = written(digests(docs, id_col, text_col), "digests")
+    winners = written(frequent_winners(hashed, least), "winners")
+    same = Window.partitionBy("text_sha256")
+    rest = (
+        hashed.join(F.broadcast(winners), "text_sha256", "left_anti")
+        .withColumn("keep_id", F.max("doc_id").over(same))
+        .withColumn("group_size", F.count("*").over(same))
+    )
+    return hashed, winners, rest
+
+
 def exact_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 64
 ) -> DataFrame:
@@ -63,15 +76,8 @@ def exact_dedup(
 
     ``least``: rows from which a digest counts as frequent; only the plan depends on it.
     """
-    hashed = written(digests(docs, id_col, text_col), "digests")
-    winners = written(frequent_winners(hashed, least), "winners")
-    same = Window.partitionBy("text_sha256")
+    hashed, winners, rest = settled(docs, id_col, text_col, least)
     heavy = hashed.join(F.broadcast(winners), "text_sha256")
-    rest = (
-        hashed.join(F.broadcast(winners), "text_sha256", "left_anti")
-        .withColumn("keep_id", F.max("doc_id").over(same))
-        .withColumn("group_size", F.count("*").over(same))
-    )
     return heavy.unionByName(rest).select(
         "doc_id",
         "keep_id",
@@ -81,16 +87,20 @@ def exact_dedup(
     )
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that ``exact_dedup`` drops; all columns as they were."""
-    lost = exact_dedup(docs, id_col, text_col).where(~F.col("kept"))
-    lost = lost.select(F.col("doc_id").alias("_lost_id"), F.col("text_sha256").alias("_lost_sha"))
-    return docs.join(
-        lost,
-        docs[id_col].eqNullSafe(F.col("_lost_id"))
-        & (F.sha2(F.coalesce(docs[text_col], F.lit("")), 256) == F.col("_lost_sha")),
-        "left_anti",
-    )
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 64) -> DataFrame:
+    """``docs`` without the rows that ``exact_dedup`` drops; all columns as they were, whatever
+    their names. Copies of frequent texts go where they are read, by the broadcast winners; of the
+    others only digests are shuffled. Edge cases are those of ``exact_dedup``.
+    """
+    _, winners, rest = settled(docs, id_col, text_col, least)
+    prefix = free_prefix(docs, "_copy")
+    sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    heavy = winners.select(F.col("text_sha256").alias(f"{prefix}_sha"), F.col("keep_id").alias(f"{prefix}_keep"))
+    # at most BUCKETS * TOP rows
+    copies = (sha == F.col(f"{prefix}_sha")) & ~F.col(id_col).eqNullSafe(F.col(f"{prefix}_keep"))
+    left = docs.join(F.broadcast(heavy), copies, "left_anti")
+    lost = rest.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", "text_sha256")
+    return without_rows(left, {"doc_id": F.col(id_col), "text_sha256": sha}, written(lost, "copies"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

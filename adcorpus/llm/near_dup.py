@@ -26,12 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adcorpus.llm.common import as_text, documents, map_arrow, written
+from adcorpus.llm.common import as_text, documents, map_arrow, without_rows, written
 from adcorpus.llm.components import components, roots
 
 COORDINATES = 48
 MISS = 1e-5
-#: Lists from this length are ordered by it; at most HOT_VALUES of them are told to the tasks.
+#: Lists from this length are skipped where others do; at most HOT_VALUES of them are told to the
+#: tasks, which only chooses the prefixes.
 HOT_LIST, HOT_VALUES = 32, 100_000
 BLOCK = 256
 #: Shingles of one cluster block, so that long texts make smaller blocks.
@@ -154,7 +155,7 @@ def hot_lists(nodes: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def postings(nodes: DataFrame, k: int, least: int, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(key, part, block, node, sketch) for the prefix coordinates of every node."""
+    """(key, node, sketch) for the prefix coordinates of every node."""
     hot_keys, hot_counts = hot
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,31 +170,34 @@ def postings(nodes: DataFrame, k: int, least: int, hot: tuple[np.ndarray, np.nda
             prefix = np.argsort(length, axis=1, kind="stable")[:, : k - least + 1]
             row = np.repeat(np.arange(len(node)), prefix.shape[1])
             key = np.take_along_axis(keys, prefix, 1).ravel()
-            blocks = np.maximum(1, -(-np.take_along_axis(length, prefix, 1).ravel() // BLOCK))
-            block = (mix(node.astype(np.uint64))[row] % blocks.astype(np.uint64)).astype(np.int64)
-            # a posting meets the other blocks of its list in one part for each pair of blocks
-            row, key, block = (np.repeat(x, blocks) for x in (row, key, block))
-            other = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-            part = np.minimum(block, other) << 32 | np.maximum(block, other)
             sketch = _matrix(batch.column(1), k, "<u4").astype(np.uint8)
             for at in range(0, len(row), 20_000):
                 cut = slice(at, at + 20_000)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(key[cut]),
-                        pa.array(part[cut]),
-                        pa.array(block[cut]),
                         pa.array(node[row[cut]]),
                         pa.array([s.tobytes() for s in sketch[row[cut]]], pa.binary()),
                     ],
-                    names=["key", "part", "block", "node", "sketch"],
+                    names=["key", "node", "sketch"],
                 )
 
-    return map_arrow(
-        nodes.select("node", "signature"),
-        run,
-        "key bigint, part bigint, block bigint, node bigint, sketch binary",
-    )
+    return map_arrow(nodes.select("node", "signature"), run, "key bigint, node bigint, sketch binary")
+
+
+def dealt(posted: DataFrame) -> DataFrame:
+    """(key, part, block, node, sketch): lists cut into blocks of about BLOCK postings, by the
+    length that each has. A posting meets every block of its list, in a part for each pair of
+    blocks; most lists are one block and one part."""
+    long = posted.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    long = written(long.select("key", F.ceil(F.col("n") / BLOCK).alias("blocks")), "long-lists")
+    few = long.count() <= BROADCAST_NODES
+    rows = posted.join(F.broadcast(long) if few else long, "key", "left")
+    rows = rows.withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("bigint")))
+    rows = rows.withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("node"), F.col("blocks"))).otherwise(0))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    part = F.shiftleft(F.least("block", "other"), 32).bitwiseOR(F.greatest("block", "other"))
+    return rows.select("key", part.alias("part"), "block", "node", "sketch")
 
 
 def whole_groups(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -340,7 +344,7 @@ def near_duplicates(
         ),
         "nodes",
     )
-    posted = postings(nodes, k, least, hot_lists(nodes, k))
+    posted = dealt(postings(nodes, k, least, hot_lists(nodes, k)))
     clusters = components(candidates(posted, k, least)).withColumnRenamed("component", "cluster")
 
     member = clusters.join(nodes.select("node", "n"), "node")
@@ -371,10 +375,11 @@ def near_duplicates(
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each component; rows that share a doc_id go together."""
-    lost = near_duplicates(docs, id_col, text_col, **options).where(~F.col("kept"))
-    lost = lost.select(F.col("doc_id").alias("_lost_id"))
-    return docs.join(lost, docs[id_col].cast("bigint") == F.col("_lost_id"), "left_anti")
+    """``docs`` with one document of each component; rows that share a doc_id go together. All
+    columns as they were, whatever their names; edge cases are those of ``near_duplicates``."""
+    lost = near_duplicates(docs, id_col, text_col, **options).where(~F.col("kept") & F.col("doc_id").isNotNull())
+    lost = written(lost.select("doc_id").distinct(), "near-copies")
+    return without_rows(docs, {"doc_id": F.col(id_col).cast("bigint")}, lost)
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
