@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 
 from adcorpus.llm.common import as_text, documents, map_arrow, written
 
-#: (category, condition on a row of labels), in the order of the chain.
+#: (category, condition on a row of labels), in the order of the chain. The labels know two marks;
+#: ``low_quality`` is no kind of toxicity but tells of it, and ``severe`` is what both marks share.
+#: Callers with richer labels name their own chain.
 CATEGORIES = (
     ("low_quality", "quality = 0"),
     ("toxic", "toxic = 1"),
@@ -104,7 +106,12 @@ def fit_chain(
     max_rows: int = MAX_ROWS,
     max_features: int = MAX_FEATURES,
 ) -> Chain:
-    """Train on a bounded sample (``max_rows`` per value of the deciding category)."""
+    """Train on a bounded sample (``max_rows`` per value of the deciding category).
+
+    Rows are weighted so that both values of the deciding category weigh the same. So the
+    probabilities do not shift when ``max_rows`` cuts one value and not the other. Every step of
+    the chain is written to the shared folder and read back.
+    """
     names = [name for name, _ in categories]
     ys = [f"y{k}" for k in range(len(names))]
     sample = labelled_sample(docs, labels, categories, deciding, max_rows)
@@ -141,7 +148,13 @@ def fit_chain(
     encoder = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="features", outputCol="x")
     encoder = encoder.setBinary(True)
     data = encoder.transform(rows).withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)))
-    data = data.drop("features").coalesce(1).persist()
+    decided = ys[names.index(deciding)]
+    n_true = float(totals[decided])
+    if 0 < n_true < n:
+        weight = F.when(F.col(decided) == 1, n / (2 * n_true)).otherwise(n / (2 * (n - n_true)))
+    else:
+        weight = F.lit(1.0)
+    data = written(data.drop("features").withColumn("weight", weight).coalesce(1), "chain")
     weights = np.zeros((len(ys), len(vocabulary)))
     earlier, intercepts = np.zeros((len(ys), len(ys))), np.zeros(len(ys))
     for k, y in enumerate(ys):
@@ -149,7 +162,7 @@ def fit_chain(
         seen = VectorAssembler(inputCols=inputs, outputCol="z").transform(data)
         learner = LogisticRegression(
             featuresCol="z", labelCol=y, probabilityCol="p", rawPredictionCol="raw", predictionCol="hard",
-            maxIter=20, regParam=0.0003, elasticNetParam=0.5,
+            weightCol="weight", maxIter=20, regParam=0.0003, elasticNetParam=0.5,
         )
         model = learner.fit(seen)
         coefficients = model.coefficients.toArray()
@@ -164,10 +177,7 @@ def fit_chain(
             for f in folds[1:]:
                 out = out.union(f)
             out = out.withColumn(f"p{k}", vector_to_array("p")[1]).drop("z", "p", "raw", "hard")
-            known, data = data, out.coalesce(1).persist()
-            data.count()
-            known.unpersist()
-    data.unpersist()
+            data = written(out.coalesce(1), "chain")
     return Chain(names, {f: i for i, f in enumerate(vocabulary)}, weights, earlier, intercepts)
 
 
