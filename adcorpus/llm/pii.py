@@ -176,11 +176,14 @@ def address(text: str, at: int, cue: str) -> Found | None:
     if cue.endswith(" "):
         m = STREET_NAME.match(text, end)
         return (at, m.end()) if m and (at == 0 or not text[at - 1].isalpha()) else None
+    m = NUMBER_AFTER.match(text, end)
+    if not m:
+        return None
+    # the number is what ends a name, so no letters are walked over twice
     start = at
     while start > 0 and (text[start - 1].isalpha() or text[start - 1] == "-"):
         start -= 1
-    m = NUMBER_AFTER.match(text, end)
-    return (start, m.end()) if m else None
+    return start, m.end()
 
 
 def spelled(text: str, at: int, end: int) -> Found | None:

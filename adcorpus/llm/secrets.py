@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adcorpus.llm.common import as_text, documents, written
-from adcorpus.llm.spans import SPAN, joined, none, spans_of
+from adcorpus.llm.spans import SPAN, joined, masked, none, spans_of
 
 # The base patterns, kinds in order.
 ASSIGN = (
@@ -23,9 +23,11 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 KINDS = ("assign", "access", "hex", "random")
 
+#: Strings that are judged. Below 16 characters dates, numbers and names with digits reach the
+#: likelihood ratios of random strings, so shorter ones are left to the base rules.
 TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
 WORD = r"[A-Za-z0-9+/_=-]{4,}"
-#: Documents from which strings are taken for training, at most, on either side.
+#: Documents (not strings) from which strings are taken for training, at most, on either side.
 MAX_TRAINING = 2000
 #: A token's log-likelihood ratio, in nats: in total and per character.
 MIN_TOTAL, MIN_MEAN = 8.0, 0.4
@@ -33,6 +35,11 @@ MIN_TOTAL, MIN_MEAN = 8.0, 0.4
 ALPHABET = 128
 
 
+def long_value(hit: Column) -> Column:
+    """An assignment whose value has 8 characters or more."""
+    return F.length(F.regexp_extract(hit, ASSIGN, 1)) >= 8
+
+
 def base_spans(text: Column) -> tuple[Column, Column, Column]:
     low = F.lower(text)
     keyed = (
@@ -41,7 +48,7 @@ def base_spans(text: Column) -> tuple[Column, Column, Column]:
     )
     assign = F.filter(
         spans_of(text, ASSIGN, "assign", 0),
-        lambda s: F.length(F.regexp_extract(s["value"], ASSIGN, 1)) >= 8,
+        lambda s: long_value(s["value"]),
     )
     access = F.filter(spans_of(text, ACCESS, "access", 1), lambda s: F.length(s["value"]) >= 16)
     # runs of 32 and more are the long ones among all maximal runs
@@ -57,7 +64,9 @@ def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, key, assign, access, hex, tokens) per row; texts stay behind."""
     text = as_text("text")
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    tokens = F.when(text.rlike(TOKEN), spans_of(text, TOKEN, "random", 3)).otherwise(none())
+    # outside the base matches: what is left of a longer string is judged by itself
+    rest = masked(masked(masked(text, ASSIGN, long_value), ACCESS, lambda h: F.length(h) >= 16), r"[0-9a-f]{32,}")
+    tokens = F.when(text.rlike(TOKEN), spans_of(rest, TOKEN, "random", 3)).otherwise(none())
     assign, access, hexes = base_spans(text)
     return rows.select(
         "doc_id",
@@ -150,13 +159,7 @@ def found_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(doc_id, assign, access, hex, random) per row: arrays of spans."""
     scan = written(scanned(docs, id_col, text_col), "secrets")
     ratio = written(markov_ratio(scan, docs, id_col, text_col), "markov").scalar()
-    base = F.concat("assign", "access", "hex")
-    # a token inside a base match is found already
-    alone = F.filter(
-        "tokens",
-        lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])),
-    )
-    rows = scan.select("doc_id", "assign", "access", "hex", alone.alias("tokens"), ratio.alias("ratio"))
+    rows = scan.select("doc_id", "assign", "access", "hex", "tokens", ratio.alias("ratio"))
 
     def secret(t: Column) -> Column:
         total = log_ratio(t["value"], F.col("ratio"))
@@ -172,7 +175,7 @@ def secret_summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Null counts as empty: no spans. Whole texts are searched, of any length; repeated rows give
     repeated results; a null doc_id stays null. Without base matches to train on, no spans are
-    added. An empty table gives an empty result; other columns are not read.
+    added. Strings of less than 16 characters outside the base matches are not judged. An empty table gives an empty result; other columns are not read.
     """
     found = found_spans(docs, id_col, text_col)
     base = F.concat("assign", "access", "hex")
