@@ -8,6 +8,8 @@ rendering works on parts of bounded length.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -15,8 +17,10 @@ from pyspark.sql import Window as W
 from adcorpus.constants import CHATML_GENERATION, CHATML_MESSAGE
 from adcorpus.functions.chat import render_message
 from adcorpus.functions.text import strip, token_count, tokens
+from adcorpus.operators.inference import Encode, cut_texts, token_budget_with
 from adcorpus.operators.metrics import null_safe_join
-from adcorpus.operators.topn import take_first
+from adcorpus.operators.topn import BUCKET, take_first, take_weight
+from adcorpus.sources.scratch import written
 
 
 def _is(role: str) -> Column:
@@ -135,9 +139,8 @@ def conversation_budget(
     """First ``max_tokens`` whitespace tokens of each rendered conversation, with totals.
 
     The template gives every message at least one token, so the head lies within the first
-    ``max_tokens`` messages, and no group exceeds that many rows. Up to :data:`RANK_LIMIT` the
-    rank filter is applied before the shuffle too; beyond it, the first messages are found from
-    bucket counts, so that a very long conversation is not ranked in one task either way.
+    ``max_tokens`` messages, and no group exceeds that many rows. The first messages are found from
+    bucket counts, so that a very long conversation is not ranked in one task.
     ``n_tokens`` is the total over the whole conversation. The
     template must end its messages with whitespace, so that no token spans two of them.
     """
@@ -170,3 +173,47 @@ def conversation_budget(
         F.size("t").cast("bigint").alias("n_kept"),
         (F.col("n_tokens") > max_tokens).alias("truncated"),
     )
+
+
+def conversation_budget_with(
+    df: DataFrame,
+    build: Callable[[], Encode],
+    conv: str = "conv_id",
+    turn: str = "turn",
+    content: str = "text",
+    max_tokens: int = 512,
+    template: tuple[str, str, str] = CHATML_MESSAGE,
+    bucket: int = BUCKET,
+) -> DataFrame:
+    """:func:`conversation_budget` with the caller's tokenizer: conv, head, n_tokens, n_kept,
+    truncated.
+
+    ``build()`` gives a function as for :func:`adcorpus.operators.inference.token_budget_with`.
+    Messages are counted one by one, so the tokenizer must not merge across messages (templates
+    see to that with tokens of their own); a message without tokens adds nothing. Every text is
+    counted once; only numbers are summed, and only the messages of the head are fetched, of which
+    only the one that crosses the limit is cut.
+    """
+    segments = _segments(df.where(F.col(turn).isNotNull()), conv, turn, content, template)
+    counted = token_budget_with(segments, build, "segment", max_tokens)
+    counts = written(counted.select(conv, turn, "n_tokens"), "token-counts")
+    totals = counts.groupBy(conv).agg(F.sum("n_tokens").alias("_total"))
+    first = take_weight(counts, conv, turn, "n_tokens", max_tokens, bucket)
+    texts = null_safe_join(segments, first, [conv, turn])
+    room = F.lit(max_tokens) - F.col("before")
+    whole = texts.where(F.col("n_tokens") <= room).select(conv, turn, "segment")
+    crossing = texts.where(F.col("n_tokens") > room).withColumn("_room", room)
+    cut = cut_texts(crossing, build, "segment", "_room").select(conv, turn, "segment")
+    ordered = F.sort_array(F.collect_list(F.struct(F.col(turn).alias("t"), F.col("segment").alias("s"))))
+    heads = whole.unionByName(cut).groupBy(conv).agg(
+        F.array_join(F.transform(ordered, lambda x: x["s"]), "").alias("head")
+    )
+    out = null_safe_join(totals, heads, [conv], "left")
+    kept = F.least(F.col("_total"), F.lit(max_tokens)).cast("bigint")
+    return out.select(
+        conv,
+        F.coalesce("head", F.lit("")).alias("head"),
+        F.col("_total").cast("bigint").alias("n_tokens"),
+        kept.alias("n_kept"),
+        (F.col("_total") > max_tokens).alias("truncated"),
+    )

@@ -11,7 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from adcorpus.operators.numbering import numbered
 
 
 def confusion_counts(
@@ -128,36 +129,20 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(other, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
-#: Characters of a label that group it for numbering.
-LABEL_PREFIX = 3
-
-
 def label_universe(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Distinct labels of truth and prediction per run, numbered by ascending label, null first.
 
-    No run's labels meet in one task: a label's number is the count of labels with smaller
-    beginnings, a running total over the beginnings, and its rank among those with its own.
+    No run's labels meet in one task, whatever they begin with: they are numbered by ranges of
+    their order (see :mod:`adcorpus.operators.numbering`), which runs at once and goes through the
+    shared folder.
     """
-    sides = counts.select(*by, "n", F.explode(F.array("truth", "pred")).alias("label"))
-    # Counts stay in use, so that this branch shares the exchange of the confusion counts.
-    labels = sides.groupBy(*by, "label").agg(F.sum("n").alias("_n")).where("_n > 0").drop("_n")
-    labels = labels.withColumn("_start", F.coalesce(F.substring("label", 1, LABEL_PREFIX), F.lit("")))
-    labels = labels.withColumn("_null", F.col("label").isNull())
-    run = W.partitionBy(*by).orderBy(F.col("_null").desc(), "_start")
-    before = run.rowsBetween(W.unboundedPreceding, W.currentRow)
-    whole = W.partitionBy(*by)
-    starts = (
-        labels.groupBy(*by, "_null", "_start")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.sum("_n").over(before) - F.col("_n"))
-        .withColumn("n_labels", F.sum("_n").over(whole).cast("int"))
-        .drop("_n")
-    )
-    within = W.partitionBy(*by, "_null", "_start").orderBy("label")
-    ranked = labels.withColumn("_rank", F.row_number().over(within))
-    numbered = null_safe_join(ranked, starts, [*by, "_null", "_start"])
-    return numbered.select(
-        *by, "label", (F.col("_before") + F.col("_rank")).cast("int").alias("pos"), "n_labels"
+    sides = counts.select(*by, F.explode(F.array("truth", "pred")).alias("label"))
+    labels = sides.groupBy(*by, "label").agg(F.lit(1).alias("_one")).drop("_one")
+    rows = numbered(labels, [*[F.col(c) for c in by], F.asc_nulls_first("label")], "_number")
+    runs = rows.groupBy(*by).agg(F.min("_number").alias("_first"), F.count(F.lit(1)).cast("int").alias("n_labels"))
+    placed = null_safe_join(rows, runs, by) if by else rows.join(F.broadcast(runs))
+    return placed.select(
+        *by, "label", (F.col("_number") - F.col("_first") + 1).cast("int").alias("pos"), "n_labels"
     )
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from adcorpus.constants import DEFAULT_INSTRUCTION, PAGE_INTRO, SCHEMA_INTRO, SCHEMA_OUTRO
 from adcorpus.functions.html import with_markdown
+from adcorpus.functions.postings import job_posting, pair_value, posting_items, posting_value, split_items, stated_pairs
 from adcorpus.functions.text import fenced_json, strip
 from adcorpus.sources.schemas import JOB_AD, LIST_FIELDS, REQUIRED_FIELDS
 
@@ -35,7 +36,13 @@ FIELD_LABELS: dict[str, tuple[str, ...]] = {
     "benefits": ("Benefits", "Phúc lợi"),
     "requirements_text": ("Requirements", "Yêu cầu"),
 }
-TITLE_TAG = r"(?is)<title\b[^>]*>(.*?)</title"
+#: Labels of fields that only markup names; in running text they head whole sections.
+PAIR_LABELS: dict[str, tuple[str, ...]] = {
+    **FIELD_LABELS,
+    "job_title": ("Job title", "Chức danh"),
+    "description": ("Job description", "Mô tả công việc"),
+}
+TITLE_TAG = r"(?i)<title\b[^<>]*>([^<]*)"
 FIRST_HEADING = r"(?:^|\n)# ([^\n]+)"
 LIST_SEPARATOR = r"\s*[,;]\s*"
 NUMBER = r"([0-9]+(?:\.[0-9]+)?)"
@@ -73,47 +80,60 @@ def page_fields(
     pages: DataFrame,
     keep: Sequence[str] = (),
     labels: Mapping[str, Sequence[str]] = FIELD_LABELS,
+    pair_labels: Mapping[str, Sequence[str]] = PAIR_LABELS,
 ) -> DataFrame:
     """``keep`` columns and ``record``, a :data:`JOB_AD` struct, for pages with html.
 
-    Only what a page states is filled in: the first heading or title, its text, and lines that
-    name a field. All else is null. List fields are split at commas and semicolons. ``pages``
-    needs ``url`` and ``html``.
+    Only what a page states is filled in, from the first of these that states it: a JobPosting in
+    the page's JSON scripts, label/value markup, lines of text that name a field; then headings
+    and title for the job title and the whole text for the description. All else is null. List
+    fields are split at commas and semicolons. ``pages`` needs ``url`` and ``html``.
     """
-    staged = with_markdown(pages.where(F.col("html").isNotNull())).withColumn(
-        "_lines", labelled_lines(F.col("markdown"), labels)
+    staged = pages.where(F.col("html").isNotNull()).withColumns(
+        {"_posting": job_posting(F.col("html")), "_pairs": stated_pairs(F.col("html"))}
     )
+    staged = with_markdown(staged).withColumn("_lines", labelled_lines(F.col("markdown"), labels))
     heading = _blank_to_null(F.regexp_extract("markdown", FIRST_HEADING, 1))
     title = _blank_to_null(F.regexp_extract("html", TITLE_TAG, 1))
+    last = {"job_title": F.coalesce(heading, title), "description": _blank_to_null(F.col("markdown"))}
 
     def field(name: str) -> Column:
-        if name == "job_title":
-            return F.coalesce(heading, title)
         if name == "url":
             return F.col("url")
-        if name == "description":
-            return _blank_to_null(F.col("markdown"))
-        if name not in labels:
-            return F.lit(None)
-        stated = labelled_line(F.col("_lines"), labels[name])
+        in_posting = posting_value(F.col("_posting"), name)
+        in_pairs = pair_value(F.col("_pairs"), pair_labels.get(name, ()))
+        in_lines = labelled_line(F.col("_lines"), labels[name]) if name in labels else F.lit(None).cast("string")
         if name in LIST_FIELDS:
-            return F.split(stated, LIST_SEPARATOR)
+            return F.coalesce(
+                posting_items(F.col("_posting"), name, LIST_SEPARATOR),
+                split_items(in_pairs, LIST_SEPARATOR),
+                F.split(in_lines, LIST_SEPARATOR),
+            )
+        stated = F.coalesce(in_posting, in_pairs, in_lines)
         if name == "experience_required":
             return F.nullif(F.regexp_extract(stated, NUMBER, 1), F.lit("")).try_cast("double")
-        return stated
+        return F.coalesce(stated, last[name]) if name in last else stated
 
     record = F.struct(*[field(f.name).cast(f.dataType).alias(f.name) for f in JOB_AD.fields])
     return staged.select(*keep, record.alias("record"))
 
 
 def json_schema_text(schema: T.StructType = JOB_AD) -> str:
-    """A JSON schema document for a struct of strings, numbers and string lists."""
+    """A JSON schema document for a struct of strings, numbers and string lists.
 
-    def entry(field: T.StructField) -> dict:
+    A column's metadata goes into its entry; a nullable column is optional: its type or null, null
+    by default.
+    """
+
+    def kind(field: T.StructField) -> dict:
         if isinstance(field.dataType, T.ArrayType):
             return {"type": "array", "items": {"type": "string"}}
         return {"type": "number" if isinstance(field.dataType, T.DoubleType) else "string"}
 
+    def entry(field: T.StructField) -> dict:
+        out = {"anyOf": [kind(field), {"type": "null"}], "default": None} if field.nullable else kind(field)
+        return dict(sorted({**out, **field.metadata, "title": field.name.replace("_", " ").title()}.items()))
+
     document = {
         "type": "object",
         "properties": {f.name: entry(f) for f in schema.fields},
@@ -134,28 +154,23 @@ def extraction_prompt(markdown: Column, instruction: str | None = None) -> Colum
     return F.concat(F.lit(head + PAGE_INTRO), markdown)
 
 
-def is_json_object(c: Column) -> Column:
-    """True for text that holds one well-formed JSON object and nothing around it."""
+#: Texts of any length; keys and strings in double quotes only.
+JSON_OPTIONS = {"allowSingleQuotes": "false", "maxStringLen": str(2**31 - 1), "maxNestingDepth": "10000"}
+
+
+def json_members(c: Column) -> Column:
+    """``map<string, string>`` of the members of a text that holds one well-formed JSON object and
+    nothing around it, nested values as JSON text; else null. Of a repeated key the first counts."""
     body = strip(c)
     framed = F.startswith(body, F.lit("{")) & F.endswith(body, F.lit("}"))
-    return F.coalesce(framed & F.try_parse_json(body).isNotNull(), F.lit(False))
+    return F.from_json(F.when(framed, body), "map<string,string>", JSON_OPTIONS)
 
 
 def answered_json(df: DataFrame, answer: str, name: str = "json") -> DataFrame:
     """Add the JSON object inside the first fenced block of ``answer``, or null."""
     staged = df.withColumn("_block", fenced_json(F.col(answer)))
-    return staged.withColumn(name, F.when(is_json_object(F.col("_block")), F.col("_block"))).drop(
-        "_block"
-    )
-
-
-def _as_text_first(schema: T.StructType) -> T.StructType:
-    """Numbers are read as text so that a quoted number is not lost."""
-    fields = [
-        T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.DoubleType) else f.dataType)
-        for f in schema.fields
-    ]
-    return T.StructType(fields)
+    whole = json_members(F.col("_block")).isNotNull()
+    return staged.withColumn(name, F.when(whole, F.col("_block"))).drop("_block")
 
 
 def _number(c: Column) -> Column:
@@ -163,13 +178,20 @@ def _number(c: Column) -> Column:
     return F.when(F.rlike(c, F.lit(NUMBER_TEXT)), c.try_cast("double"))
 
 
-def _typed(parsed: Column, schema: T.StructType, **override: Column) -> Column:
+def _typed(members: Column, schema: T.StructType, **override: Column) -> Column:
+    """A struct of ``schema`` from the members of one parse; what does not fit its type is null."""
+
     def value(f: T.StructField) -> Column:
         if f.name in override:
             return override[f.name]
+        text = F.try_element_at(members, F.lit(f.name))
+        if isinstance(f.dataType, T.StringType):
+            return text
         if isinstance(f.dataType, T.DoubleType):
-            return _number(parsed[f.name])
-        return parsed[f.name]
+            return _number(text)
+        if isinstance(f.dataType, T.ArrayType):
+            return F.from_json(F.when(F.startswith(text, F.lit("[")), text), f.dataType, JSON_OPTIONS)
+        return text.try_cast(f.dataType)
 
     return F.struct(*[value(f).alias(f.name) for f in schema.fields])
 
@@ -182,14 +204,10 @@ def record_or_raw(
     The record is the fenced JSON object with the page's own ``url`` put in; an answer without
     a well-formed object is kept as text. Needs a ``url`` column.
     """
-    options = {"allowSingleQuotes": "false"}
-    staged = (
-        answered_json(df, answer, "_json")
-        .withColumn("_rec", F.from_json("_json", _as_text_first(schema), options))
-    )
+    staged = df.withColumn("_members", json_members(fenced_json(F.col(answer))))
     has_url = "url" in schema.names
-    record = _typed(F.col("_rec"), schema, **({"url": F.col("url")} if has_url else {}))
-    found = F.col("_json").isNotNull()
+    record = _typed(F.col("_members"), schema, **({"url": F.col("url")} if has_url else {}))
+    found = F.col("_members").isNotNull()
     return staged.select(
         *keep,
         "url",
@@ -208,30 +226,24 @@ def typed_parse(
     ``number:<field>`` (present but not a number).
     """
     numbers = [f.name for f in schema.fields if isinstance(f.dataType, T.DoubleType)]
-    staged = (
-        df.withColumn("_ok", is_json_object(F.col(text)))
-        .withColumn(
-            "_rec",
-            F.from_json(
-                F.when(F.col("_ok"), F.col(text)),
-                _as_text_first(schema),
-                {"allowSingleQuotes": "false"},
-            ),
-        )
-    )
-    rec = F.col("_rec")
-    checks = [F.when(~F.col("_ok"), F.lit("malformed"))]
+    staged = df.withColumn("_members", json_members(F.col(text)))
+    ok = F.col("_members").isNotNull()
+
+    def member(name: str) -> Column:
+        return F.try_element_at("_members", F.lit(name))
+
+    checks = [F.when(~ok, F.lit("malformed"))]
     for name in required:
-        absent = F.coalesce(strip(rec[name]), F.lit("")) == ""
-        checks.append(F.when(F.col("_ok") & absent, F.lit(f"missing:{name}")))
+        absent = F.coalesce(strip(member(name)), F.lit("")) == ""
+        checks.append(F.when(ok & absent, F.lit(f"missing:{name}")))
     if "url" in schema.names:
-        checks.append(F.when(~F.rlike(strip(rec["url"]), F.lit(WEB_URL)), F.lit("url")))
+        checks.append(F.when(~F.rlike(strip(member("url")), F.lit(WEB_URL)), F.lit("url")))
     for name in numbers:
-        bad = rec[name].isNotNull() & _number(rec[name]).isNull()
+        bad = member(name).isNotNull() & _number(member(name)).isNull()
         checks.append(F.when(bad, F.lit(f"number:{name}")))
     return staged.select(
         *keep,
-        F.when(F.col("_ok"), _typed(rec, schema)).alias("record"),
+        F.when(ok, _typed(F.col("_members"), schema)).alias("record"),
         F.array_compact(F.array(*checks)).alias("problems"),
         F.col(text).alias("text"),
     )

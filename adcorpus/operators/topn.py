@@ -1,4 +1,4 @@
-"""The first rows of each group, where one group may hold most of the table."""
+"""The first rows of each group, by number or by weight, where one group may hold most of the table."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from adcorpus.operators.metrics import null_safe_join
+
 BUCKET = 65_536
 
 
@@ -41,3 +43,26 @@ def take_first(
         .where(F.col("_rank") <= F.col("_limit"))
         .select(*rows.columns)
     )
+
+
+def take_weight(
+    rows: DataFrame, group: str, order: str, weight: str, limit: int, bucket: int = BUCKET
+) -> DataFrame:
+    """The first rows of each ``group`` by ``order`` until their ``weight`` adds up to ``limit``,
+    with ``before``: the weight of the rows before. The last one may go beyond the limit.
+
+    ``order`` is an integer that is unique in its group, and weights are not negative; rows without
+    weight are left out. Weights are summed by bucket of ``order`` first, and only buckets that
+    begin below the limit are put in order: one bucket at a time, of at most ``bucket`` rows.
+    """
+    bucketed = rows.where(F.col(weight) > 0).withColumn("_bucket", F.col(order) - F.pmod(order, F.lit(bucket)))
+    earlier = W.partitionBy(group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    sums = bucketed.groupBy(group, "_bucket").agg(F.sum(weight).alias("_sum"))
+    sums = sums.select(group, "_bucket", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
+    within = W.partitionBy(group, "_bucket").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    return (
+        null_safe_join(bucketed, sums.where(F.col("_base") < limit), [group, "_bucket"])
+        .withColumn("before", F.col("_base") + F.coalesce(F.sum(weight).over(within), F.lit(0)))
+        .where(F.col("before") < limit)
+        .select(*rows.columns, "before")
+    )

@@ -128,3 +128,88 @@ RANGE_TEXT = (
     "CASE WHEN p_type = 'PROMO' THEN 'Thoả thuận' ELSE"
     " CAST(p_size AS STRING) || '.4 - ' || CAST(p_size + 7 AS STRING) || '.0 triệu' END"
 )
+
+# part as job pages that state every field: a JSON script, an English list, a Vietnamese table
+STATED = {
+    "job_title": "p_name",
+    "company_name": "p_brand",
+    "job_category": "p_type",
+    "sub_category": "p_type || ' junior'",
+    "industry": "'Industry ' || CAST(p_size AS STRING)",
+    "location": "'City ' || CAST(p_size AS STRING)",
+    "country": "CASE WHEN p_size > 25 THEN 'Việt Nam' ELSE 'Vietnam' END",
+    "posting_date": "'2025-07-' || CAST(10 + p_size % 20 AS STRING)",
+    "deadline": "'2025-08-' || CAST(10 + p_size % 20 AS STRING)",
+    "qualifications": ("'Degree ' || p_brand", "'Certificate'"),
+    "technical_skills": ("'Python'", "p_name", "'SQL'"),
+    "soft_skills": ("'Teamwork'", "p_type"),
+    "languages_required": ("'Tiếng Việt'", "'English'"),
+    "experience_required": "CAST(p_size AS STRING)",
+    "salary": "CAST(p_size AS STRING) || ' - ' || CAST(p_size + 7 AS STRING) || ' VND/MONTH'",
+    "contract_type": "CASE WHEN p_type = 'PROMO' THEN 'Part time' ELSE 'Full time' END",
+    "working_hours": "CAST(p_size AS STRING) || ' h'",
+    "benefits": ("'Bảo hiểm'", "'Bonus ' || CAST(p_size AS STRING)"),
+    "description": "'Build & test ' || p_name",
+    "requirements_text": "'Knows ' || p_brand",
+}
+STATED_URL = "'https://jobs.example/' || CAST(p_partkey AS STRING)"
+
+
+def _text(field: str, separator: str) -> str:
+    value = STATED[field]
+    return value if isinstance(value, str) else f" || '{separator}' || ".join(value)
+
+
+def _json_list(field: str) -> str:
+    return "'[\"' || " + " || '\", \"' || ".join(STATED[field]) + " || '\"]'"
+
+
+def _posting() -> str:
+    quoted = {
+        "title": "job_title", "occupationalCategory": "job_category", "relevantOccupation": "sub_category",
+        "industry": "industry", "datePosted": "posting_date", "validThrough": "deadline",
+        "employmentType": "contract_type", "workHours": "working_hours", "description": "description",
+        "responsibilities": "requirements_text",
+    }
+    members = [f"'\"{key}\": \"' || {STATED[field]} || '\"'" for key, field in quoted.items()]
+    members += [
+        f"'\"{key}\": ' || {_json_list(field)}"
+        for key, field in {
+            "qualifications": "qualifications", "skills": "technical_skills", "softSkills": "soft_skills",
+            "inLanguage": "languages_required", "jobBenefits": "benefits",
+        }.items()
+    ]
+    members += [
+        f"'\"hiringOrganization\": {{\"@type\": \"Organization\", \"name\": \"' || {STATED['company_name']} || '\"}}'",
+        f"'\"jobLocation\": [{{\"address\": {{\"addressLocality\": \"' || {STATED['location']}"
+        f" || '\", \"addressCountry\": \"' || {STATED['country']} || '\"}}}}]'",
+        "'\"experienceRequirements\": {\"monthsOfExperience\": ' || CAST(p_size * 12 AS STRING) || '}'",
+        "'\"baseSalary\": {\"currency\": \"VND\", \"value\": {\"minValue\": ' || CAST(p_size AS STRING)"
+        " || ', \"maxValue\": ' || CAST(p_size + 7 AS STRING) || ', \"unitText\": \"MONTH\"}}'",
+    ]
+    body = " || ', ' || ".join(members)
+    return (
+        "'<script type=\"application/ld+json\">[{\"@type\": \"WebSite\"}, {\"@type\": \"JobPosting\", ' || "
+        + body + " || '}]</script>'"
+    )
+
+
+def _pairs(language: int, labels: dict, row: tuple[str, str, str]) -> str:
+    before, between, after = row
+    cells = [
+        f"'{before}{labels[f][language]}{between}' || replace({_text(f, '; ')}, '&', '&amp;') || '{after}'"
+        for f in STATED
+    ]
+    return " || ".join(cells)
+
+
+def posting_page(labels: dict) -> str:
+    """The html of a part's job page; ``labels`` are those of the fields, by language."""
+    english = _pairs(0, labels, ("<dt>", ":</dt>\n<dd>", "</dd>"))
+    vietnamese = _pairs(1, labels, ("<tr class=\"x\"><th>", "</th> <td><span>", "</span></td></tr>"))
+    return (
+        "'<html><head><title>Jobs</title>' || CASE p_partkey % 3"
+        f" WHEN 0 THEN {_posting()} || '</head><body><h1>Welcome</h1>'"
+        f" WHEN 1 THEN '</head><body><h1>Welcome</h1><dl>' || {english} || '</dl>'"
+        f" ELSE '</head><body><h1>Welcome</h1><table>' || {vietnamese} || '</table>' END || '<p>Apply now</p></body>'"
+    )

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adcorpus.functions import chat, text
+from adcorpus.functions.bounded import attach
 from adcorpus.functions.html import with_markdown
 from adcorpus.operators import conversations as conv
 from adcorpus.operators import frontier as fr
@@ -18,14 +20,19 @@ from adcorpus.operators import profile as prof
 from adcorpus.operators import prompts as pr
 from adcorpus.operators import sampling as smp
 from adcorpus.operators.grid import RUN_COLUMNS, run_grid, scores_on_grid
-from adcorpus.operators.inference import batch_generate, token_budget_with
+from adcorpus.operators.answers import ANSWERED, LEDGER
+from adcorpus.operators.inference import ANSWERS, batch_generate, token_budget_with
+from adcorpus.operators.inference import generate_once as generate
 from adcorpus.plans import bindings as b
 from adcorpus.plans.evaluation import evaluate_categories, evaluate_salaries, scorable_prompts
 from adcorpus.plans.formatting import FANOUT_COLUMNS, format_splits
-from adcorpus.plans.ingest import ingest_step
+from adcorpus.plans.ingest import add_lists, ingest, ingest_step, listed_so_far
+from adcorpus.plans.ingest import answer_ingest as answer_pages
 from adcorpus.plans.training import training_texts
-from adcorpus.sources.readers import labelled_texts, salary_exemplars
-from adcorpus.sources.schemas import JOB_AD, LIST_FIELDS
+from adcorpus.sources.readers import labelled_texts, read_results, salary_exemplars
+from adcorpus.sources.schemas import EXTRACTION, JOB_AD, LIST_FIELDS, RESULT_KEYS
+from adcorpus.sources.scratch import shared_dir
+from adcorpus.sources.snapshots import Snapshots
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -260,6 +267,14 @@ def token_budget_hook(spark: SparkSession, sf: str) -> DataFrame:
     return token_budget_with(docs, build, "text", 512).drop("text")
 
 
+def conversation_budget_hook(spark: SparkSession, sf: str) -> DataFrame:
+    def build():
+        # a tokenizer of characters
+        return lambda texts, n: [(t[:n], len(t)) for t in texts]
+
+    return conv.conversation_budget_with(table(spark, sf, "conversations"), build, max_tokens=512)
+
+
 # --- parsing and metrics ---------------------------------------------------------------------
 
 
@@ -334,7 +349,7 @@ def evaluation_runs(spark: SparkSession, sf: str) -> DataFrame:
         "CASE WHEN n_chars % 3 = 0 THEN ' 1 ' WHEN n_chars % 3 = 1 THEN '0' ELSE 'x' END AS generated_text",
     )
     known = table(spark, sf, "labels").selectExpr("CAST(quality AS STRING) AS label")
-    return evaluate_categories(generations, known)["matrix"]
+    return evaluate_categories(generations, known, dense=True)["matrix"]
 
 
 def salary_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
@@ -449,12 +464,10 @@ def frontier_progress(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def quota_take(spark: SparkSession, sf: str) -> DataFrame:
-    listed = _frontier(spark, sf)
-    done = fr.done_urls(_results(spark, sf, b.PAGE_DONE))
-    remaining = fr.frontier_progress(listed, done, percent=60)
-    return fr.quota_take(
-        fr.pending_urls(listed, done), remaining, success=F.expr(b.PAGE_FETCHED)
-    )
+    # one aggregate on (source, url) gives what is pending and what the quota leaves
+    state = fr.url_state(_frontier(spark, sf), _results(spark, sf, b.PAGE_DONE))
+    pending = state.where("listed AND NOT done").select("source", "url", "pos")
+    return fr.quota_take(pending, fr.state_progress(state, percent=60), success=F.expr(b.PAGE_FETCHED))
 
 
 def resume_ingest(spark: SparkSession, sf: str) -> DataFrame:
@@ -472,6 +485,102 @@ def resume_ingest(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _fresh_store(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+
+
+def snapshot_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Results added, taken back and added again; a commit may do both at once."""
+    store = Snapshots(spark, _fresh_store(spark))
+    rows = table(spark, sf, "pages").selectExpr(
+        "page_id", f"{b.PAGE_SOURCE} AS source", "url", "CAST(page_id AS STRING) AS raw_response"
+    )
+
+    def staged(where: str, name: str, version: int) -> str:
+        chosen = rows.where(where)
+        if name == "results":
+            record = F.lit(None).cast(EXTRACTION["record"].dataType).alias("record")
+            noted = F.concat_ws(" ", F.lit(f"v{version}"), "raw_response").alias("raw_response")
+            return store.stage(chosen.select("source", "url", record, noted), name, version)
+        return store.stage(chosen.select(*RESULT_KEYS), name, version)
+
+    store.commit(1, {"results": [staged("page_id % 3 <> 0", "results", 1)]})
+    store.commit(2, {
+        "results": [staged("page_id % 3 = 0", "results", 2)],
+        "results_removed": [staged("page_id % 2 = 0", "results_removed", 2)],
+    })
+    store.commit(3, {"results": [staged("page_id % 10 = 0 AND page_id % 3 <> 0", "results", 3)]})
+    return store.visible("results", EXTRACTION, RESULT_KEYS).select("source", "url", "raw_response")
+
+
+def batched_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """Lists that come in two batches, one of them twice, under one quota per source."""
+    path = _fresh_store(spark)
+    pages = table(spark, sf, "pages")
+    for batch in (0, 1, 0):
+        lines = pages.where(F.col("page_id") % 2 == batch).selectExpr(
+            f"{b.PAGE_SOURCE} AS source", "'list' AS file", "page_id AS pos", "url"
+        )
+        add_lists(spark, lines, f"batch {batch}", path)
+        ingest(spark, listed_so_far(spark, path), pages, path, percent=40, newest_by="page_id")
+    return read_results(spark, path).select("source", "url", F.col("record.job_title").alias("job_title"))
+
+
+def answer_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """Earlier results pruned, pending pages answered by a stand-in model: some prompts always
+    fail, some at the first attempt, some answers hold no JSON. Kept, new and failed URLs."""
+    store = Snapshots(spark, _fresh_store(spark))
+    pages = table(spark, sf, "pages")
+    earlier = _results(spark, sf, b.PAGE_DONE).withColumn("record", F.lit(None).cast(EXTRACTION["record"].dataType))
+    store.commit(1, {"results": [store.stage(earlier.select(*EXTRACTION.names), "results", 1)]})
+
+    def build():
+        seen: set[str] = set()
+
+        def answer(prompts: list[str]) -> list[str | None]:
+            out: list[str | None] = []
+            for p in prompts:
+                n = len(p)
+                fails = n % 7 == 0 or (n % 5 == 0 and p not in seen)
+                seen.add(p)
+                body = f'{{"job_title": "T{n}", "url": "x", "experience_required": {n % 10}}}'
+                text = f"about {n}" if n % 3 == 0 else f"Here:\n```json\n{body}\n```"
+                out.append(None if fails else text)
+            return out
+
+        return answer
+
+    listed = _frontier(spark, sf, b.PAGE_LISTED)
+    answer_pages(spark, listed, pages, build, store.path, percent=80, newest_by="page_id")
+    results = read_results(spark, store.path)
+    tries = store.read("ledger", LEDGER).groupBy("source", "url").agg(
+        F.max("attempt").cast("bigint").alias("n_attempts"), F.max(F.col("outcome") == ANSWERED).alias("answered")
+    )
+    rows = results.select("source", fr.result_url(results).alias("url"), "record", "raw_response")
+    rows = rows.join(tries.drop("answered"), ["source", "url"], "left")
+    status = F.when(F.col("n_attempts").isNull(), "kept").when(F.col("record").isNotNull(), "record").otherwise("raw")
+    done = rows.select(
+        "source", "url", status.alias("status"), "n_attempts", F.col("record.job_title").alias("job_title"),
+        F.col("record.experience_required").alias("experience_required"),
+        F.when(F.col("n_attempts").isNotNull(), F.col("raw_response")).alias("raw_response"),
+    )
+    failed = tries.where(~F.col("answered")).select("source", "url", F.lit("failed").alias("status"), "n_attempts")
+    return done.unionByName(failed, allowMissingColumns=True)
+
+
+def posting_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """Job pages that state all fields, in a JSON script or as label/value markup."""
+    pages = table(spark, sf, "part").selectExpr(
+        "p_partkey", f"{b.STATED_URL} AS url", f"{b.posting_page(pg.PAIR_LABELS)} AS html"
+    )
+    fields = pg.page_fields(pages, keep=["p_partkey"])
+    columns = [
+        F.array_join(f"record.{n}", "|").alias(n) if n in LIST_FIELDS else F.col(f"record.{n}")
+        for n in JOB_AD.names
+    ]
+    return fields.select("p_partkey", *columns)
+
+
 def html_to_markdown(spark: SparkSession, sf: str) -> DataFrame:
     return with_markdown(table(spark, sf, "pages").select("page_id", "html")).drop("html")
 
@@ -588,6 +697,24 @@ def generate_batches(spark: SparkSession, sf: str) -> DataFrame:
     return batch_generate(docs, build).drop("prompt")
 
 
+def generate_once(spark: SparkSession, sf: str) -> DataFrame:
+    """Two runs over one store: the second asks nothing, and equal texts were asked once."""
+    path = _fresh_store(spark)
+    docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("prompt"))
+
+    def build():
+        return lambda prompts: [f"{len(p)} characters" for p in prompts]
+
+    def refuse():
+        raise ValueError("everything has been answered")
+
+    generate(docs.where("doc_id % 2 = 0"), build, path, "r1", commits=2)
+    generate(docs, build, path, "r1")
+    rows = generate(docs, refuse, path, "r1").drop("prompt")
+    n = Snapshots(spark, path).read("answers", ANSWERS).agg(F.count(F.lit(1)).alias("n_answers"))
+    return attach(rows, "n_answers", n)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -597,13 +724,14 @@ QUERIES: dict[str, Query] = {
         sample_k, last_user_assistant, prompt_truth_split, record_prompt_truth,
         training_text_rows,
         valid_conversations, chat_render, chat_render_genprompt, token_budget,
-        conversation_budget, token_budget_hook, parse_category, parse_category_large,
+        conversation_budget, conversation_budget_hook, token_budget_hook, parse_category, parse_category_large,
         parse_salary, class_scores, class_scores_overall, class_report, confusion_matrix,
         confusion_cells, evaluation_runs, salary_end_to_end,
         label_universe, regression_scores, run_grid_scores, distinct_urls, pending_urls,
-        stale_results, frontier_progress, quota_take, resume_ingest, html_to_markdown,
+        stale_results, frontier_progress, quota_take, resume_ingest, snapshot_results,
+        batched_ingest, answer_ingest, posting_fields, html_to_markdown,
         page_fields, extraction_prompt, fenced_json, record_or_raw, typed_parse_quarantine,
         list_literal, salary_range, labelled_text_rows, salary_exemplar_rows, corpus_profile,
-        corpus_profile_period, label_distribution, salary_value_range, generate_batches,
+        corpus_profile_period, label_distribution, salary_value_range, generate_batches, generate_once,
     )
 }

@@ -14,6 +14,7 @@ from adcorpus.operators.labels import parse_category
 from adcorpus.operators.metrics import (
     class_report,
     class_scores,
+    confusion_cells,
     confusion_counts,
     confusion_matrix,
     flag_correct,
@@ -51,8 +52,10 @@ def evaluate_categories(
     vocabulary: DataFrame,
     by: Sequence[str] = RUN_COLUMNS,
     grid: DataFrame | None = None,
+    dense: bool = False,
 ) -> dict[str, DataFrame]:
-    """Tables ``predictions``, ``scores``, ``report`` and ``matrix``.
+    """Tables ``predictions``, ``scores``, ``report`` and ``matrix``: the cells that occur, or with
+    ``dense`` a cell for every pair of a run's labels.
 
     ``generations`` holds the run columns, ``ground_truth`` and ``generated_text``. All score
     tables derive from one aggregate, the confusion counts.
@@ -60,22 +63,26 @@ def evaluate_categories(
     parsed = parse_category(_runs(generations, by), "generated_text", vocabulary, name="predicted_category")
     predictions = flag_correct(parsed, "ground_truth", "predicted_category")
     counts = confusion_counts(predictions, "ground_truth", "predicted_category", by)
-    return {"predictions": predictions, **_from_counts(counts, by, grid)}
+    return {"predictions": predictions, **_from_counts(counts, by, grid, dense)}
 
 
 def _from_counts(
-    counts: DataFrame, by: Sequence[str], grid: DataFrame | None
+    counts: DataFrame, by: Sequence[str], grid: DataFrame | None, dense: bool
 ) -> dict[str, DataFrame]:
     scores = class_scores(counts, by)
     return {
         "scores": scores if grid is None else scores_on_grid(grid, scores, by),
         "report": class_report(counts, by),
-        "matrix": confusion_matrix(counts, by),
+        "matrix": confusion_matrix(counts, by) if dense else confusion_cells(counts, by),
     }
 
 
 def save_categories(
-    generations: DataFrame, vocabulary: DataFrame, path: str, grid: DataFrame | None = None
+    generations: DataFrame,
+    vocabulary: DataFrame,
+    path: str,
+    grid: DataFrame | None = None,
+    dense: bool = False,
 ) -> None:
     """Write the tables of :func:`evaluate_categories` under ``path``, partitioned by run.
 
@@ -89,7 +96,7 @@ def save_categories(
         predictions, "ground_truth", "predicted_category", RUN_COLUMNS
     ).persist()
     try:
-        tables = _from_counts(counts, RUN_COLUMNS, grid)
+        tables = _from_counts(counts, RUN_COLUMNS, grid, dense)
         write_evaluation({"predictions": predictions, **tables}, path)
     finally:
         counts.unpersist()

@@ -409,6 +409,9 @@ ORACLE: dict[str, str] = {
         " GROUP BY conv_id",
         128,
     ),
+    "conversation_budget_hook": f"""SELECT conv_id, substr(text, 1, 512) AS head, length(text) AS n_tokens,
+      least(length(text), 512) AS n_kept, length(text) > 512 AS truncated
+      FROM (SELECT conv_id, string_agg({SEGMENT}, '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id)""",
     "token_budget_hook": """SELECT doc_id, substr(text, 1, 512) AS head, length(text) AS n_tokens,
       length(text) > 512 AS truncated FROM documents""",
     "parse_category": f"""WITH {CLASSIFIED} SELECT doc_id, answer, pred AS predicted,
@@ -484,6 +487,34 @@ ORACLE: dict[str, str] = {
       SELECT source, url, 'kept' AS status, NULL AS job_title FROM done UNION ALL
       SELECT source, url, 'new', {_field('job_title')} FROM ranked JOIN rest USING (source)
       JOIN md USING (url) WHERE rn <= n_remaining""",
+    "snapshot_results": f"""SELECT source, url, 'v' || v || ' ' || page_id AS raw_response FROM (
+      SELECT {b.PAGE_SOURCE} AS source, url, page_id, unnest(list_filter([
+        CASE WHEN page_id % 3 <> 0 AND page_id % 2 <> 0 THEN 1 END, CASE WHEN page_id % 3 = 0 THEN 2 END,
+        CASE WHEN page_id % 10 = 0 AND page_id % 3 <> 0 THEN 3 END], lambda x: x IS NOT NULL)) AS v FROM pages)""",
+    "batched_ingest": f"""WITH f AS (SELECT {b.PAGE_SOURCE} AS source, url, page_id FROM pages),
+      ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY page_id % 2, page_id) AS rn,
+        count(*) OVER (PARTITION BY source) AS n FROM f), md AS ({MD})
+      SELECT source, url, {_field('job_title')} AS job_title FROM ranked JOIN md USING (url)
+      WHERE rn <= floor(n * 40.0 / 100)""",
+    "answer_ingest": f"""WITH done AS ({DONE} AND {b.PAGE_LISTED}),
+      rest AS ({_progress(LISTED, f'{DONE} AND {b.PAGE_LISTED}', 80)}), md AS ({MD}),
+      asked AS (SELECT source, url, pos, length({q(full_instruction() + k.PAGE_INTRO)} || md) AS n
+        FROM ({LISTED}) ANTI JOIN done USING (source, url) JOIN md USING (url)),
+      ranked AS (SELECT *, coalesce(sum((n % 7 <> 0)::INT) OVER (PARTITION BY source ORDER BY pos
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS had FROM asked)
+      SELECT source, url, 'kept' AS status, NULL AS n_attempts, NULL AS job_title,
+        NULL::DOUBLE AS experience_required, NULL AS raw_response FROM done UNION ALL
+      SELECT source, url, CASE WHEN n % 7 = 0 THEN 'failed' WHEN n % 3 = 0 THEN 'raw' ELSE 'record' END,
+        CASE WHEN n % 7 = 0 THEN 3 WHEN n % 5 = 0 THEN 2 ELSE 1 END,
+        CASE WHEN n % 7 <> 0 AND n % 3 <> 0 THEN 'T' || n END,
+        CASE WHEN n % 7 <> 0 AND n % 3 <> 0 THEN n % 10 END::DOUBLE,
+        CASE WHEN n % 7 <> 0 AND n % 3 = 0 THEN 'about ' || n END
+      FROM ranked JOIN rest USING (source) WHERE had < n_remaining""",
+    "posting_fields": "SELECT p_partkey, " + ", ".join(
+        f"CAST(p_size AS DOUBLE) AS {f}" if f == "experience_required"
+        else f"{v if isinstance(v, str) else (' || ' + q('|') + ' || ').join(v)} AS {f}"
+        for f, v in {**b.STATED, "url": b.STATED_URL}.items()
+    ) + " FROM part",
     "html_to_markdown": f"SELECT page_id, md AS markdown FROM ({MD})",
     "page_fields": f"SELECT page_id, {', '.join(f'{_field(n)} AS {n}' for n in JOB_AD.names)} FROM ({MD})",
     "extraction_prompt": f"""SELECT page_id, {q(full_instruction() + k.PAGE_INTRO)} || md AS prompt
@@ -509,5 +540,7 @@ ORACLE: dict[str, str] = {
       round(count(*)::DOUBLE / sum(count(*)) OVER (), 6) AS share FROM ({DISTRIBUTION}) GROUP BY label""",
     "salary_value_range": f"""SELECT min(salary_min) AS low, max(salary_max) AS high,
       count(*) FILTER (salary_min IS NOT NULL AND salary_max IS NOT NULL) AS n_stated FROM ({RANGES})""",
+    "generate_once": """SELECT doc_id, length(text) || ' characters' AS generated_text,
+      (SELECT count(DISTINCT text) FROM documents) AS n_answers FROM documents""",
     "generate_batches": "SELECT doc_id, length(text) || ' characters' AS generated_text FROM documents",
 }

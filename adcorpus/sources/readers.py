@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from adcorpus.functions.text import strip
-from adcorpus.sources.schemas import ADS, CHAT, EXTRACTION, FRONTIER, JOB_AD
+from adcorpus.sources.schemas import ADS, CHAT, EXTRACTION, FRONTIER, JOB_AD, RESULT_KEYS
+from adcorpus.sources.snapshots import Snapshots
 
 BOM = "\ufeff"
 # The low bits of a position number the rows within one task; the bits above hold the byte at
@@ -105,13 +106,14 @@ def read_url_lists(spark: SparkSession, path: str) -> DataFrame:
 
     ``source`` is the file name without its extension, so one glob reads all lists at once.
     """
-    return number_lines(list_lines(spark.read.text(path)))
+    return number_lines(list_lines(spark.read.text(path))).drop("file")
 
 
 def list_lines(lines: DataFrame) -> DataFrame:
     """Raw lines with the file and block they come from; also valid on a stream."""
     return lines.select(
         F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("source"),
+        F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.col("value"),
     )
@@ -129,7 +131,7 @@ def number_lines(lines: DataFrame) -> DataFrame:
     pos = F.when(fits, F.shiftleft("block", ROW_BITS) + row).otherwise(
         F.raise_error(F.lit(f"a list file over {1 << BYTE_BITS} bytes or a task over {1 << ROW_BITS} lines"))
     )
-    numbered = lines.select("source", pos.alias("pos"), strip(F.col("value")).alias("url"))
+    numbered = lines.select("source", "file", pos.alias("pos"), strip(F.col("value")).alias("url"))
     return numbered.where(F.col("url") != "")
 
 
@@ -166,7 +168,14 @@ def read_result_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """Extraction results, or an empty frame when nothing has been written yet."""
+    """Extraction results, or an empty frame when nothing has been written yet.
+
+    A snapshot store gives the results that count in its newest version, any other folder all its
+    Parquet files.
+    """
+    store = Snapshots(spark, path)
+    if store.exists():
+        return store.visible("results", EXTRACTION, RESULT_KEYS)
     try:
         return spark.read.schema(EXTRACTION).parquet(path)
     except AnalysisException as error:

@@ -22,31 +22,41 @@ EXEMPLARS_SALARY = _strings("text salary")
 LIST_FIELDS = ["qualifications", "technical_skills", "soft_skills", "languages_required", "benefits"]
 REQUIRED_FIELDS = ["job_title", "url", "description"]
 _TEXT = T.StringType()
-JOB_AD = T.StructType(
-    [
-        T.StructField("job_title", _TEXT, False),
-        T.StructField("company_name", _TEXT),
-        T.StructField("job_category", _TEXT),
-        T.StructField("sub_category", _TEXT),
-        T.StructField("industry", _TEXT),
-        T.StructField("location", _TEXT),
-        T.StructField("country", _TEXT),
-        T.StructField("posting_date", _TEXT),
-        T.StructField("deadline", _TEXT),
-        T.StructField("url", _TEXT, False),
-        T.StructField("qualifications", T.ArrayType(_TEXT)),
-        T.StructField("technical_skills", T.ArrayType(_TEXT)),
-        T.StructField("soft_skills", T.ArrayType(_TEXT)),
-        T.StructField("languages_required", T.ArrayType(_TEXT)),
-        T.StructField("experience_required", T.DoubleType()),
-        T.StructField("salary", _TEXT),
-        T.StructField("contract_type", _TEXT),
-        T.StructField("working_hours", _TEXT),
-        T.StructField("benefits", T.ArrayType(_TEXT)),
-        T.StructField("description", _TEXT, False),
-        T.StructField("requirements_text", _TEXT),
-    ]
-)
+# --- fixed values: fields of a record and what the extraction prompt says about them --------
+JOB_AD_FIELDS = {
+    "job_title": "The title of the job position",
+    "company_name": "The company offering the job",
+    "job_category": "The general category or industry of the job",
+    "sub_category": "The more specific sub-category within the job category",
+    "industry": "The industry or sector of the job",
+    "location": "The specific location of the job (e.g., city, province, or region)",
+    "country": "The country where the job is based",
+    "posting_date": "The date when the job was posted",
+    "deadline": "The application deadline, if available",
+    "url": "The URL of the job advertisement",
+    "qualifications": "Required qualifications such as degree, major, certifications",
+    "technical_skills": "Required technical skills (e.g., programming languages, tools)",
+    "soft_skills": "Required soft skills (e.g., communication, teamwork)",
+    "languages_required": "Languages required (e.g., Vietnamese, English)",
+    "experience_required": "Number of years of experience required",
+    "salary": "The salary or compensation details (e.g., range, negotiable)",
+    "contract_type": "Type of contract (full-time, part-time, internship, freelance)",
+    "working_hours": "Working hours (e.g., 9-5, shift-based)",
+    "benefits": "Benefits offered (insurance, bonuses, training, etc.)",
+    "description": "Full job description, including responsibilities",
+    "requirements_text": "Unstructured requirements section text, for NLP parsing",
+}
+
+
+def _job_ad_field(name: str, description: str) -> T.StructField:
+    kind = T.ArrayType(_TEXT) if name in LIST_FIELDS else _TEXT
+    if name == "experience_required":
+        kind = T.DoubleType()
+    about = {"description": description, **({"format": "uri"} if name == "url" else {})}
+    return T.StructField(name, kind, name not in REQUIRED_FIELDS, about)
+
+
+JOB_AD = T.StructType([_job_ad_field(name, about) for name, about in JOB_AD_FIELDS.items()])
 
 MESSAGES = T.ArrayType(
     T.StructType([T.StructField("role", _TEXT), T.StructField("content", _TEXT)])
@@ -62,6 +72,9 @@ EXTRACTION = T.StructType(
     ]
 )
 
+#: What names a result.
+RESULT_KEYS = ("source", "url")
+
 FRONTIER = T.StructType(
     [
         T.StructField("source", _TEXT),

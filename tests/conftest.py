@@ -12,13 +12,14 @@ from adcorpus.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
         app="tests",
         master="local[4]",
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
         spark__sql__shuffle__partitions="4",
+        spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")),
         spark__driver__memory="4g",
     )
     session.sparkContext.setLogLevel("ERROR")

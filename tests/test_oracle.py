@@ -8,6 +8,8 @@ import pytest
 
 import __spark_entry__ as contract
 import check
+from adcorpus.plans.catalog import QUERIES
+from adcorpus.plans.oracle import ORACLE
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -20,7 +22,10 @@ def duck():
 
 
 def test_contract():
-    assert set(contract.oracle_sql()) == set(contract.queries())
+    """Every query of the library has SQL; of the others, those that SQL can express."""
+    assert set(ORACLE) == set(QUERIES)
+    assert set(QUERIES) <= set(contract.queries())
+    assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
 def test_entry(spark):

@@ -98,7 +98,12 @@ def test_extraction_prompt(spark):
     assert head.endswith("\nReturn only a valid JSON object.")
     schema = json.loads(head[head.index("{"): head.rindex("}") + 1])
     assert schema["required"] == ["job_title", "url", "description"]
-    assert schema["properties"]["experience_required"] == {"type": "number"}
+    assert schema["properties"]["experience_required"] == {
+        "anyOf": [{"type": "number"}, {"type": "null"}], "default": None, "title": "Experience Required",
+        "description": "Number of years of experience required",
+    }
+    assert schema["properties"]["url"]["format"] == "uri" and schema["properties"]["url"]["type"] == "string"
+    assert all("description" in p for p in schema["properties"].values())
     assert list(schema["properties"]) == JOB_AD.names
     own = df.select(pg.extraction_prompt(F.col("m"), "Do it.").alias("p")).first().p
     assert own == "Do it.\n\nPage content:\nmd"
