@@ -1,9 +1,11 @@
-"""HTML to markdown text as a chain of built-in expressions over whole pages.
-
-Pages are often broken, so nothing depends on tags being closed or nested properly. Every pattern
-takes linear time on any page: the inside of a tag ends at the next ``<`` as well as at ``>``, an
-open tag is looked at to its end before its parts are tried, and runs are taken whole. (An
-attribute that holds a ``<`` is therefore read as text.)
+"""HTML to markdown text by one tokenisation of built-in expressions.
+
+Hidden parts are cut out, then a page is split at ``<`` once; every piece is a tag with the text after
+it, which its name turns into markdown and marks; the pieces are joined, and only pages that have
+links or emphasis look at their marks again. Pages are often broken, so nothing depends on tags
+being closed or nested properly, and every pattern takes linear time on any page: the inside of a
+tag ends at the next ``<`` as well as at ``>``, and runs are taken whole. (An attribute that holds a
+``<`` is therefore read as text.) Characters of the marks' kind do not survive in a page.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from adcorpus.functions.text import strip
 
-# --- fixed values: tag patterns, replaced in this order ------------------------------------
+# --- fixed values: hidden parts, and names of tags that break a line or a block --------------
 INVISIBLE = (
     r"(?is)<(?:!--.*?(?:-->|\z)"
     r"|script\b.*?(?:</script\s*>|\z)"
@@ -22,23 +24,24 @@ INVISIBLE = (
     r"|template\b.*?(?:</template\s*>|\z)"
     r"|title\b[^<>]*>[^<]*(?:</title\s*>)?)"
 )
-SPACES = r"[\t\r\n\f][ \t\r\n\f]*| [ \t\r\n\f]+"
-# Link ends become marks first, so that a page full of unclosed links is still read in one go.
-LINK_OPEN = r"""(?i)<a\b(?=[^<>]*+>)[^<>]*? href ?= ?["']?([^"'<> ]*+)[^<>]*+>"""
-LINK_CLOSE = r"(?i)</a ?>"
-LINK = r"\x03([^\x03-\x05]*)\x04([^\x03\x05]*)\x05"
+BLANKS = ("\t", "\r", "\n", "\f")
+BLOCKS = (
+    "p", "div", "article", "section", "main", "aside", "nav", "header", "footer", "ul", "ol", "dl", "dt", "dd",
+    "table", "tr", "blockquote", "pre", "form", "figure", "hr", "h1", "h2", "h3", "h4", "h5", "h6",
+)
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+#: A tag's name; what ends emphasis or a link counts only when nothing else is in the tag.
+TAG_KEY = r"^(?:/(?:[aA]|[bB]|[iI]|(?i:strong|em)) ?>|/?\w+)"
+HREF = r"""(?i)^a\b[^>]*? href ?= ?["']?([^"'> ]*+)"""
+#: Marks: a link's start, its address's end and its end; emphasis on and off; any other tag; a tag that
+#: takes one space after it along.
+LINK_START, LINK_TEXT, LINK_END = "\x03", "\x04", "\x05"
+BOLD_ON, BOLD_OFF, ITALIC_ON, ITALIC_OFF, OTHER_TAG, NO_SPACE = "\x0e", "\x0f", "\x10", "\x11", "\x12", "\x13"
+LINK = r"\x03([^\x03-\x05]*+)\x04([^\x03\x05]*+)\x05"
 LINK_REST = r"\x03[^\x03\x04]*+\x04|\x05"
-BOLD = r"(?i)<(?:b|strong)\b[^<>]*+> ?([^<]*[^< ]) ?</(?:b|strong) ?>"
-ITALIC = r"(?i)<(?:i|em)\b[^<>]*+> ?([^<]*[^< ]) ?</(?:i|em) ?>"
-HEADING = r"<[hH]([1-6])\b[^<>]*+> ?"
-HEADING_MARK = "\x02"
-LIST_ITEM = r"(?i)<li\b[^<>]*+> ?"
-LINE_BREAK = r"(?i)<br\b[^<>]*+>"
-BLOCK = (
-    r"(?i)</?(?:p|div|article|section|main|aside|nav|header|footer|ul|ol|dl|dt|dd|table|tr"
-    r"|blockquote|pre|form|figure|hr|h[1-6])\b[^<>]*+>"
-)
-ANY_TAG = r"<[/!?a-zA-Z][^<>]*+>"
+PLAIN = r"[^<\x0e-\x12]"
+BOLD = rf"\x0e ?({PLAIN}*[^<\x0e-\x12 ]) ?\x0f"
+ITALIC = rf"\x10 ?({PLAIN}*[^<\x0e-\x12 ]) ?\x11"
 LINE_ENDS = r"(?<! ) ++\n *|\n +"
 BLANK_LINES = r"\n{3,}"
 
@@ -85,23 +88,54 @@ def _numeric_entities(c: Column) -> Column:
     return F.array_join(F.concat(F.slice(parts, 1, 1), decoded), "")
 
 
+def _has(c: Column, *parts: str) -> Column:
+    out = F.contains(c, F.lit(parts[0]))
+    for part in parts[1:]:
+        out = out | F.contains(c, F.lit(part))
+    return out
+
+
+def _single_spaces(c: Column) -> Column:
+    for blank in BLANKS:
+        c = F.replace(c, F.lit(blank), F.lit(" "))
+    return c
+
+
+def _tag_texts() -> dict[str, str]:
+    """What a tag becomes, by its key; keys that are not here become OTHER_TAG."""
+    out = {"br": "\n", "li": f"\n* {NO_SPACE}"}
+    out |= {name: "\n\n" for b in BLOCKS for name in (b, f"/{b}")}
+    out |= {h: f"\n\n{'#' * level} {NO_SPACE}" for level, h in enumerate(HEADINGS, 1)}
+    out = {key: OTHER_TAG + text for key, text in out.items()}
+    for on, off, names in ((BOLD_ON, BOLD_OFF, ("b", "strong")), (ITALIC_ON, ITALIC_OFF, ("i", "em")), ("", LINK_END, ("a",))):
+        for n in names:
+            out |= {f"/{n}>": off, f"/{n} >": off} | ({n: on} if on else {})
+    return out
+
+
+def _piece(piece: Column) -> Column:
+    """What follows a ``<``: a tag and its text as markdown and marks, or text as it is."""
+    texts = F.create_map(*[F.lit(x) for pair in _tag_texts().items() for x in pair])
+
+    def as_tag(b: Column) -> Column:
+        text = F.substr(piece, b["end"] + 1)
+        linked = F.concat(F.lit(LINK_START), F.regexp_extract(piece, HREF, 1), F.lit(LINK_TEXT), text)
+        plain = F.concat(F.coalesce(F.try_element_at(texts, b["key"]), F.lit(OTHER_TAG)), text)
+        named = (b["key"] != "") | piece.rlike("^[/!?]")
+        tag = F.when((b["key"] == "a") & piece.rlike(HREF), linked).otherwise(plain)
+        return F.when((b["end"] > 0) & named, tag).otherwise(F.concat(F.lit("<"), piece))
+
+    key = F.lower(F.regexp_extract(piece, TAG_KEY, 0)).alias("key")
+    return F.transform(F.array(F.struct(key, F.instr(piece, ">").alias("end"))), as_tag)[0]
+
+
 def _structure(html: Column) -> Column:
-    """Tags to markdown marks and line breaks; entities are still encoded."""
-    c = F.regexp_replace(html, INVISIBLE, "")
-    c = F.regexp_replace(c, SPACES, " ")
-    c = F.regexp_replace(c, LINK_OPEN, "\x03$1\x04")
-    c = F.regexp_replace(c, LINK_CLOSE, "\x05")
-    c = F.regexp_replace(c, LINK, "[$2]($1)")
-    c = F.regexp_replace(c, LINK_REST, "")
-    c = F.regexp_replace(c, BOLD, "**$1**")
-    c = F.regexp_replace(c, ITALIC, "_$1_")
-    c = F.regexp_replace(c, HEADING, f"\n\n{HEADING_MARK}$1 ")
-    for level in range(1, 7):
-        c = F.replace(c, F.lit(f"{HEADING_MARK}{level}"), F.lit("#" * level))
-    c = F.regexp_replace(c, LIST_ITEM, "\n* ")
-    c = F.regexp_replace(c, LINE_BREAK, "\n")
-    c = F.regexp_replace(c, BLOCK, "\n\n")
-    return F.regexp_replace(c, ANY_TAG, "")
+    """Hidden parts out, and the pieces between tags joined with marks in their places."""
+    visible = F.regexp_replace(html, INVISIBLE, "")
+    spaced = F.transform(F.array(_single_spaces(visible)), lambda c: F.when(
+        _has(c, "  "), F.regexp_replace(c, " {2,}", " ")).otherwise(c))[0]
+    pieces = F.split(spaced, "<", -1)
+    return F.array_join(F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(_piece(p))), "")
 
 
 def _replace_all(c: Column, entities: dict[str, str]) -> Column:
@@ -114,14 +148,28 @@ def with_markdown(df: DataFrame, html: str = "html", name: str = "markdown") ->
     """Add the markdown text of a page: headings, links, list items, emphasis, paragraphs.
 
     A null page gives null. Bold and italic are kept where the tag pair holds plain text. The
-    steps are separate projections because the middle one uses its input twice; only pages
-    with a numeric or rare entity take the slower path.
+    steps are separate projections because later ones use their input several times; only pages that
+    have links or emphasis, a numeric or rare entity, or blanks at line ends take the slower paths.
     """
     rare = "|".join(entity[1:] for entity in RARE_ENTITIES)
+    md = F.col("_md")
     staged = df.withColumn("_md", _structure(F.col(html)))
-    slow = _replace_all(_numeric_entities(F.col("_md")), RARE_ENTITIES)
-    decoded = F.when(F.rlike("_md", F.lit(f"&(?:#|{rare})")), slow).otherwise(F.col("_md"))
-    c = _replace_all(decoded, COMMON_ENTITIES)
-    c = F.regexp_replace(c, LINE_ENDS, "\n")
-    c = F.regexp_replace(c, BLANK_LINES, "\n\n")
-    return staged.withColumn(name, strip(c)).drop("_md")
+    links = F.regexp_replace(F.regexp_replace(md, LINK, "[$2]($1)"), LINK_REST, "")
+    staged = staged.withColumn("_md", F.when(_has(md, LINK_START, LINK_END), links).otherwise(md))
+    strong = F.regexp_replace(md, BOLD, "**$1**")
+    staged = staged.withColumn("_md", F.when(_has(md, BOLD_OFF), strong).otherwise(md))
+    staged = staged.withColumn("_md", F.when(_has(md, ITALIC_OFF), F.regexp_replace(md, ITALIC, "_$1_")).otherwise(md))
+    bare = F.replace(md, F.lit(f"{NO_SPACE} "), F.lit(""))
+    for mark in (NO_SPACE, OTHER_TAG, BOLD_ON, BOLD_OFF, ITALIC_ON, ITALIC_OFF):
+        bare = F.replace(bare, F.lit(mark), F.lit(""))
+    staged = staged.withColumn("_md", bare)
+    slow = _replace_all(_numeric_entities(md), RARE_ENTITIES)
+    decoded = F.when(_has(md, "&") & F.rlike("_md", F.lit(f"&(?:#|{rare})")), slow).otherwise(md)
+    staged = staged.withColumn("_md", _replace_all(decoded, COMMON_ENTITIES))
+    # most line ends have one blank at most; what is left takes the pattern
+    few = F.replace(F.replace(md, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n"))
+    staged = staged.withColumn("_md", few)
+    ended = F.when(_has(md, " \n", "\n "), F.regexp_replace(md, LINE_ENDS, "\n")).otherwise(md)
+    staged = staged.withColumn("_md", ended)
+    short = F.when(_has(md, "\n\n\n"), F.regexp_replace(md, BLANK_LINES, "\n\n")).otherwise(md)
+    return staged.withColumn(name, strip(short)).drop("_md")
