@@ -1,10 +1,13 @@
 """SpotSigs fingerprints.
 
 A signature is a common word with the next two content words after it: common words are spread
-over prose but not over lists and menus, and a chain changes only where the text does. A text's
-fingerprint is its sorted set of 32-bit signature hashes. Two sets are compared by their Jaccard
-likeness, which their lengths bound: sets in length partitions that are not neighbours cannot reach
-the likeness the partitions are made for, so they are not intersected.
+over prose but not over lists and menus, and a chain changes only where the text does. Which words are
+common the corpus says: its most frequent short words, counted over all documents, of whatever
+languages. A content word in sixteen, chosen by its check sum, starts a chain too, so that text with
+few common words (tables, code, a rare language) is covered in every part. A text's fingerprint is
+its sorted set of 32-bit signature hashes. Two sets are compared by their Jaccard likeness, which
+their lengths bound: sets in length partitions that are not neighbours cannot reach the likeness
+the partitions are made for, so they are not intersected.
 
 Everything is column expressions; the neighbour of a document comes from a range-partitioned table
 of keys, never from one sorted task.
@@ -13,6 +16,7 @@ of keys, never from one sorted task.
 from __future__ import annotations
 
 import math
+from collections.abc import Collection
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,34 +24,42 @@ from pyspark.sql.window import Window
 
 from adcorpus.llm.common import as_text, documents, written
 
-# Common words of four languages.
-COMMON = tuple(
-    "a an the of to and in is was are be been it its that this these those for with on by at from as or not but"
-    " he she they we you i his her their have has had which who will would can all there"
-    " le la les un une des du de et en est que qui dans pour pas sur au aux ce se il elle ne plus par avec son sa"
-    " der die das den dem ein eine einen und ist von zu mit sich auf nicht auch es im als an bei aus nach wird"
-    " el los las una y por con para su al lo como mas pero sus si no".split()
-)
+#: Anchors: so many of the most frequent words, of at most so many characters.
+ANCHORS, ANCHOR_CHARS = 128, 6
+#: One content word in so many starts a chain by itself.
+SPREAD = 16
 #: All but letters, digits and what is beyond ASCII, in lower-cased text.
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 START = "^"
 
 
-def spot_signatures(text: Column) -> Column:
+def frequent_words(docs: DataFrame, text_col: str = "text", n: int = ANCHORS) -> list[str]:
+    """The ``n`` most frequent short words of all documents, ties in alphabetical order. Counts
+    combine where texts are read; short words are few, and ``n`` of them come to the driver."""
+    words = docs.select(F.explode(F.split(F.lower(as_text(text_col)), BREAK)).alias("w"))
+    words = words.where((F.col("w") != "") & (F.length("w") <= ANCHOR_CHARS))
+    top = words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(n)
+    return [r["w"] for r in top.select("w").collect()]
+
+
+def spot_signatures(text: Column, anchors: Collection[str]) -> Column:
     """Sorted distinct signature hashes; the start of a text counts as an anchor. The last chain
     may be one word short. A text without content words has none."""
-    common = list(dict.fromkeys(COMMON))
+    common = sorted(anchors)
     words = F.filter(F.split(F.lower(text), BREAK), lambda w: w != "")
     tagged = F.zip_with(
         words, F.concat(F.array(F.lit(START)), words), lambda w, before: F.struct(w.alias("w"), before.alias("b"))
     )
     content = F.filter(tagged, lambda t: t["w"].isNotNull() & ~t["w"].isin(common))
+
+    def starts(t: Column) -> Column:
+        spread = F.crc32(t["w"].cast("binary")) % SPREAD == 0
+        return t["b"].isin(common) | (t["b"] == START) | spread
+
     chains = F.zip_with(
         content,
         F.slice(content, 2, 1_000_000_000),
-        lambda t, after: F.when(
-            t["b"].isin(common) | (t["b"] == START), F.hash(t["b"], t["w"], F.coalesce(after["w"], F.lit("")))
-        ),
+        lambda t, after: F.when(starts(t), F.hash(t["b"], t["w"], F.coalesce(after["w"], F.lit("")))),
     )
     return F.array_sort(F.array_distinct(F.filter(chains, lambda h: h.isNotNull())))
 
@@ -93,18 +105,22 @@ def successors(keys: DataFrame) -> DataFrame:
     )
 
 
-def neighbour_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def neighbour_fingerprints(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", anchors: Collection[str] | None = None
+) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_chars, edited_sha256, fingerprint,
-    edited_fingerprint, near_edited, near_next, n_signatures, next_id.
+    edited_fingerprint, near_edited, near_next, n_signatures, next_id. ``anchors`` are the common
+    words; by default those that :func:`frequent_words` finds in ``docs``.
 
     Null text counts as empty: no signatures. Equal texts have equal fingerprints. Null ids come
     first; rows that share a doc_id are ordered by a hash of their text, and rows equal in both
     share their successor. A single document follows itself. Texts of any length count whole. An
     empty table gives an empty result; other columns are not read.
     """
+    anchors = frequent_words(docs, text_col) if anchors is None else anchors
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), as_text(text_col).alias("text"))
     base = rows.select(
-        F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text", spot_signatures(F.col("text")).alias("spots")
+        F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text", spot_signatures(F.col("text"), anchors).alias("spots")
     )
     link = successors(rows.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.length("text").alias("n_chars")).distinct())
     link = written(link, "successors").select(F.col("key").alias("of"), F.col("next_key").alias("key"), "n_chars")
@@ -120,7 +136,7 @@ def neighbour_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: st
     both = both.select("doc_id", "next_id", size.cast("bigint").alias("n_chars"), "spots", "next_spots", edited.alias("edited"))
     both = both.select(
         "doc_id", "next_id", "n_chars", "spots", "next_spots", F.sha2("edited", 256).alias("edited_sha256"),
-        spot_signatures(F.col("edited")).alias("edited_spots"),
+        spot_signatures(F.col("edited"), anchors).alias("edited_spots"),
     )
     return both.select(
         "doc_id",

@@ -1,9 +1,10 @@
 """Licences by sentence rules.
 
-A text's sentences are normalised and looked up among known licence sentences; the row of their
-identifiers is matched against ordered rules. A rule is a sequence of sentences, other sentences
-may stand between two of them (up to GAP), and sentences that a rule has used are used up, so a
-full text is not reported again by the rule for its short notice.
+A text's sentences are normalised and looked up among known licence sentences, in which blanks that
+licensors fill in (names of holders, of files) stand for any words; the row of their identifiers
+is matched against ordered rules. A rule is a sequence of sentences, unknown sentences may stand
+between two of them, and sentences that a rule has used are used up, so a full text is not
+reported again by the rule for its short notice. Identifiers of SPDX tags come from a table.
 
 Sentences are read twice: once with line ends closing a sentence (notices on lines of their own),
 once with line ends as blanks (wrapped text, up to an empty line). Both rows of identifiers are matched. Everything is
@@ -12,6 +13,8 @@ column expressions on one row; texts without a cue are passed over.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,14 +57,63 @@ SENTENCES = {
     "cc0": "licensed under cc0 1 0",
     "mpl": "this source code form is subject to the terms of the mozilla public license v",
     "mpl-short": "licensed under the mozilla public license version 2 0",
+    "gpl2-only": "you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation",
+    "gpl-terms": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+    "lgpl-terms": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
+    "or-later-2": "either version 2 of the license or at your option any later version",
+    "or-later-21": "either version 2 1 of the license or at your option any later version",
+    "or-later-3": "either version 3 of the license or at your option any later version",
+    "gpl3-full": "version 3 29 june 2007",
+    "gpl2-full": "version 2 june 1991",
+    "gpl-title": "gnu general public license",
+    "lgpl-free": "this library is free software",
+    "lgpl21-terms": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl3-terms": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl-title": "gnu lesser general public license",
+    "lgpl21-full": "version 2 1 february 1999",
+    "agpl3-terms": "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl-title": "gnu affero general public license",
+    "agpl3-full": "version 3 19 november 2007",
+    "apache-title": "apache license",
+    "apache-full": "version 2 0 january 2004",
+    "mpl-title": "mozilla public license version 2 0",
     "spdx": "spdx license identifier",
-    "id-mit": "mit",
-    "id-apache": "apache 2 0",
-    "id-gpl3": "gpl 3 0 or later",
-    "id-bsd3": "bsd 3 clause",
     "rights": "all rights reserved",
 }
 
+# Identifiers of the SPDX licence list that tags use most.
+SPDX = (
+    "0BSD AFL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.1 Apache-2.0 Artistic-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0"
+    " CC-BY-4.0 CC-BY-SA-4.0 CC0-1.0 CDDL-1.0 ECL-2.0 EPL-1.0 EPL-2.0 EUPL-1.2 GFDL-1.3-or-later GPL-2.0-only"
+    " GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later"
+    " MIT MIT-0 MPL-1.1 MPL-2.0 MS-PL NCSA OFL-1.1 OpenSSL PostgreSQL Python-2.0 Unlicense W3C WTFPL Zlib"
+).split()
+#: Older identifiers for those above.
+SPDX_OLD = {
+    "GPL-2.0": "GPL-2.0-only", "GPL-2.0+": "GPL-2.0-or-later", "GPL-3.0": "GPL-3.0-only", "GPL-3.0+": "GPL-3.0-or-later",
+    "LGPL-2.1": "LGPL-2.1-only", "LGPL-3.0": "LGPL-3.0-only", "AGPL-3.0": "AGPL-3.0-only",
+}
+
+
+def _words(identifier: str) -> str:
+    return re.sub("[^a-z0-9]+", " ", identifier.lower()).strip()
+
+
+#: The words of an identifier's sentence to the identifier; a plus sign is no word, so the forms
+#: with one read as those without.
+SPDX_WORDS = {_words(old): new for old, new in SPDX_OLD.items() if "+" not in old} | {_words(i): i for i in SPDX}
+SENTENCES |= {f"id {words}": words for words in SPDX_WORDS}
+
+#: What licensors fill in, after normalising: (pattern, the sentence's own words).
+BLANKS = (
+    (r"^neither the names? of .* nor the names of (?:its|the|their) contributors may", "neither the name of the copyright holder nor the names of its contributors may"),
+    (r"^the name of .* may not be used to endorse", "neither the name of the copyright holder nor the names of its contributors may be used to endorse"),
+    (r"^[a-z0-9]+(?: [a-z0-9]+){0,5} is free software$", "this program is free software"),
+    (r"^[a-z0-9]+(?: [a-z0-9]+){0,5} is distributed in the hope", "this program is distributed in the hope"),
+    (r"^this (?:software|file|work|package|module|code|project) is licensed under", "licensed under"),
+    (r"^(?:distributed|released|available) under the (mit|apache|mozilla|gnu)", r"licensed under the {1}"),
+)
+
 #: (licence, sentences in order); earlier rules come first and use their sentences up.
 RULES = (
     ("MIT", ("mit-grant", "mit-notice", "mit-asis", "mit-liability")),
@@ -74,10 +126,24 @@ RULES = (
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("ISC", ("isc-grant", "isc-asis")),
-    ("MIT", ("spdx", "id-mit")),
-    ("Apache-2.0", ("spdx", "id-apache")),
-    ("GPL-3.0-or-later", ("spdx", "id-gpl3")),
-    ("BSD-3-Clause", ("spdx", "id-bsd3")),
+    ("GPL-2.0-only", ("gpl-free", "gpl2-only")),
+    ("LGPL-2.1-or-later", ("lgpl-free", "lgpl21-terms")),
+    ("LGPL-2.1-or-later", ("gpl-free", "lgpl21-terms")),
+    ("LGPL-3.0-or-later", ("lgpl-free", "lgpl3-terms")),
+    ("LGPL-3.0-or-later", ("gpl-free", "lgpl3-terms")),
+    ("AGPL-3.0-or-later", ("gpl-free", "agpl3-terms")),
+    ("GPL-2.0-or-later", ("gpl-terms", "or-later-2")),
+    ("GPL-3.0-or-later", ("gpl-terms", "or-later-3")),
+    ("LGPL-2.1-or-later", ("lgpl-terms", "or-later-21")),
+    ("LGPL-3.0-or-later", ("lgpl-terms", "or-later-3")),
+    ("Apache-2.0", ("apache-title", "apache-full")),
+    ("AGPL-3.0-only", ("agpl-title", "agpl3-full")),
+    ("LGPL-3.0-only", ("lgpl-title", "gpl3-full")),
+    ("LGPL-2.1-only", ("lgpl-title", "lgpl21-full")),
+    ("GPL-3.0-only", ("gpl-title", "gpl3-full")),
+    ("GPL-2.0-only", ("gpl-title", "gpl2-full")),
+    ("MPL-2.0", ("mpl-title",)),
+    *((name, ("spdx", f"id {words}")) for words, name in SPDX_WORDS.items()),
     ("MIT", ("mit-released",)),
     ("MIT", ("mit-licensed",)),
     ("MIT", ("mit-this",)),
@@ -98,7 +164,6 @@ RULES = (
 )
 
 CUES = ("licens", "permission", "redistribut", "free software", "public domain", "rights reserved", "spdx")
-GAP = 3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BY_LINE = r"[.!?;:]+[\x20\x09-\x0D]+|[\x0A-\x0D]+"
 BY_SENTENCE = r"[.!?;:]+[\x20\x09-\x0D]+|\x0A[\x20\x09\x0D]*\x0A[\x20\x09-\x0D]*"
@@ -106,13 +171,20 @@ IDS = {name: i for i, name in enumerate(SENTENCES, 1)}
 
 
 def rule_pattern(sentences: tuple[str, ...]) -> str:
-    """Over a row such as ``,0,5,0,6,`` where 0 is an unknown sentence."""
-    return "," + f",(?:0,){{0,{GAP}}}".join(str(IDS[s]) for s in sentences) + ","
+    """Over a row such as ``,0,5,0,6,`` where 0 is an unknown sentence. Between sentences that say
+    a licence by themselves any number of unknown ones may stand; an SPDX tag's identifier follows it."""
+    between = "," if sentences[0] == "spdx" else ",(?:0,)*"
+    return "," + between.join(str(IDS[s]) for s in sentences) + ","
 
 
 def identifiers(text: Column, end: str) -> Column:
     """The identifiers of a text's sentences as ``,id,id,`` with 0 for unknown ones."""
-    plain = lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))
+    def plain(s: Column) -> Column:
+        s = F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))
+        for pattern, words in BLANKS:
+            s = F.regexp_replace(s, pattern, words.replace("{1}", "$1"))
+        return s
+
     sentences = F.filter(F.transform(F.split(text, end, -1), plain), lambda s: s != "")
     known = F.array(*map(F.lit, SENTENCES.values()))
     ids = F.transform(sentences, lambda s: F.array_position(known, s).cast("string"))
@@ -174,9 +246,12 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _op10_sql() -> str:
     known = "[" + ", ".join(f"'{s}'" for s in SENTENCES.values()) + "]"
+    plain = "trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g'))"
+    for pattern, words in BLANKS:
+        plain = f"regexp_replace({plain}, '{pattern}', '{words.replace('{1}', chr(92) + '1')}')"
     row = lambda end: (
         "',' || array_to_string(list_transform(list_filter(list_transform(regexp_split_to_array(low,"
-        f" '{end}'), lambda s: trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g'))), lambda s: s <> ''),"
+        f" '{end}'), lambda s: {plain}), lambda s: s <> ''),"
         f" lambda s: coalesce(list_position({known}, s), 0)), ',') || ','"
     )
     steps = [

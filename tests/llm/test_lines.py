@@ -6,12 +6,15 @@ import hashlib
 import random
 import re
 import time
+import zlib
 from bisect import bisect_right
 from collections import Counter, defaultdict
 
 from llm_cases import make_docs, prose
 
-from adcorpus.llm.fingerprints import COMMON, likeness, length_partition, neighbour_fingerprints
+from adcorpus.llm.fingerprints import (
+    ANCHOR_CHARS, ANCHORS, SPREAD, frequent_words, likeness, length_partition, neighbour_fingerprints,
+)
 from adcorpus.llm.line_dedup import BLOCK_WORDS, WORD_CHARS, aligned_lines, line_dedup, patience, runs
 
 
@@ -136,13 +139,22 @@ def test_equal_documents_of_many_lines_in_time(spark):
     assert aligned_lines([(o, o, 1, o) for o in range(5)]) == set(range(5))
 
 
-def spots(text):
-    words = [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower()) if w]
-    content = [(w, words[i - 1] if i else "^") for i, w in enumerate(words) if w not in COMMON]
+def words_of(text):
+    return [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower()) if w]
+
+
+def common_words(texts):
+    counts = Counter(w for t in texts for w in words_of(t or "") if len(w) <= ANCHOR_CHARS)
+    return sorted(counts, key=lambda w: (-counts[w], w))[:ANCHORS]
+
+
+def spots(text, common):
+    words = words_of(text)
+    content = [(w, words[i - 1] if i else "^") for i, w in enumerate(words) if w not in common]
     return {
         (b, w, content[i + 1][0] if i + 1 < len(content) else "")
         for i, (w, b) in enumerate(content)
-        if b in COMMON or b == "^"
+        if b in common or b == "^" or zlib.crc32(w.encode()) % SPREAD == 0
     }
 
 
@@ -153,14 +165,18 @@ def jaccard(a, b):
 def test_neighbour_fingerprints(spark, no_docs):
     texts = {3: prose(1, 60), 7: None, 8: prose(2, 200), 20: "", 21: "the of", 22: prose(1, 60), 30: "\U0001f600é the x y z", 40: prose(3, 9_000)}
     rows = sorted(texts.items()) + [(8, texts[8])]
-    got = neighbour_fingerprints(make_docs(spark, rows)).collect()
-    assert len(got) == len(rows)
+    docs = make_docs(spark, rows)
+    common = common_words([t for _, t in rows])
+    assert frequent_words(docs) == common
+    common = ["the", "of", "and", "la"]
+    got = neighbour_fingerprints(docs, anchors=common).collect()
+    assert len(got) == len(rows) == neighbour_fingerprints(docs).count()
     ids = sorted(texts)
     for r in got:
         text, after = texts[r.doc_id] or "", texts[ids[(ids.index(r.doc_id) + 1) % len(ids)]] or ""
         k = len(text) // 2
         edited = text[: len(text) - k] + after[:k]
-        a, b, c = spots(text), spots(edited), spots(after)
+        a, b, c = (spots(t, common) for t in (text, edited, after))
         assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         assert (len(r.fingerprint), len(r.edited_fingerprint)) == (8 * len(a), 8 * len(b))
         assert abs(r.near_edited - jaccard(a, b)) < 1e-12 and abs(r.near_next - jaccard(a, c)) < 1e-12
@@ -171,6 +187,14 @@ def test_neighbour_fingerprints(spark, no_docs):
     assert alone.next_id == 1 and alone.near_next == 1.0
 
 
+def test_every_part_of_a_text_without_common_words_counts(spark):
+    rng = random.Random(11)
+    unlike = [" ".join(f"{rng.randint(10**7, 10**8)}" for _ in range(400)) for _ in range(3)]
+    rows = [(i, "same opening words " + t) for i, t in enumerate(unlike)]
+    for r in neighbour_fingerprints(make_docs(spark, rows), anchors=["the"]).collect():
+        assert r.n_signatures > 10 and 0.1 < r.near_edited < 0.8 and r.near_next < 0.2
+
+
 def test_null_and_repeated_ids_have_neighbours(odd_docs, odd_rows):
     out = neighbour_fingerprints(odd_docs).collect()
     assert Counter(r.doc_id for r in out) == Counter(d for d, *_ in odd_rows)

@@ -130,6 +130,22 @@ copies or substantial portions of the Software.
 """
 
 
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+* Redistributions of source code must retain the above copyright notice, this
+  list of conditions and the following disclaimer.
+
+* Redistributions in binary form must reproduce the above copyright notice,
+  this list of conditions and the following disclaimer in the documentation
+  and/or other materials provided with the distribution.
+
+* Neither the name of HOLDER nor the names of its
+  contributors may be used to endorse or promote products derived from
+  this software without specific prior written permission.
+"""
+
+
 def test_licenses(spark, odd_docs, no_docs):
     docs = make_docs(
         spark,
@@ -142,10 +158,20 @@ def test_licenses(spark, odd_docs, no_docs):
             (6, "The license of the river is old. Redistribution of wealth."),
             (7, None),
             (8, "mit der Bahn"),
+            (9, BSD.replace("HOLDER", "the University of the River nor its affiliates")),
+            (10, BSD[: BSD.index("* Neither")]),
+            (11, "# SPDX-License-Identifier: BSD-2-Clause"),
+            (12, "/* SPDX-License-Identifier: GPL-2.0-only */"),
+            (13, "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version."),
+            (14, "                                 Apache License\n                           Version 2.0, January 2004\n   http://www.apache.org/licenses/"),
+            (15, "My Tool is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+            (16, "SPDX-License-Identifier: GPL-2.0\nmore words\n"),
         ],
     )
     got = {r.doc_id: r.licenses for r in licenses(docs).collect()}
-    assert got == {1: "MIT", 2: "MIT", 3: "Apache-2.0", 4: "MIT", 5: "Apache-2.0,Proprietary", 6: "", 7: "", 8: ""}
+    assert got == {1: "MIT", 2: "MIT", 3: "Apache-2.0", 4: "MIT", 5: "Apache-2.0,Proprietary", 6: "", 7: "", 8: "",
+                   9: "BSD-3-Clause", 10: "BSD-2-Clause", 11: "BSD-2-Clause", 12: "GPL-2.0-only", 13: "LGPL-2.1-or-later",
+                   14: "Apache-2.0", 15: "GPL-3.0-or-later", 16: "GPL-2.0-only"}
     out = licenses(odd_docs).collect()
     assert len(out) == odd_docs.count() and all(r.n_licenses == 0 for r in out)
     assert licenses(no_docs).count() == 0
