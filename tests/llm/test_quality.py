@@ -109,8 +109,7 @@ def test_repeats_overlap_and_touch(spark, values):
         "a b c a b c", "a a a a a", "a b c d a b c e", "a b c", "a b", "", "x a b c y a b c z b c y", "a b a b a b a b",
         "one\ttwo  three\none two three",
     ]
-    words = lambda c: q.repeat_words_of(c)
-    assert values(cells, words) == [brute_base(c)[4] for c in cells]
+    assert values(cells, lambda c: q.word_rules(c)["n_repeat_words"]) == [brute_base(c)[4] for c in cells]
 
 
 def test_shouting_and_one_repeated_word_are_dropped(spark):
