@@ -26,17 +26,18 @@ from adcorpus.sources.writers import append_results
 RESULT_COLUMNS = tuple(EXTRACTION.names)
 
 
-def stored_once(pages: DataFrame, newest_by: str | None = None) -> DataFrame:
+def stored_once(pages: DataFrame, newest_by: str | None = None, fetched: str | None = None) -> DataFrame:
     """``(url, _pick)``: which stored page of a URL counts, by keys alone.
 
     Of several stored pages the one with the largest ``newest_by`` counts (a crawl time or page
     id); without it, the one whose body has the smallest hash. Pages without a body do not count:
-    the URL was not fetched.
+    the URL was not fetched. ``fetched`` names a boolean column that says so; with both columns
+    bodies are not read here.
     """
-    fetched = pages.where(F.col("html").isNotNull())
+    stored = pages.where(F.col(fetched) if fetched else F.col("html").isNotNull())
     if newest_by:
-        return fetched.groupBy("url").agg(F.max(newest_by).alias("_pick"))
-    return fetched.groupBy("url").agg(F.min(F.xxhash64("html")).alias("_pick"))
+        return stored.groupBy("url").agg(F.max(newest_by).alias("_pick"))
+    return stored.groupBy("url").agg(F.min(F.xxhash64("html")).alias("_pick"))
 
 
 def _pick(newest_by: str | None) -> Column:
@@ -58,6 +59,7 @@ def select_urls(
     percent: float = 100,
     newest_by: str | None = None,
     barred: DataFrame | None = None,
+    fetched: str | None = None,
 ) -> DataFrame:
     """``(source, url, pos, _pick)`` to process now.
 
@@ -68,7 +70,7 @@ def select_urls(
     pending = state.where("listed AND NOT done").select("source", "url", "pos")
     if barred is not None:
         pending = pending.join(barred.select("source", "url"), ["source", "url"], "left_anti")
-    candidates = pending.join(stored_once(pages, newest_by), "url")
+    candidates = pending.join(stored_once(pages, newest_by, fetched), "url")
     return quota_take(candidates, state_progress(state, percent))
 
 
@@ -106,17 +108,19 @@ def ingest(
     results_path: str,
     percent: float = 100,
     newest_by: str | None = None,
+    fetched: str | None = None,
 ) -> None:
     """Bring the results at ``results_path`` up to the frontier, by rule.
 
     What is no longer listed goes and what is pending comes in one commit: a reader sees all of it
     or nothing, and a run that is lost leaves the results as they were. Running it again adds
-    nothing, as what was written is found as done.
+    nothing, as what was written is found as done. For ``newest_by`` and ``fetched`` see
+    :func:`stored_once`.
     """
     store = Snapshots(spark, results_path)
     version = store.next_version()
     results = store.visible("results", EXTRACTION, RESULT_KEYS)
-    taken = select_urls(frontier, results, pages, percent, newest_by)
+    taken = select_urls(frontier, results, pages, percent, newest_by, fetched=fetched)
     fresh = extract_pages(taken, pages, newest_by=newest_by)
     store.commit(
         version,
@@ -151,6 +155,7 @@ def answer_ingest(
     batch_size: int = 64,
     give_up_after: int | None = None,
     newest_by: str | None = None,
+    fetched: str | None = None,
 ) -> int:
     """As :func:`ingest`, with the records of a model; returns the number of rounds.
 
@@ -173,7 +178,7 @@ def answer_ingest(
         barred = known.where("failed_now")
         if give_up_after is not None:
             barred = known.where(F.col("failed_now") | (F.col("n_failed") >= give_up_after))
-        taken = select_urls(frontier, results, pages, percent, newest_by, barred)
+        taken = select_urls(frontier, results, pages, percent, newest_by, barred, fetched)
         bodies = with_markdown(bodies_of(taken, pages, newest_by)).select("source", "url", "markdown")
         if not newest_by:
             bodies = bodies.dropDuplicates(["source", "url"])

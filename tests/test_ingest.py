@@ -91,6 +91,19 @@ def test_one_result_per_url(spark, tmp_path):
     assert stored_once(stored).count() == 2
 
 
+def test_choosing_urls_reads_no_bodies(spark, tmp_path):
+    rows = [(f"u{i}", f"<h1>{i}</h1>" if i % 3 else None, i, bool(i % 3)) for i in range(12)]
+    spark.createDataFrame(rows, "url string, html string, page_id int, ok boolean").write.parquet(str(tmp_path / "pages"))
+    stored = spark.read.parquet(str(tmp_path / "pages"))
+    listed = listing(spark, [u for u, *_ in rows])
+    empty = read_results(spark, str(tmp_path / "none"))
+    taken = select_urls(listed, empty, stored, 50, "page_id", fetched="ok")
+    assert "html" not in taken._jdf.queryExecution().executedPlan().toString()
+    assert urls(taken) == sorted([u for u, h, *_ in rows if h][:6])
+    ingest(spark, listed, stored, str(tmp_path / "out"), 50, "page_id", "ok")
+    assert urls(read_results(spark, str(tmp_path / "out"))) == urls(taken)
+
+
 def test_bodies_in_buckets_are_not_exchanged(spark, tmp_path):
     path = str(tmp_path / "pages")
     all_pages = pages(spark, [f"u{i}" for i in range(200)])
