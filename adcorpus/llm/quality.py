@@ -20,13 +20,13 @@ from pyspark.sql.window import Window
 
 from adcorpus.llm.common import as_text, documents, written
 
-WORD, BLANK, SYMBOL = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+", r"[^#*$%&|<>]+"
+WORD, BLANK, SYMBOL = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+", r"[#*$%&|<>]+"
 #: Disjoint classes in the order in which they are taken out of a text; what is left is the last.
-CLASSES = (r"[a-z]+", r"[A-Z]+", r"[0-9]+", BLANK, r"[.,;:!?'\x22()-]+", r"[\x00-\x7F]+")
+CLASSES = (r"[a-z]+", BLANK, r"[A-Z]+", r"[.,;:!?'\x22()-]+", r"[0-9]+", SYMBOL, r"[\x00-\x7F]+")
 #: What lies between the terms of the word histogram, after lower-casing.
 BETWEEN = r"[\x00-\x60\x7B-\x7F]+"
 #: Words of a reference.
-COMMON = 50
+COMMON = 32
 #: A language has its own reference from this share of all terms (so there are at most 1000
 #: references) and from this many terms; all others are held against all documents together.
 REF_SHARE, REF_TERMS = 0.001, 1000
@@ -52,61 +52,54 @@ def terms_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), BETWEEN), "")
 
 
-def repeat_words(words: Column) -> Column:
+def window_words(words: Column) -> Column:
     """Words in windows of three that occur twice or more in the array, first ones included.
 
-    Windows are sorted with their places, so equal ones are neighbours; a word is counted with
-    the last repeated window that holds it.
+    Most texts repeat no window: where all hashes of windows differ, nothing is sorted. Else hashes
+    are sorted with their places, so that equal ones are neighbours, which are compared word by
+    word; a word is counted with the last repeated window that holds it.
     """
-    windows = F.transform(
+    hashes = F.transform(
         F.sequence(F.lit(0), F.greatest(F.size(words) - 3, F.lit(0))),
-        lambda i: F.struct(F.array_join(F.slice(words, i + 1, 3), " ").alias("w"), i.alias("i")),
+        lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)),
     )
 
     def twice(ordered: Column) -> Column:
-        def same(i: Column, j: Column) -> Column:
-            return F.coalesce(F.get(ordered, i)["w"] == F.get(ordered, j)["w"], F.lit(False))
-
-        hits = F.filter(ordered, lambda _, i: same(i, i - 1) | same(i, i + 1))
+        def same(x: Column, j: Column) -> Column:
+            i, y = x["i"], F.get(ordered, j)
+            equal = x["h"] == y["h"]
+            for k in range(3):
+                equal = equal & (F.get(words, i + k) == F.get(words, y["i"] + k))
+            return F.coalesce(equal, F.lit(False))
+
+        hits = F.filter(ordered, lambda x, k: same(x, k - 1) | same(x, k + 1))
         return F.array_sort(F.transform(hits, lambda x: x["i"]))
 
     def covered(at: Column) -> Column:
         steps = F.transform(at, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(at, i + 1), x + 3) - x))
         return F.aggregate(steps, F.lit(0), lambda a, b: a + b)
 
-    # a one-element array binds its value to a name, so that it is computed once per row
-    ordered = F.transform(F.array(F.array_sort(windows)), twice)
-    return F.when(F.size(words) > 3, F.transform(ordered, covered)[0]).otherwise(0).cast("bigint")
-
+    def counted(h: Column) -> Column:
+        ordered = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        found = F.transform(F.transform(F.array(ordered), twice), covered)[0]
+        return F.when(F.size(h) == F.size(F.array_distinct(h)), F.lit(0)).otherwise(found)
 
-def repeat_words_of(text: Column) -> Column:
-    """As :func:`repeat_words`, for a text. Most texts repeat no window: where all hashes of windows
-    differ, nothing is sorted."""
+    # a one-element array binds its value to a name, so that it is computed once per row
+    return F.when(F.size(words) > 3, F.transform(F.array(hashes), counted)[0]).otherwise(0).cast("bigint")
 
-    def counted(words: Column) -> Column:
-        hashes = F.transform(
-            F.sequence(F.lit(0), F.greatest(F.size(words) - 3, F.lit(0))),
-            lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)),
-        )
-        differ = F.transform(F.array(hashes), lambda h: F.size(h) == F.size(F.array_distinct(h)))[0]
-        return F.when(differ, F.lit(0).cast("bigint")).otherwise(repeat_words(words))
 
+def word_rules(text: Column) -> Column:
+    """``struct<n_words, n_repeat_words>`` of a text."""
     words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    return F.transform(F.array(words), counted)[0]
+    return F.transform(
+        F.array(words),
+        lambda w: F.struct(F.size(w).cast("bigint").alias("n_words"), window_words(w).alias("n_repeat_words")),
+    )[0]
 
 
-def base_rules(text_col: str = "text") -> dict[str, Column]:
-    """The counted columns of a row, by name."""
-    text = as_text(text_col)
+def duplicate_lines(text: Column) -> Column:
     lines = F.filter(F.split(text, "\n", -1), lambda line: line.rlike(WORD))
-    distinct = F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x)))[0]
-    return {
-        "n_words": F.regexp_count(text, F.lit(WORD)).cast("bigint"),
-        "word_chars": F.length(F.regexp_replace(text, BLANK, "")).cast("bigint"),
-        "n_symbols": F.length(F.regexp_replace(text, SYMBOL, "")).cast("bigint"),
-        "n_dup_lines": distinct.cast("bigint"),
-        "n_repeat_words": repeat_words_of(text),
-    }
+    return F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x)))[0].cast("bigint")
 
 
 def references(
@@ -161,31 +154,31 @@ def divergence(counts: Column, shares: Column, total: Column) -> Column:
     return F.aggregate(terms, F.lit(0.0), lambda a, b: a + b) / 2
 
 
-def distance(counts: Column, shares: Column, least: int) -> Column:
-    """The distance after chance is forgiven; null where fewer than ``least`` draws were counted."""
+def added(items: Column) -> Column:
+    return F.aggregate(items, F.lit(0).cast("bigint"), lambda a, b: a + b)
 
-    def measured(bound: Column) -> Column:
-        n, total = bound["n"], bound["total"]
-        chance = (F.size(shares) - 1) / (8 * math.log(2) * total)
-        apart = F.sqrt(F.greatest(F.lit(0.0), divergence(n, shares, total) - chance))
-        return F.when(total >= least, F.round(apart, 6))
 
-    with_total = F.transform(
-        F.array(counts),
-        lambda n: F.struct(n.alias("n"), F.aggregate(n, F.lit(0).cast("bigint"), lambda a, b: a + b).alias("total")),
-    )
-    return F.transform(with_total, measured)[0]
+def distance(counts: Column, shares: Column, least: int) -> Column:
+    """The distance after chance is forgiven; null where fewer than ``least`` draws were counted.
+    ``counts`` is used several times, so it is to be a column of an earlier projection."""
+    total = added(counts)
+    chance = (F.size(shares) - 1) / (8 * math.log(2) * total)
+    apart = F.sqrt(F.greatest(F.lit(0.0), divergence(counts, shares, total) - chance))
+    return F.when(total >= least, F.round(apart, 6))
 
 
 def word_counts(text: Column, words: Column) -> Column:
-    """How often each of ``words`` occurs among the terms, and how often others do."""
+    """How often each of ``words`` occurs among the terms, and how often others do. Terms longer
+    than any of them are left out before they are looked for."""
 
     def count(terms: Column) -> Column:
-        hits = F.transform(words, lambda w: (F.size(terms) - F.size(F.array_remove(terms, w))).cast("bigint"))
-        with_rest = F.transform(
-            F.array(hits),
-            lambda h: F.concat(h, F.array(F.size(terms) - F.aggregate(h, F.lit(0).cast("bigint"), lambda a, b: a + b))),
-        )
+        longest = F.array_max(F.transform(words, lambda w: F.length(w)))
+        short = F.transform(F.array(longest), lambda m: F.filter(terms, lambda t: F.length(t) <= m))[0]
+        hits = F.transform(
+            F.array(short),
+            lambda s: F.transform(words, lambda w: (F.size(s) - F.size(F.array_remove(s, w))).cast("bigint")),
+        )[0]
+        with_rest = F.transform(F.array(hits), lambda h: F.concat(h, F.array(F.size(terms) - added(h))))
         return with_rest[0]
 
     return F.transform(F.array(terms_of(text)), count)[0]
@@ -218,12 +211,28 @@ def quality(
         F.col(id_col).alias("doc_id"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.col(text_col).alias("text")
     ).join(F.broadcast(own), F.col("lang") == F.col("ref"), "left")
     rows = rows.withColumns({name: F.coalesce(F.col(name), pooled.select(name).scalar()) for name in REFERENCE})
-    counted = rows.select(
+    text = as_text()
+    rows = rows.select(
         "doc_id",
-        *[c.alias(name) for name, c in base_rules().items()],
+        word_rules(text).alias("_words"),
+        F.length(text).alias("_length"),
+        duplicate_lines(text).alias("n_dup_lines"),
         F.coalesce("ref", F.lit(POOLED)).alias("reference"),
-        distance(class_counts(as_text()), F.col("classes"), MIN_CHARS).alias("char_distance"),
-        distance(word_counts(as_text(), F.col("words")), F.col("shares"), MIN_TERMS).alias("word_distance"),
+        class_counts(text).alias("_chars"),
+        word_counts(text, F.col("words")).alias("_terms"),
+        "classes",
+        "shares",
+    )
+    counted = rows.select(
+        "doc_id",
+        "_words.n_words",
+        (F.col("_length") - F.col("_chars")[CLASSES.index(BLANK)]).alias("word_chars"),
+        F.col("_chars")[CLASSES.index(SYMBOL)].alias("n_symbols"),
+        "n_dup_lines",
+        "_words.n_repeat_words",
+        "reference",
+        distance(F.col("_chars"), F.col("classes"), MIN_CHARS).alias("char_distance"),
+        distance(F.col("_terms"), F.col("shares"), MIN_TERMS).alias("word_distance"),
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     fine = (F.coalesce("char_distance", F.lit(0.0)) <= max_char_distance) & (
@@ -277,7 +286,7 @@ m AS (SELECT c.r, ref, h, classes, shares, words, terms
 hits AS (SELECT r, list_transform(words, lambda x: len(list_filter(terms, lambda y: y = x))) AS k, len(terms) AS total FROM m),
 f AS (SELECT m.r, ref, h, classes, shares, list_append(k, total - coalesce(list_sum(k), 0)) AS counts FROM m JOIN hits USING (r)),
 o AS (SELECT doc_id, len(ws) AS n_words, length(regexp_replace(t, '{BLANK}', '', 'g')) AS word_chars,
-  length(regexp_replace(t, '{SYMBOL}', '', 'g')) AS n_symbols,
+  length(t) - length(regexp_replace(t, '{SYMBOL}', '', 'g')) AS n_symbols,
   len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}')))
     - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}')))) AS n_dup_lines,
   coalesce(n_repeat, 0) AS n_repeat_words, ref AS reference,
