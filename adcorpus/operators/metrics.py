@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adcorpus.operators.numbering import numbered
+from adcorpus.sources.scratch import written
 
 
 def confusion_counts(
@@ -149,8 +150,10 @@ def label_universe(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def confusion_cells(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The matrix without its empty cells: ``row``, ``col``, ``truth``, ``pred``, ``n``.
 
-    Its size is that of the counts, whatever the number of labels.
+    Its size is that of the counts, whatever the number of labels. The counts are written to the
+    shared folder first, so that what they are made from is read once.
     """
+    counts = written(counts, "counts")
     labels = label_universe(counts, by).drop("n_labels")
     rows = labels.select(*by, F.col("label").alias("truth"), F.col("pos").cast("bigint").alias("row"))
     cols = labels.select(*by, F.col("label").alias("pred"), F.col("pos").cast("bigint").alias("col"))
@@ -162,8 +165,10 @@ def confusion_matrix(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Dense matrix in long form: ``row`` and ``col`` positions, ``truth``, ``pred``, ``n``.
 
     It has a row per pair of a run's labels, null labels and null runs included, so that ``n``
-    adds up to all predictions. Take :func:`confusion_cells` where labels are many.
+    adds up to all predictions. Take :func:`confusion_cells` where labels are many. The counts are
+    written first, as there.
     """
+    counts = written(counts, "counts")
     labels = label_universe(counts, by)
     cells = labels.select(
         *by,
