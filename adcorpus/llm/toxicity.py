@@ -10,18 +10,20 @@ forms); the most telling ones over the labelled sample form the vocabulary.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adcorpus.llm.common import as_text, documents, map_arrow, written
+from adcorpus.llm.common import as_text, documents, map_arrow, shared_dir, written
 
 #: (category, condition on a row of labels), in the order of the chain. The labels know two marks;
 #: ``low_quality`` is no kind of toxicity but tells of it, and ``severe`` is what both marks share.
@@ -97,24 +99,12 @@ def labelled_sample(
     return docs.select("doc_id", as_text().alias("text")).join(F.broadcast(sample), "doc_id")
 
 
-def out_of_fold(models: Sequence[tuple[np.ndarray, float]], vocabulary: Sequence[str], earlier: Sequence[str]) -> Column:
-    """The probability of each row by the model of its fold, which did not see it. Coefficients are
-    those of the vocabulary and then of the earlier probabilities. (A fitted model of Spark holds its
-    session, which cannot go to tasks once the session has an observation.)"""
-    index = {f: i for i, f in enumerate(vocabulary)}
-
-    @F.pandas_udf("double")
-    def scored(*columns: pd.Series) -> pd.Series:
-        features, fold, *known = columns
-        out = []
-        for row, (words, f) in enumerate(zip(features, fold, strict=True)):
-            weights, z = models[f]
-            z = z + float(weights[sorted(index[w] for w in words if w in index)].sum())
-            z += sum(float(w) * p.iloc[row] for w, p in zip(weights[len(index) :], known, strict=True))
-            out.append(float(1 / (1 + np.exp(-np.clip(z, -700, 700)))))
-        return pd.Series(out, dtype="float64")
-
-    return scored("features", "fold", *earlier)
+def detached(model: LogisticRegressionModel, spark: SparkSession) -> LogisticRegressionModel:
+    """``model`` as it is read back from the shared folder. A model that was just fitted holds its
+    session in its training summary, and a session that has had an observation cannot go to tasks."""
+    path = f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
+    model.write().save(path)
+    return LogisticRegressionModel.load(path)
 
 
 def fit_chain(
@@ -173,7 +163,7 @@ def fit_chain(
         weight = F.when(F.col(decided) == 1, n / (2 * n_true)).otherwise(n / (2 * (n - n_true)))
     else:
         weight = F.lit(1.0)
-    data = written(data.withColumn("weight", weight).coalesce(1), "chain")
+    data = written(data.drop("features").withColumn("weight", weight).coalesce(1), "chain")
     weights = np.zeros((len(ys), len(vocabulary)))
     earlier, intercepts = np.zeros((len(ys), len(ys))), np.zeros(len(ys))
     for k, y in enumerate(ys):
@@ -188,11 +178,12 @@ def fit_chain(
         weights[k], earlier[k, :k] = coefficients[: len(vocabulary)], coefficients[len(vocabulary) :]
         intercepts[k] = model.intercept
         if k + 1 < len(ys):
-            parts = []
+            out = None
             for f in range(FOLDS):
-                fitted = learner.fit(seen.where(F.col("fold") != f))
-                parts.append((fitted.coefficients.toArray(), float(fitted.intercept)))
-            out = data.withColumn(f"p{k}", out_of_fold(parts, vocabulary, [f"p{j}" for j in range(k)]))
+                fitted = detached(learner.fit(seen.where(F.col("fold") != f)), docs.sparkSession)
+                part = fitted.transform(seen.where(F.col("fold") == f))
+                out = part if out is None else out.union(part)
+            out = out.withColumn(f"p{k}", vector_to_array("p")[1]).drop("z", "p", "raw", "hard")
             data = written(out.coalesce(1), "chain")
     return Chain(names, {f: i for i, f in enumerate(vocabulary)}, weights, earlier, intercepts)
 
