@@ -6,8 +6,10 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from adcorpus.functions import postings as po
 from adcorpus.functions.html import with_markdown
 from adcorpus.operators import pages as pg
+from adcorpus.plans.catalog import QUERIES
 from adcorpus.sources.schemas import JOB_AD
 
 
@@ -150,3 +152,33 @@ def test_typed_parse_and_quarantine(spark):
     assert sorted(r.i for r in valid.collect()) == [0, 1]
     assert {r.i: r.text for r in quarantine.collect()}[6] == "{bad"
     assert {r.i: r.record.experience_required for r in valid.collect()} == {0: 3.0, 1: 2.5}
+
+
+def test_posting_pages_are_dealt_over_all_cores_and_read_once(spark, tmp_path):
+    rows = [(i, f"n{i}", "b", "PROMO" if i % 2 else "SMALL", i % 50, 1.0) for i in [*range(40), 3, 3]] + [(None,) * 6]
+    schema = "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    df = QUERIES["posting_fields"](spark, str(tmp_path))
+    # one row group was one task
+    used = df.select(F.spark_partition_id().alias("task")).distinct().count()
+    assert used == spark.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    # 403 and 145 when each field had its own copies
+    assert plan.count("get_json_object") < 60 and plan.count("regexp_replace") < 60
+    got = {r.p_partkey: r for r in df.collect()}
+    assert df.count() == 42 and set(got) == {*range(40)}
+    one = got[3]
+    assert (one.job_title, one.salary, one.experience_required) == ("n3", "3 - 10 VND/MONTH", 3.0)
+    assert one.technical_skills == "Python|n3|SQL" and one.url == "https://jobs.example/3"
+
+
+def test_short_cuts_keep_what_the_long_way_gives(spark):
+    texts = ["a b", "a  b", " a", "a;", ";a", "a\tb", "a&amp;b", "<i>a</i>", "", "a;b", "Ê", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r.p for r in df.select(po.plain(F.col("t")).alias("p")).collect()]
+    assert got == ["a b", "a b", "a", "a", "a", "a b", "a&b", "a", None, "a;b", "Ê", None]
+    pages = ["<TD>a</TD><td x=1>b</td>", "<li> a<LI> b", "<p", "<b/>a</b>", "a<span", "<h2 id=x> a\t\r\n b</h2 >"]
+    assert markdown(spark, *pages) == ["ab", "* a\n* b", "<p", "**a**", "a<span", "## a b"]
+    html = "<dl><dt>CÔNG TY</dt><dd>A</dd><dt>:</dt><dd>x</dd><dt>Salary :</dt><dd>Σ</dd></dl>"
+    pairs = spark.createDataFrame([(html,), ("<td>",)], "h string").select(po.stated_pairs(F.col("h")).alias("p")).collect()
+    assert [[tuple(x) for x in r.p] for r in pairs] == [[("công ty", "A"), ("salary", "Σ")], []]
